@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import packing, sharding, tokenfiles, topk
+from bindery.llm import language, packing, quality, sharding, tokenfiles, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,19 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(language.learned_from(docs)))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     return topk.top_k(table, table.where(F.col("vec_id") % 100 == 0))
@@ -50,7 +59,9 @@ def queries() -> dict:
     return {
         "op3_simple8b": op3_simple8b,
         "op4_virtual_slots": op4_virtual_slots,
+        "op5_importance_resampling": op5_importance_resampling,
         "op7_best_fit": op7_best_fit,
+        "op8_language_spans": op8_language_spans,
         "op9_exact_topk": op9_exact_topk,
     }
 

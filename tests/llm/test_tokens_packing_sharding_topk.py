@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -11,10 +12,15 @@ from bindery.llm.tokens import encoder, vocabulary_path
 DOCS = "doc_id long, text string, lang string, slot string, size long"
 
 
-def brute_ids(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(vocabulary_path()).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(vocabulary_path())
+
+
+def brute_ids(text):
+    found = tokenizer().encode(text or "", add_special_tokens=False).ids
     return np.array([*found, 2], "<u4")
 
 
