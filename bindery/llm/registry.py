@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import language, packing, quality, sharding, tokenfiles, topk
+from bindery.llm import language, licenses, mixing, packing, quality, sharding, tokenfiles, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("n_blocks")
+
+
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table, table.where(F.col("vec_id") % 100 == 0))
 
 
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs, docs.select("doc_id", F.col("lang").alias("label")))
+
+
 ORACLES = {
     "op9_exact_topk": """
 WITH v AS (
@@ -57,14 +66,16 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 10
 
 def queries() -> dict:
     return {
+        "op2_license_scan": op2_license_scan,
         "op3_simple8b": op3_simple8b,
         "op4_virtual_slots": op4_virtual_slots,
         "op5_importance_resampling": op5_importance_resampling,
         "op7_best_fit": op7_best_fit,
         "op8_language_spans": op8_language_spans,
         "op9_exact_topk": op9_exact_topk,
+        "op10_soft_mixing": op10_soft_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op2_license_scan": licenses.oracle()}
