@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import language, licenses, mixing, packing, quality, sharding, tokenfiles, topk
+from bindery.llm import jaccard, language, lattice, licenses, mixing, packing, quality, sharding, tokenfiles, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("n_blocks")
 
@@ -28,6 +32,10 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -66,10 +74,12 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 10
 
 def queries() -> dict:
     return {
+        "op1_lattice_near_dedup": op1_lattice_near_dedup,
         "op2_license_scan": op2_license_scan,
         "op3_simple8b": op3_simple8b,
         "op4_virtual_slots": op4_virtual_slots,
         "op5_importance_resampling": op5_importance_resampling,
+        "op6_minhash_forest": op6_minhash_forest,
         "op7_best_fit": op7_best_fit,
         "op8_language_spans": op8_language_spans,
         "op9_exact_topk": op9_exact_topk,
@@ -78,4 +88,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | {"op2_license_scan": licenses.oracle()}
+    return ORACLES | {"op1_lattice_near_dedup": lattice.oracle(), "op2_license_scan": licenses.oracle(), "op6_minhash_forest": jaccard.oracle()}
