@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from bindery.llm import jaccard, language, lattice, licenses, mixing, packing, quality, sharding, tokenfiles, topk
 
 
@@ -84,6 +85,7 @@ def queries() -> dict:
         "op8_language_spans": op8_language_spans,
         "op9_exact_topk": op9_exact_topk,
         "op10_soft_mixing": op10_soft_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
