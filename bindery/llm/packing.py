@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
-from bindery.llm.tokens import encoder, vocabulary_path, with_end
+from bindery.llm.tokens import encoder, vocabulary_path
 
 SEQUENCE = 1024
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -32,34 +32,30 @@ RANKED = f"{PIECE}, part int, place long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def cut(n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of a document's pieces: the first takes what full pieces leave over."""
-    first = n % most or most
-    starts = np.concatenate([[0], np.arange(first, n, most)])
-    return starts, np.diff(np.append(starts, n))
+def cut(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece numbers, starts and lengths of documents of the given lengths: the first takes what full pieces leave over."""
+    parts = -(-n // most)
+    piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(n - (parts - 1) * most, parts)
+    return piece, np.where(piece == 0, 0, first + (piece - 1) * most), np.where(piece == 0, first, most)
 
 
 def _pieces(vocabulary: str, most: int, with_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                number, piece, start, length, crc, held = [], [], [], [], [], []
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode.ids(some.column(1).to_pylist()), strict=True):
-                    ids = with_end(ids)
-                    starts, lengths = cut(len(ids), most)
-                    number += [doc_id] * len(starts)
-                    piece.append(np.arange(len(starts), dtype=np.int32))
-                    start.append(starts)
-                    length.append(lengths)
-                    parts = [ids[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-                    crc += map(zlib.crc32, parts)
-                    held += parts if with_ids else []
-                arrays = [pa.array(number, pa.int64()), pa.array(np.concatenate(piece)), pa.array(np.concatenate(start).astype(np.int64)), pa.array(np.concatenate(length).astype(np.int32)), pa.array(crc, pa.int64())]
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                ids, n = encode.batch(some.column(1).to_pylist())
+                piece, start, length = cut(n, most)
+                ends = np.cumsum(length)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+                number = some.column(0).take(pa.array(np.repeat(np.arange(len(n)), -(-n // most))))
+                arrays = [number, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    arrays, names = [*arrays, pa.array([x.astype(np.int32) for x in held], pa.list_(pa.int32()))], [*names, "ids"]
+                    arrays, names = [*arrays, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run

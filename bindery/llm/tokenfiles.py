@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
 from bindery.llm.simple8b import Reader, pack_file
-from bindery.llm.tokens import encoder, vocabulary_path, with_end
+from bindery.llm.tokens import encoder, vocabulary_path
 
 FILE_IDS = 8_000_000
 MANIFEST = "part int, file int, n_docs long, n_ids long, first_id long, n_bytes long"
@@ -41,45 +41,46 @@ def _put(folder: str, name: str, raw: bytes) -> None:
     store.move(temporary, f"{path}/{name}")
 
 
-def _writer(folder: str, vocabulary: str, file_ids: int):
+def _writer(folder: str, vocabulary: str, file_ids: int, some: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, files, first = TaskContext.get().partitionId(), 0, 0
         encode = encoder(vocabulary)
         numbers: list[int | None] = []
+        lengths: list[np.ndarray] = []
         held: list[np.ndarray] = []
-        size = 0
 
         def flush():
-            nonlocal files, first, size
-            raw = pack_file(numbers, held)
+            nonlocal files, first
+            ids = np.concatenate(held)
+            raw = pack_file(numbers, np.concatenate(lengths), ids)
             _put(folder, f"part-{part:06d}-{files:06d}.s8b", raw)
-            row = {"part": [part], "file": [files], "n_docs": [len(held)], "n_ids": [size], "first_id": [first], "n_bytes": [len(raw)]}
-            files, first, size = files + 1, first + size, 0
-            numbers.clear(), held.clear()
+            row = {"part": [part], "file": [files], "n_docs": [len(numbers)], "n_ids": [len(ids)], "first_id": [first], "n_bytes": [len(raw)]}
+            files, first = files + 1, first + len(ids)
+            numbers.clear(), lengths.clear(), held.clear()
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("file", pa.int32()), *((k, pa.int64()) for k in ("n_docs", "n_ids", "first_id", "n_bytes"))]))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for number, ids in zip(some.column(0).to_pylist(), encode.ids(some.column(1).to_pylist()), strict=True):
-                    numbers.append(number)
-                    held.append(with_end(ids))
-                    size += len(held[-1])
-                    if size >= file_ids:
-                        yield flush()
+            for at in range(0, batch.num_rows, some):
+                rows = batch.slice(at, some)
+                ids, n = encode.batch(rows.column(1).to_pylist())
+                numbers += rows.column(0).to_pylist()
+                lengths.append(n)
+                held.append(ids)
+                if sum(map(len, held)) >= file_ids:
+                    yield flush()
         if held:
             yield flush()
 
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, file_ids: int = FILE_IDS, some: int = 1000) -> DataFrame:
     """Write the files into a folder that all executors share; returns the manifest, one row a file."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"), F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
     ordered = ordered.repartitionByRange("doc_id", "_crc", "_n").sortWithinPartitions("doc_id", "_crc", "_n").select("doc_id", "text")
-    return ordered.mapInArrow(_writer(folder, vocabulary or vocabulary_path(), file_ids), MANIFEST)
+    return ordered.mapInArrow(_writer(folder, vocabulary or vocabulary_path(), file_ids, some), MANIFEST)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +105,11 @@ def read_token_files(spark, folder: str) -> DataFrame:
     return files.mapInArrow(_documents, DOCUMENT)
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str | None = None, file_ids: int = FILE_IDS, some: int = 1000) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, part, file: what the files hold once written."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-files")
-    manifest = scratch.save(write_token_files(docs, scratch.at("ids"), vocabulary, file_ids), "manifest")
+    manifest = scratch.save(write_token_files(docs, scratch.at("ids"), vocabulary, file_ids, some), "manifest")
     # one row per range partition, a number set by the session, comes to the driver
     parts = sorted((r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     if not parts:

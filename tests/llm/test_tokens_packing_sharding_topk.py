@@ -42,9 +42,35 @@ def odd_docs(spark):
 def test_pieces_equal_the_tokenizer(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     texts += ["", "'s 'tis I'll\n\n  x\t y  ", "a" * 500 + " b", "<|endoftext|> 中 é½²", "  lead", "trail  "]
-    for text, ids in zip(texts, encoder(vocabulary_path()).ids(texts), strict=True):
+    flat, n = encoder(vocabulary_path()).batch(texts)
+    for text, ids in zip(texts, np.split(flat, np.cumsum(n)[:-1]), strict=True):
         if "<|" not in text:
-            assert ids.tolist() == brute_ids(text)[:-1].tolist()
+            assert ids.tolist() == brute_ids(text).tolist()
+
+
+@pytest.mark.parametrize("letters", ["ab cd  \n\t\r'sA.1é ñ¿½ªº\x00\x1c\x85  中<|×÷", "ab  \n\t's trelvdm.1éñ", "a' lsved!r1 \n"])
+def test_random_texts_equal_the_tokenizer(letters):
+    import random
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 30))) for _ in range(3000)] + [None, "", "x" * 100, "é" * 40]
+    flat, n = encoder(vocabulary_path()).batch(texts)
+    for text, ids in zip(texts, np.split(flat, np.cumsum(n)[:-1]), strict=True):
+        assert ids.tolist() == brute_ids(text).tolist()
+
+
+def test_table_of_pieces_is_thinned(monkeypatch, sf_dir):
+    import duckdb
+
+    from bindery.llm import tokens
+
+    monkeypatch.setattr(tokens, "TABLE_SIZE", 500)
+    monkeypatch.setattr(tokens, "AT_ONCE", 20_000)
+    few = tokens.Encoder(vocabulary_path())
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{sf_dir}/documents.parquet'").fetchall()]
+    for at in range(0, len(texts), 20):
+        flat, _ = few.batch(texts[at : at + 20])
+        assert flat.tolist() == np.concatenate([brute_ids(t) for t in texts[at : at + 20]]).tolist()
 
 
 @pytest.mark.parametrize("kind", ["small", "ids", "wide", "mixed", "empty", "zeros"])
@@ -56,7 +82,7 @@ def test_simple8b_round_trip(kind):
 
 def test_file_reads_blocks_alone():
     ids = np.random.default_rng(3).integers(0, 50257, 3 * BLOCK + 17).astype(np.uint32)
-    reader = Reader(pack_file([4, None, 9], [ids[:10], ids[10:10], ids[10:]]))
+    reader = Reader(pack_file([4, None, 9], np.array([10, 0, len(ids) - 10]), ids))
     assert (reader.ids(BLOCK - 5, BLOCK + 5) == ids[BLOCK - 5 : BLOCK + 5]).all()
     got = list(reader.documents())
     assert [d for d, _ in got] == [4, None, 9]
@@ -77,7 +103,7 @@ def test_token_files_against_brute_force(spark, sf_dir):
 
 
 def test_token_files_of_odd_rows(spark, odd_docs):
-    got = sorted(tokenfiles.round_trip(odd_docs, file_ids=50).collect(), key=lambda r: r.start)
+    got = sorted(tokenfiles.round_trip(odd_docs, file_ids=50, some=2).collect(), key=lambda r: r.start)
     assert len(got) == 8 and got[0].doc_id is None and got[0].start == 0
     ends = [r.start + r.n_tokens for r in got]
     assert [r.start for r in got[1:]] == ends[:-1]
