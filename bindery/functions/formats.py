@@ -43,7 +43,7 @@ def same_volume(a: Column, b: Column) -> Column:
 
 def comic_list(value: Column) -> Column:
     """Items between commas, trimmed; blanks stay."""
-    return F.transform(F.split(value, ","), F.trim)
+    return F.transform(F.split(value, ","), lambda x: F.trim(x))
 
 
 def parse_list(text: str | None) -> list[str] | None:
