@@ -215,7 +215,8 @@ def _joined(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS,
     members = tiles(nodes, ["tree", "prefix"], "uid").join(reps.select("uid", "n", "prefixes"), "uid")
     members = by_tile(members.select("tree", "prefix", "tile_i", "tile_j", "side", "uid", "n", "prefixes"), ["tree", "prefix"])
     candidates = scratch.save(map_runs(members, 4, _candidates(threshold, trees), "tree int, prefix long, tile_i int, tile_j int, uid long, others array<long>"), "candidates")
-    texts = sets.select("uid", "text").join(candidates, "uid").join(classes.select("uid", "many"), "uid")
+    # merged at every size: candidates grow with the input, so no plan may hang on their being few
+    texts = sets.select("uid", "text").hint("merge").join(candidates, "uid").join(classes.select("uid", "many"), "uid")
     texts = by_tile(texts.select("tree", "prefix", "tile_i", "tile_j", "uid", "others", "many", "text"), ["tree", "prefix"])
     linked = scratch.save(map_runs(texts, 4, _verify(threshold, n_words), "uid long, linked long, root long"), "linked")
     scratch.drop("candidates")
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def keep(docs: DataFrame, **options) -> DataFrame:
     """One row of every class, with all its columns."""
     prepared, rows = _joined(docs, **options)
-    return prepared.join(rows.where("kept").select("_uid"), "_uid", "left_semi").select(*docs.columns)
+    return prepared.hint("merge").join(rows.where("kept").select("_uid"), "_uid", "left_semi").select(*docs.columns)
 
 
 def oracle() -> str:
