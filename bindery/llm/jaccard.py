@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.links import by_tile, components, map_runs, roots, tiles
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import Hashes, mixed, runs, words
+from bindery.llm.words import hashed, mixed, runs
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -45,9 +45,11 @@ def shorten(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH
     return depth
 
 
-def shingles(text: str | None, hashes: Hashes, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a text."""
-    return np.unique(runs(hashes.of(words(text)), n))
+def shingles(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of the n-word shingles of each text."""
+    found, counts = hashed(texts)
+    ends = np.cumsum(counts)
+    return [np.unique(runs(found[e - c : e], n)) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
 
 
 class Forest:
@@ -71,13 +73,11 @@ class Forest:
 
 def _prepare(at_text: int, n_words: int, forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 d1, d2, n, prefix = [], [], [], []
-                for text in some.column(at_text).to_pylist():
-                    found = shingles(text, hashes, n_words)
+                for found in shingles(some.column(at_text).to_pylist(), n_words):
                     n.append(len(found))
                     if not len(found):
                         d1.append(None), d2.append(None), prefix.append(None)
@@ -172,14 +172,13 @@ def _verify(threshold: float, n_words: int):
     def work(batch: pa.RecordBatch, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         uid, many = batch.column(4).to_numpy(), batch.column(6).to_numpy()
         others, texts = batch.column(5), batch.column(7)
-        hashes = Hashes()
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own = uid[s:e]
             order = np.argsort(own)
             lists = others.slice(s, e - s)
             a = np.repeat(np.arange(e - s), lists.value_lengths().to_numpy())
             b = order[np.searchsorted(own[order], lists.flatten().to_numpy())]
-            sets = [shingles(t, hashes, n_words) for t in texts.slice(s, e - s).to_pylist()]
+            sets = shingles(texts.slice(s, e - s).to_pylist(), n_words)
             size = np.array([len(x) for x in sets])
             both = shared(sets, a, b)
             fine = both >= threshold * (size[a] + size[b] - both) - 1e-9

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import Hashes, mixed, tokens
+from bindery.llm.words import hashed, mixed
 
 BUCKETS = 1 << 15
 LABELLED = 20_000
@@ -41,10 +41,9 @@ SEED = 42
 MEMBERS = "doc_id long, tokens long, posterior array<double>, luck double"
 
 
-def _buckets(texts: list[str | None], hashes: Hashes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    found = [tokens(t) for t in texts]
-    n = np.array([len(x) for x in found], np.int64)
-    return (mixed(hashes.of([w for x in found for w in x])) & np.uint64(buckets - 1)).astype(np.int64), n
+def _buckets(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    found, n = hashed(texts, signs=True)
+    return (mixed(found) & np.uint64(buckets - 1)).astype(np.int64), n
 
 
 class Classifier:
@@ -55,11 +54,12 @@ class Classifier:
         prior = np.array([documents[d] for d in self.domains], float)
         self.prior = np.log(prior / prior.sum()) if counts else prior
 
-    def posteriors(self, texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-        bucket, n = _buckets(texts, hashes, len(self.log))
-        ends = np.cumsum(n)
-        total = np.vstack([np.zeros(len(self.domains)), np.cumsum(self.log[bucket], axis=0)])
-        score = (total[ends] - total[ends - n]) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None] + self.prior
+    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        bucket, n = _buckets(texts, len(self.log))
+        total = np.zeros((len(n), len(self.domains)))
+        if len(bucket):
+            total[n > 0] = np.add.reduceat(self.log[bucket], (np.cumsum(n) - n)[n > 0], axis=0)
+        score = total * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None] + self.prior
         score = np.exp(score - score.max(axis=1, keepdims=True)) if len(self.domains) else score
         return score / score.sum(axis=1, keepdims=True) if len(self.domains) else score, n
 
@@ -73,10 +73,9 @@ def fit(docs: DataFrame, labelled: DataFrame, bound: int = LABELLED, buckets: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        hashes = Hashes()
         for batch in batches:
             texts, labels = (batch.column(k).to_pylist() for k in (0, 1))
-            bucket, n = _buckets(texts, hashes, buckets)
+            bucket, n = _buckets(texts, buckets)
             names = sorted(set(labels))
             row = np.repeat(np.array([names.index(x) for x in labels]), n)
             for k, name in enumerate(names):
@@ -107,12 +106,11 @@ def members(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, tokens, posterior (in the order of the model's domains) and luck of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 ids, texts = (some.column(k).to_pylist() for k in (0, 1))
-                posterior, n = model.posteriors(texts, hashes)
+                posterior, n = model.posteriors(texts)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n), pa.array(list(posterior), pa.list_(pa.float64())), pa.array(luck(ids, texts))], names=["doc_id", "tokens", "posterior", "luck"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEMBERS)
@@ -213,12 +211,11 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | N
     at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 ids, texts = some.column(at_id).cast(pa.int64()).to_pylist(), some.column(at_text).to_pylist()
-                rate = rates.of(model.posteriors(texts, hashes)[0])
+                rate = rates.of(model.posteriors(texts)[0])
                 yield some.take(pa.array(np.repeat(np.arange(some.num_rows), np.floor(rate + luck(ids, texts)).astype(np.int64))))
 
     return docs.mapInArrow(run, docs.schema)

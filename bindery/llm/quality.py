@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import Hashes, mixed, segment_sums, tokens
+from bindery.llm.words import hashed, mixed, segment_sums
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -41,13 +41,11 @@ SEED = 42
 SCORED = "doc_id long, score double, log_weight double, gumbel double, key double"
 
 
-def features(texts: list[str | None], hashes: Hashes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every unigram and bigram of the texts, text by text, and how many each text has."""
-    found = [tokens(t) for t in texts]
-    n = np.array([len(x) for x in found], np.int64)
-    if not n.sum():
+    h, n = hashed(texts, signs=True)
+    if not len(h):
         return np.zeros(0, np.int64), n
-    h = hashes.of([w for x in found for w in x])
     mask = np.uint64(buckets - 1)
     one = (mixed(h) & mask).astype(np.int64)
     two = (mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + mixed(h[1:])) & mask).astype(np.int64)
@@ -63,10 +61,10 @@ def features(texts: list[str | None], hashes: Hashes, buckets: int = BUCKETS) ->
 
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, hashes = np.zeros(buckets, np.int64), Hashes()
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                total += np.bincount(features(batch.column(0).slice(at, 1000).to_pylist(), hashes, buckets)[0], minlength=buckets)
+                total += np.bincount(features(batch.column(0).slice(at, 1000).to_pylist(), buckets)[0], minlength=buckets)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["bucket", "n"])
 
@@ -110,12 +108,12 @@ class Model:
     def __init__(self, ratio: np.ndarray, level: float = 0.0, sharpness: float = SHARPNESS):
         self.ratio, self.level, self.sharpness = ratio, level, sharpness
 
-    def scores(self, texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-        bucket, n = features(texts, hashes, len(self.ratio))
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        bucket, n = features(texts, len(self.ratio))
         return segment_sums(self.ratio[bucket], n) / (n + PRIOR), n
 
-    def keys(self, ids: list, texts: list, hashes: Hashes) -> tuple[np.ndarray, ...]:
-        score, n = self.scores(texts, hashes)
+    def keys(self, ids: list, texts: list) -> tuple[np.ndarray, ...]:
+        score, n = self.scores(texts)
         weight = np.where(n > 0, (score - self.level) * self.sharpness, 0.0)
         noise = gumbel(ids, texts)
         return score, weight, noise, np.where(n > 0, weight + noise, -np.inf)
@@ -123,11 +121,10 @@ class Model:
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                got = model.keys(some.column(0).to_pylist(), some.column(1).to_pylist(), hashes)
+                got = model.keys(some.column(0).to_pylist(), some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, got)], names=["doc_id", "score", "log_weight", "gumbel", "key"])
 
     return run
@@ -137,11 +134,10 @@ def _labelled_scores(models: dict[bool, Model]):
     """Scores of labelled texts, each by the model of the other half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for half, model in models.items():
                 some = batch.filter(pc.equal(batch.column(1), half))
-                score, n = model.scores(some.column(0).to_pylist(), hashes)
+                score, n = model.scores(some.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(score[n > 0]), some.column(2).filter(pa.array(n > 0))], names=["score", "good"])
 
     return run
@@ -230,11 +226,10 @@ def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                key = model.keys(some.column(at_id).cast(pa.int64()).to_pylist(), some.column(at_text).to_pylist(), hashes)[-1]
+                key = model.keys(some.column(at_id).cast(pa.int64()).to_pylist(), some.column(at_text).to_pylist())[-1]
                 yield some.filter(pa.array(key >= least))
 
     return docs.mapInArrow(run, docs.schema)

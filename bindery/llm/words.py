@@ -1,17 +1,18 @@
-"""Words of whole texts as arrays, for the operators that count or compare them."""
+"""Words of whole texts as hashes, a batch of texts at once, for the operators that count or compare them."""
 
 from __future__ import annotations
 
 import re
 
 import numpy as np
-import xxhash
 
 #: Lower-cased A-Z, then runs of letters and digits of ASCII and of anything beyond; on UTF-8 bytes.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words with their case, and runs of other signs, on UTF-8 bytes.
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x20\x30-\x39A-Za-z\x7f-\xff]+")
-TABLE_SIZE = 1_000_000
+#: Bytes of text that are split at once.
+AT_ONCE = 4_000_000
+_WIDTH = 64
 
 
 def words(text: str | None) -> list[bytes]:
@@ -22,17 +23,48 @@ def tokens(text: str | None) -> list[bytes]:
     return TOKEN.findall((text or "").encode())
 
 
-class Hashes(dict):
-    """64-bit hash of each word asked for; at most ``TABLE_SIZE`` words are kept between batches."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        if len(self) > TABLE_SIZE:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kind of each byte (0 between tokens, 1 in words, 2 in runs of signs), lower case, and a random number for each byte at each place."""
+    kind = np.zeros(256, np.uint8)
+    kind[0x21:0x7F] = 2
+    for a, b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
+        kind[a:b] = 1
+    lower = np.arange(256, dtype=np.uint8)
+    lower[0x41:0x5B] += 32
+    return kind, lower, np.random.default_rng(11).integers(1, 2**63, (_WIDTH, 256), dtype=np.uint64).ravel()
+
+
+_KIND, _LOWER, _PARTS = _tables()
+
+
+def hashed(texts: list[str | None], signs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all the texts (with ``signs``: of their tokens), and how many each text has.
+
+    A hash is a sum of one random number for each byte at its place, so equal words have equal hashes in every process.
+    """
+    raw = [(t or "").encode() for t in texts]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    if size.sum() > AT_ONCE and len(raw) > 1:
+        half = max(1, min(len(raw) - 1, int(np.searchsorted(np.cumsum(size), size.sum() // 2))))
+        return tuple(np.concatenate(x) for x in zip(hashed(texts[:half], signs), hashed(texts[half:], signs), strict=True))
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
+    kind = _KIND[data]
+    if not signs:
+        data, kind = _LOWER[data], kind & 1
+    start = np.concatenate([[True], kind[1:] != kind[:-1]])
+    begin = np.flatnonzero(start)
+    length = np.diff(begin, append=len(data))
+    place = np.arange(len(data)) - np.repeat(begin, length)
+    parts = _PARTS[((place & (_WIDTH - 1)) << 8) + data]
+    if length.max() > _WIDTH:
+        parts = parts * (2 * (place // _WIDTH) + 1).astype(np.uint64)
+    real = kind[begin] > 0
+    found = mixed(np.add.reduceat(parts, begin)[real])
+    ends = np.cumsum(size + 1)
+    upto = np.searchsorted(begin[real], ends)
+    return found, np.diff(upto, prepend=0)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
