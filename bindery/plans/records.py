@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.operators import reconcile
+from bindery.operators import library, reconcile
 from bindery.plans.catalog import query, table
 from bindery.streaming import jobs
 
@@ -76,3 +76,86 @@ def job_progress(spark, sf_dir):
     job = jobs.start(stream, lambda df: df.select("event_type", ((F.col("event_type") == "error") | (F.col("value") < 5)).alias("failed")), f"{at}/outcome", f"{at}/checkpoint")
     job.join()
     return jobs.progress(spark.read.schema("event_type string, failed boolean").parquet(f"{at}/outcome"), "event_type")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS path, o_orderstatus AS s, o_orderpriority AS p FROM orders)
+SELECT path, 1::INTEGER AS place, 'title' AS field, s AS current, 'New' AS value, '' AS unavailable FROM o WHERE k % 3 = 0 AND k % 5 <> 0
+UNION ALL SELECT path, 9, 'pubdate', p, '', '' FROM o WHERE k % 4 = 0 AND k % 5 <> 0
+UNION ALL SELECT path, 0, NULL, '', '', CASE WHEN k % 10 = 0 THEN 'broken' ELSE 'file is missing' END FROM o WHERE k % 5 = 0 AND (k % 3 = 0 OR k % 4 = 0)
+""")
+def draft_review(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("path", F.col("o_orderkey").cast("string"))
+    k = F.col("o_orderkey")
+    none = F.array().cast("array<string>")
+    current = o.select("path", F.lit("title").alias("field"), F.array("o_orderstatus").alias("values")).unionByName(o.select("path", F.lit("pubdate").alias("field"), F.array("o_orderpriority").alias("values")))
+    staged = o.where(k % 3 == 0).select("path", F.lit("title").alias("field"), F.array(F.lit("New")).alias("values")).unionByName(o.where(k % 4 == 0).select("path", F.lit("pubdate").alias("field"), none.alias("values")))
+    readable = o.where((k % 5 != 0) | (k % 10 == 0)).select("path", F.when(k % 10 == 0, "broken").otherwise("").alias("error"))
+    return library.review(current, staged, readable)
+
+
+@query("SELECT o_orderkey::VARCHAR AS path, 'title' AS field, 'x' AS value FROM orders WHERE o_orderkey % 3 = 0")
+def draft_migration(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("path", F.col("o_orderkey").cast("string"))
+    current = o.select("path", F.lit("title").alias("field"), F.array("o_orderstatus").alias("values")).unionByName(o.select("path", F.lit("series").alias("field"), F.array(F.lit(" ")).alias("values")))
+    title = F.when(F.col("o_orderkey") % 3 == 0, F.lit("x")).otherwise(F.concat(F.col("o_orderstatus"), F.lit(" ")))
+    full = o.select("path", F.lit("title").alias("field"), F.array(title).alias("values")).unionByName(o.select("path", F.lit("series").alias("field"), F.array().cast("array<string>").alias("values"))).unionByName(o.select("path", F.lit("other").alias("field"), F.array(F.lit("y")).alias("values")))
+    return library.migrate(full, current).select("path", "field", F.array_join("values", ", ").alias("value"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 7 = 0 OR value < 3 THEN 'miss' WHEN event_id % 5 = 0 OR event_id % 2 = 0 OR value >= 10 THEN 'use' ELSE 'retry' END AS action,
+  (value >= 10 OR event_id % 3 <> 0) AND event_type <> 'error' AND event_id % 11 > 0 AS stored FROM events
+""")
+def cache_policy(spark, sf_dir):
+    e, n = F.col("event_id"), F.when(F.col("value") >= 10, 1).otherwise(0)
+    action = library.cache_action(F.col("value") >= 3, n, e % 7 == 0, e % 5 == 0, e % 2 == 0)
+    stored = library.cacheable(n, F.when(e % 3 == 0, 1).otherwise(0), F.col("event_type") == "error", e % 11)
+    return table(spark, sf_dir, "events").select("event_id", action.alias("action"), stored.alias("stored"))
+
+
+@query("""
+SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE k <= 2 OR k > n - 1 GROUP BY conv_id
+""")
+def page_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page"), "text")
+    return library.page_text(pages, "conv_id", 2, 1)
+
+
+@query("""
+SELECT user_id, event_type || event_id || '.jpg' AS name, k::INTEGER AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type <> 'error') WHERE k < 20 OR k >= n - 10
+""")
+def page_images(spark, sf_dir):
+    ending = F.when(F.col("event_type") == "error", F.lit(".txt")).otherwise(F.lit(".jpg"))
+    members = table(spark, sf_dir, "events").select("user_id", F.concat(F.col("event_type"), F.col("event_id").cast("string"), ending).alias("name"))
+    return library.page_images(members, "user_id", "name").select("user_id", "name", "position")
+
+
+@query("""
+SELECT conv_id, turn FROM (SELECT *, coalesce(bool_or(b) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen FROM (
+  SELECT conv_id, turn, turn % 3 = 1 AS b FROM conversations)) WHERE NOT seen
+""")
+def content_clues(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    scans = c.select("conv_id", F.col("turn").alias("position"), F.when(F.col("turn") % 3 == 1, F.lit("Chapter 1")).otherwise(F.lit("Title page")).alias("text"))
+    return library.clues(scans, "conv_id").select("conv_id", F.col("position").alias("turn"))
+
+
+@query("""
+SELECT c_custkey, c_name AS title, c_mktsegment || ' ' || c_name AS query, c_custkey % 2 = 0 AS cover_editable,
+  left(sha256('/lib/' || c_name || CASE WHEN c_custkey % 2 = 0 THEN '.EPUB' ELSE '.fb2' END), 24) AS id FROM customer
+""")
+def book_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("/lib/"), F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.lit(".EPUB")).otherwise(F.lit(".fb2")))
+    books = c.select("c_custkey", path.alias("path"), F.col("c_name").alias("title"), F.array("c_mktsegment").alias("titles"), F.array("c_name").alias("authors"), F.lit(False).alias("staged"))
+    shown = library.shown_books(books)
+    return shown.join(books.select("path", "c_custkey"), "path").select("c_custkey", "title", "query", "cover_editable", "id")
+
+
+@query("SELECT n_nationkey, 'title,authors,publisher,pubdate,isbn,languages,tags,comments,catalog_url,cover_url' AS fields, n_name AS source, 10 AS n FROM nation")
+def field_provenance(spark, sf_dir):
+    p = library.provenance(F.col("n_name"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.map_keys(p), ",").alias("fields"), F.try_element_at(p, F.lit("isbn")).alias("source"), F.size(p).alias("n"))

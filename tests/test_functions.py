@@ -130,3 +130,24 @@ def test_corroborated_title_is_for_review():
     record = {"title": "Unknown", "source": "S", "evidence": [{"field": "title", "value": "Real", "source": "D", "url": "u"}, {"field": "isbn", "value": "9", "source": "D", "url": "u"}]}
     p = Proposal({"title": "Unknown"}, record, "x.epub")
     assert p.values["title"] == "Real" and p.review["title"] and "isbn" not in p.values
+
+
+def test_image_positions(spark):
+    from bindery.operators.library import image_positions
+
+    cases = [(3, True, False), (20, True, False), (20, False, True), (3, False, True), (20, True, True), (0, True, True), (9, False, False)]
+    df = spark.createDataFrame(cases, "n int, o boolean, c boolean").select(image_positions(F.col("n"), F.col("o"), F.col("c")).alias("p"))
+    want = [[0, 1, 2], list(range(12)), list(range(15, 20)), [0, 1, 2], list(range(7, 20)), [], list(range(9))]
+    assert [r.p for r in df.collect()] == want
+
+
+def test_preferences():
+    from bindery import settings
+
+    p = settings.load('{"cache_days": 3, "gone": 1}')
+    assert p.cache_days == 3 and p.sources() == ["Google Books", "Open Library", "Internet Archive"]
+    assert settings.load(settings.dump(p.changed({"google_books": False}))).sources() == ["Open Library", "Internet Archive"]
+    assert p.changed({"google_books_api_key": "k"}).shown()["google_books_api_key"] == "set"
+    for bad in ({"max_candidates": 51}, {"cache_days": -1}, {"background_delay_seconds": 0}, {"log_level": "loud"}, {"other": 1}, {"google_books_api_key": "a\nb"}):
+        with pytest.raises(ValueError):
+            p.changed(bad)
