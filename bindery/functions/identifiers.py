@@ -19,12 +19,11 @@ def digits_and_x(value: Column) -> Column:
 
 
 def _weighted(value: Column, n: int, weight) -> Column:
-    """Sum of the first n digits times their weights; an X counts 10."""
-    total = F.lit(0)
-    for k in range(n):
-        c = F.substring(value, k + 1, 1)
-        total = total + F.when(c == "X", 10).otherwise(F.coalesce(c.try_cast("int"), F.lit(0))) * weight(k)
-    return total
+    """Sum of the first n digits times their weights; an X counts 10, anything else 0."""
+    weights = F.array(*(F.lit(weight(k)) for k in range(n)))
+    # a character's place in this string is its worth
+    terms = F.zip_with(F.split(F.left(value, F.lit(n)), ""), weights, lambda c, w: F.greatest(F.instr(F.lit("0123456789X"), c) - 1, F.lit(0)) * w)
+    return F.aggregate(terms, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
 def valid_isbn10(value: Column) -> Column:
