@@ -13,7 +13,9 @@ OPEN_LIBRARY = "struct<docs:array<struct<key:string,title:string,author_name:arr
 EDITION = "struct<key:string,title:string,subtitle:string,publishers:array<string>,publish_date:string,isbn_10:array<string>,isbn_13:array<string>,series:array<string>,covers:array<int>,by_statement:string,languages:array<struct<key:string>>,contributors:array<struct<name:string,role:string>>>"
 #: Fields of an Internet Archive record hold a string or a list of strings, so each is read as it stands.
 ARCHIVE = "struct<response:struct<docs:array<map<string,string>>>>"
+#: The catalogs in their order of arrival.
 ARRIVAL = ["Google Books", "Open Library", "Internet Archive"]
+#: Roles of translators, and how a statement names one.
 TRANSLATOR_ROLES = ["trl", "translator", "translation", "traducteur", "traductrice"]
 BY_STATEMENT = r"(?i)(?:translated\s+(?:from.*?\s+)?by|traduite?\s+(?:de.*?\s+)?par|traduct(?:eur|rice)\s*:)\s+([^\];]*)"
 FIELDS = "title subtitle authors translators isbn isbns language languages publisher pubdate description categories series_labels cover url catalog_url source work_record".split()
