@@ -14,20 +14,25 @@ language in alphabetical order. An empty table gives an empty result. Other colu
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.llm.words import mixed
+
 BUCKETS = 1 << 17
 SWITCH = 6.0
 SMOOTHING = 0.5
 #: Count of a word above which its own bucket is trusted rather than its character 3-grams.
 TRUST = 3.0
 UNKNOWN = "und"
+#: Rows labelled at once.
+SOME = 400
 LETTERS = re.compile(r"[^\W\d_]+")
 #: First code point of each range, and its script; ranges end where the next begins.
 SCRIPTS = [
@@ -42,17 +47,20 @@ _NAMES = sorted({s for _, s in SCRIPTS})
 _SCRIPT_OF = np.array([_NAMES.index(s) for _, s in SCRIPTS])
 
 
-def script(word: str) -> int:
-    """Number of the script of a word's first letter."""
-    return int(_SCRIPT_OF[np.searchsorted(_STARTS, ord(word[0]), "right") - 1])
-
-
-def word_features(word: str, buckets: int) -> tuple[int, list[int]]:
-    """Bucket of a word, and of its character 3-grams, in the lower and the upper half of the table."""
+def word_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For many words: the bucket of each in the table's lower half; the buckets of their character 3-grams, with ends
+    marked, in the upper half, and how many each has; the script of each word's first letter."""
     half = buckets // 2
-    raw = f"^{word}$"
-    grams = [xxhash.xxh3_64_intdigest(raw[k : k + 3].encode(), 1) % half + half for k in range(max(1, len(raw) - 2))]
-    return xxhash.xxh3_64_intdigest(word.encode(), 0) % half, grams
+    code = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(size + 1) - size
+    place = np.arange(len(code)) - np.repeat(np.append(first, len(code)), np.append(size + 1, 1))[: len(code)]
+    single = mixed(code + (place.astype(np.uint64) << np.uint64(32)))
+    single[code == 0] = 0
+    whole = mixed(np.add.reduceat(single, first)) % np.uint64(half)
+    middle = np.flatnonzero(code)  # a 3-gram stands around each letter
+    gram = mixed(code[middle - 1] + (code[middle] << np.uint64(21)) + (code[middle + 1] << np.uint64(42))) % np.uint64(half)
+    return whole.astype(np.int64), gram.astype(np.int64) + half, size, _SCRIPT_OF[np.searchsorted(_STARTS, code[first].astype(np.int64), "right") - 1]
 
 
 def letters(text: str | None) -> list[str]:
@@ -65,30 +73,22 @@ def held_out(doc_id: Column | str) -> Column:
 
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_language: dict[str, tuple[dict[int, int], np.ndarray]] = {}
-        known: dict[str, tuple[int, list[int], int]] = {}
-        for batch in batches:
-            count: dict[str, dict[str, int]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = count.setdefault(lang, {})
-                for w in letters(text):
-                    own[w] = own.get(w, 0) + 1
-            for lang, own in count.items():
-                table, scripts = by_language.setdefault(lang, (np.zeros(buckets, np.int64), np.zeros(len(_NAMES), np.int64)))
-                for w, n in own.items():
-                    if w not in known:
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[w] = (*word_features(w, buckets), script(w))
-                    bucket, grams, s = known[w]
-                    table[bucket] += n
-                    for g in grams:
-                        table[g] += n
-                    scripts[s] += n
+        by_language: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for some in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            words: dict[str, Counter] = {}
+            for text, lang in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                words.setdefault(lang, Counter()).update(letters(text))
+            for lang, own in words.items():
+                table, scripts = by_language.setdefault(lang, (np.zeros(buckets), np.zeros(len(_NAMES))))
+                if own:
+                    n = np.fromiter(own.values(), np.float64, len(own))
+                    whole, gram, size, script = word_features(list(own), buckets)
+                    table += np.bincount(whole, n, buckets) + np.bincount(gram, np.repeat(n, size), buckets)
+                    scripts += np.bincount(script, n, len(_NAMES))
         for lang, (table, scripts) in by_language.items():
             seen, used = np.flatnonzero(table), np.flatnonzero(scripts)
             key = np.concatenate([seen, -1 - used]).astype(np.int32)
-            n = np.concatenate([table[seen], scripts[used]])
+            n = np.concatenate([table[seen], scripts[used]]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n)], names=["lang", "key", "n"])
 
     return run
@@ -116,94 +116,113 @@ class Model:
         self.scripts = share >= 0.002
         self.scripts[~self.scripts.any(axis=1)] = True
 
-    def word(self, word: str) -> np.ndarray:
-        """Log scores of the languages; not a number under about -1e6 for those whose scripts exclude the word."""
-        bucket, grams = word_features(word, self.buckets)
-        found = self.log[bucket] if self.trusted[bucket] else self.log[grams].mean(axis=0)
-        return np.where(self.scripts[script(word)], found - found.max(), np.float32(-1e6))
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log scores of the languages for each word, 0 the best; far below for those whose scripts exclude the word."""
+        whole, gram, size, script = word_features(words, self.buckets)
+        by_gram = np.add.reduceat(self.log[gram], np.cumsum(size) - size) / size[:, None]
+        found = np.where(self.trusted[whole][:, None], self.log[whole], by_gram)
+        return np.where(self.scripts[script], found - found.max(axis=1, keepdims=True), np.float32(-1e5)).astype(np.float32)
 
 
 class Labeller:
     """Labels batches of texts, keeping the scores of words seen before."""
 
-    def __init__(self, model: Model, table_size: int = 300_000):
+    def __init__(self, model: Model, table_size: int = 150_000):
         self.model, self.table_size = model, table_size
-        self.number: dict[str, int] = {}
-        self.score = np.zeros((1024, len(model.languages)), np.float32)
-
-    def _numbers(self, found: list[str]) -> np.ndarray:
-        number = self.number
-        for w in set(found).difference(number):
-            k = number[w] = len(number)
-            if k >= len(self.score):
-                self.score = np.concatenate([self.score, np.zeros_like(self.score)])
-            self.score[k] = self.model.word(w)
-        return np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-
-    def paths(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]]]:
-        """The language number of every word of every text, and the words."""
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.score = np.zeros((0, len(self.model.languages)), np.float32)
+
+    def paths(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The language number of every word of the texts, one text after another, and how many words each has."""
         if len(self.number) > self.table_size:
-            self.number.clear()
+            self._reset()
         found = [letters(t) for t in texts]
-        numbers = self._numbers([w for x in found for w in x])
-        counts = np.array([len(x) for x in found])
-        starts = np.cumsum(counts) - counts
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
-        # texts of like length step through their words together
-        order = np.argsort(counts, kind="stable")
-        order = order[counts[order] > 0]
-        at = 0
-        while at < len(order):
-            end = at + max(1, min(256, int(np.searchsorted(counts[order], 1.25 * counts[order[at]] + 8, "right")) - at))
-            rows, at = order[at:end], end
-            longest = int(counts[rows].max())
-            step = np.arange(longest)[:, None]
-            real = step < counts[rows][None, :]
-            place = np.where(real, starts[rows][None, :] + step, 0)
-            score = self.score[numbers[place]]
-            score[~real] = 0  # beyond its end a text stays in the state it ended in
-            path = viterbi(score, self.model.switch)
-            for k, r in enumerate(rows.tolist()):
-                out[r] = path[: counts[r], k]
-        return out, found
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        known = len(self.number)
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
+        if new := list(islice(self.number, known, None)):
+            self.score = np.concatenate([self.score, self.model.words(new)])
+        return viterbi(self.score[numbers], counts, self.model.switch), counts
 
     def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, its share of the words, and the number of spans of every text."""
         n = len(self.model.languages)
         if not n:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        paths, _ = self.paths(texts)
-        names, share, spans = [], np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for k, path in enumerate(paths):
-            if not len(path):
-                names.append(UNKNOWN)
-                continue
-            count = np.bincount(path, minlength=n)
-            best = int(count.argmax())
-            names.append(self.model.languages[best])
-            share[k], spans[k] = count[best] / len(path), 1 + int((path[1:] != path[:-1]).sum())
-        return names, share, spans
-
-
-def viterbi(score: np.ndarray, switch: float) -> np.ndarray:
-    """Best state of each step and text, for scores of shape (steps, texts, states) and a cost per switch."""
-    steps, texts, states = score.shape
-    moved = np.zeros((steps, texts, states), bool)
-    source = np.zeros((steps, texts), np.int8)
-    value = score[0].copy()
-    for t in range(1, steps):
-        best = value.argmax(axis=1)
-        other = value[np.arange(texts), best][:, None] - np.float32(switch)
-        moved[t] = other > value
-        source[t] = best
-        value = np.where(moved[t], other, value) + score[t]
-    path = np.zeros((steps, texts), np.int8)
-    state = value.argmax(axis=1)
-    every = np.arange(texts)
-    for t in range(steps - 1, -1, -1):
-        path[t] = state
-        state = np.where(moved[t, every, state], source[t], state)
-    return path
+        path, counts = self.paths(texts)
+        row = np.repeat(np.arange(len(texts)), counts)
+        held = np.bincount(row * n + path, minlength=len(texts) * n).reshape(-1, n)
+        best = held.argmax(axis=1)
+        names = [self.model.languages[k] if c else UNKNOWN for k, c in zip(best.tolist(), counts.tolist(), strict=True)]
+        switched = np.bincount(row[1:], (path[1:] != path[:-1]) & (row[1:] == row[:-1]), len(texts)) if len(path) else 0
+        return names, held.max(axis=1) / np.maximum(counts, 1), (switched + (counts > 0)).astype(np.int64)
+
+
+def viterbi(score: np.ndarray, counts: np.ndarray, switch: float, stretch: int = 32) -> np.ndarray:
+    """Best state of each word of texts that stand one after another, given each word's scores and a cost per switch.
+
+    Texts are cut into stretches of equal length that step through their words at the same time: once from each state
+    that a stretch may begin after, which gives its best transfers; then, with the stretches of a text joined by their
+    transfers, from the values it does begin with. Both passes decide ties alike, so the path is that of one long pass.
+    """
+    n_states = score.shape[1]
+    parts = -(-counts // stretch)
+    total = int(parts.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    text = np.repeat(np.arange(len(counts)), parts)
+    part = np.arange(total) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(np.cumsum(counts) - counts, parts) + part * stretch
+    left = np.minimum(stretch, counts[text] - part * stretch)
+    step = np.arange(stretch)
+    real = step[:, None] < left[None, :]
+    at = np.where(real, begin[None, :] + step[:, None], 0)
+    worth = np.where(real[:, :, None], score[at], np.float32(0)).astype(np.float64)
+
+    def advance(value: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        best = value.argmax(axis=-1)
+        other = np.take_along_axis(value, best[..., None], -1) - switch
+        moved = other > value
+        moved[~real[t]] = False  # beyond its end a text stays in its state
+        return np.where(moved, other, value), moved, best
+
+    # transfers: the value of ending a stretch in each state after each state before it
+    value = np.where(np.eye(n_states, dtype=bool), 0.0, -1e15)[None].repeat(total, 0)
+    for t in range(stretch):
+        value = advance(value, t)[0] + worth[t][:, None, :]
+    first = np.zeros((total, n_states))
+    rows = np.flatnonzero(part == 0)
+    while len(rows):
+        rows = rows[part[rows] + 1 < parts[text[rows]]]
+        after = (first[rows][:, :, None] + value[rows]).max(axis=1)
+        first[rows + 1] = after - after.max(axis=1, keepdims=True)
+        rows = rows + 1
+    moved = np.zeros((stretch, total, n_states), bool)
+    source = np.zeros((stretch, total), np.int8)
+    value = first
+    for t in range(stretch):
+        value, moved[t], source[t] = advance(value, t)
+        value = value + worth[t]
+    # back through each stretch from every state it may end in
+    every = np.arange(total)[:, None]
+    state = np.arange(n_states)[None, :].repeat(total, 0)
+    back = np.zeros((stretch, total, n_states), np.int8)
+    for t in range(stretch - 1, -1, -1):
+        back[t] = state
+        state = np.where(moved[t][every, state], source[t][:, None], state)
+    # and through the stretches of each text, from the last one's best state
+    last = np.zeros(total, np.int64)
+    rows = np.flatnonzero(part == parts[text] - 1)
+    last[rows] = value[rows].argmax(axis=1)
+    while len(rows):
+        rows = rows[part[rows] > 0]
+        last[rows - 1] = state[rows, last[rows]]
+        rows = rows - 1
+    path = np.take_along_axis(back, last[None, :, None], 2)[:, :, 0]
+    return path.T[real.T].astype(np.int64)
 
 
 def train(rows: DataFrame, buckets: int = BUCKETS, switch: float = SWITCH) -> Model:
@@ -223,8 +242,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, SOME):
+                some = batch.slice(at, SOME)
                 names, share, spans = labeller.label(some.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(names, pa.string()), pa.array(share), pa.array(spans)], names=["doc_id", "held_out", "lang_pred", "score", "n_spans"])
 
@@ -239,12 +258,14 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if not model.languages:
                 return
-            rows: list[tuple] = []
-            for number, path in zip(batch.column(0).to_pylist(), labeller.paths(batch.column(1).to_pylist())[0], strict=True):
-                edges = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]]) if len(path) else [0]
-                rows += [(number, k, model.languages[path[a]], int(a), int(b - a)) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "span", "lang", "first_word", "n_words"])
+            path, counts = labeller.paths(batch.column(1).to_pylist())
+            row = np.repeat(np.arange(len(counts)), counts)
+            starts = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (row[1:] != row[:-1])])[: len(path)])
+            of = row[starts]
+            number = np.arange(len(starts)) - np.searchsorted(of, of)
+            names = pa.array([model.languages[k] for k in path[starts].tolist()], pa.string())
+            begin = starts - (np.cumsum(counts) - counts)[of]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(number.astype(np.int32)), names, pa.array(begin), pa.array(np.diff(np.append(starts, len(path))))], names=["doc_id", "span", "lang", "first_word", "n_words"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, span int, lang string, first_word long, n_words long")
 
@@ -261,8 +282,8 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, SOME):
+                some = batch.slice(at, SOME)
                 names, share, _ = labeller.label(some.column(at_text).to_pylist())
                 yield some.filter(pa.array((np.array(names, object) != UNKNOWN) & (share >= least)))
 
