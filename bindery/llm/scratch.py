@@ -1,6 +1,6 @@
 """Tables kept in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a single machine) is a
+The folder is the session's ``spark.checkpoint.dir`` (or the context's checkpoint folder); only where that is unset (tests, a single machine) is a
 temporary folder of this machine used. Everything is written by Spark's own committers, so a lost executor costs
 a retried task and no data, and reading a table back cuts the lineage.
 """
@@ -16,7 +16,7 @@ _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='bindery-')}")
