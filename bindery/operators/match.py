@@ -84,6 +84,15 @@ def quoted(value: Column) -> Column:
     return F.concat(F.lit('"'), F.trim(F.regexp_replace(F.regexp_replace(value, '["\\\\\\x00-\\x1f]', " "), r"[ \u0085 ]+", " ")), F.lit('"'))
 
 
+def provider_queries(q: Column) -> Column:
+    """Map of each catalog to the search text it is asked with: fielded for an ISBN or a title, plain otherwise."""
+    plain, author = query_text(q), q["author"] != ""
+    google = F.when(q["isbn"] != "", F.concat(F.lit("isbn:"), q["isbn"])).when(q["title"] != "", F.concat(F.lit("intitle:"), quoted(q["title"]), F.when(author, F.concat(F.lit(" inauthor:"), quoted(q["author"]))).otherwise(F.lit("")))).otherwise(plain)
+    library = F.when(q["isbn"] != "", F.concat(F.lit("q=isbn:"), q["isbn"])).when(q["title"] != "", F.concat(F.lit("title="), q["title"], F.when(author, F.concat(F.lit("&author="), q["author"])).otherwise(F.lit("")))).otherwise(F.concat(F.lit("q="), plain))
+    archive = F.when(q["isbn"] != "", F.concat(F.lit("isbn:"), quoted(q["isbn"]))).when(q["title"] != "", F.concat(F.lit("title:"), quoted(q["title"]), F.when(author, F.concat(F.lit(" AND creator:"), quoted(q["author"]))).otherwise(F.lit("")))).otherwise(plain)
+    return F.create_map(F.lit("Google Books"), google, F.lit("Open Library"), library, F.lit("Internet Archive"), archive)
+
+
 def staged_stop(lookups: DataFrame, keys: list[str], position: str = "pos") -> DataFrame:
     """The lookups that a provider would still have made: none after a failure or an exact hit, no fallback after a strong one.
 

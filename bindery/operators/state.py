@@ -44,6 +44,12 @@ def latest(log: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return log.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where("_n = 1").drop("_n")
 
 
+def drafts(state: DataFrame) -> DataFrame:
+    """The rows with a draft, by path without regard to the case of ASCII letters."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return state.where("staged is not null").orderBy(F.translate("path", upper, lower), "path")
+
+
 def fresh(cache: DataFrame, key: Column | None, now: int, max_age: int) -> DataFrame:
     """Entries not older than ``max_age`` seconds; none if that is 0 or less."""
     if max_age <= 0:

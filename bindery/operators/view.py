@@ -18,6 +18,11 @@ def inside(path: Column, folder: str) -> Column:
     return (path == folder) | F.startswith(path, F.lit(folder.rstrip("/") + "/"))
 
 
+def required_inside(folder: Column, root: str) -> Column:
+    """The folder, or an error where it is not in the root."""
+    return F.when(inside(folder, root), folder).otherwise(F.raise_error(F.concat(F.lit("not in the library: "), folder)))
+
+
 def counts(books: DataFrame, folder: str, needle: str, *columns: Column) -> DataFrame:
     """folder_count (before the text filter) and total (after it)."""
     here = inside(F.col("path"), folder)

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.operators import library, reconcile
+from bindery.operators import library, match, reconcile, state
 from bindery.plans.catalog import query, table
+from bindery.sources import properties
 from bindery.streaming import jobs
 
 
@@ -159,3 +160,42 @@ def book_rows(spark, sf_dir):
 def field_provenance(spark, sf_dir):
     p = library.provenance(F.col("n_name"))
     return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.map_keys(p), ",").alias("fields"), F.try_element_at(p, F.lit("isbn")).alias("source"), F.size(p).alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderpriority AS staged FROM orders WHERE o_orderkey % 4 <> 0")
+def staged_drafts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("staged"))
+    return state.drafts(rows).select("o_orderkey", "staged")
+
+
+@query("""
+WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS t, CASE WHEN p_partkey % 2 = 0 THEN 'Ann "A" ' || p_type ELSE '' END AS a, CASE WHEN p_partkey % 6 = 0 THEN '12' || p_partkey ELSE '' END AS i FROM part),
+q AS (SELECT *, 'Ann A ' || substr(a, 9) AS b FROM l)
+SELECT p_partkey,
+  CASE WHEN i <> '' THEN 'isbn:' || i WHEN t <> '' THEN 'intitle:"' || t || '"' || CASE WHEN a <> '' THEN ' inauthor:"' || b || '"' ELSE '' END ELSE 'find' END AS google,
+  CASE WHEN i <> '' THEN 'q=isbn:' || i WHEN t <> '' THEN 'title=' || t || CASE WHEN a <> '' THEN '&author=' || a ELSE '' END ELSE 'q=find' END AS library,
+  CASE WHEN i <> '' THEN 'isbn:"' || i || '"' WHEN t <> '' THEN 'title:"' || t || '"' || CASE WHEN a <> '' THEN ' AND creator:"' || b || '"' ELSE '' END ELSE 'find' END AS archive FROM q
+""")
+def provider_queries(spark, sf_dir):
+    k, none = F.col("p_partkey"), F.lit("")
+    title = F.when(k % 3 == 0, none).otherwise(F.col("p_name"))
+    q = F.struct(
+        title.alias("title"), F.when(k % 2 == 0, F.concat(F.lit('Ann "A" '), F.col("p_type"))).otherwise(none).alias("author"),
+        F.when(k % 6 == 0, F.concat(F.lit("12"), k.cast("string"))).otherwise(none).alias("isbn"), F.when(title == "", F.lit("find")).otherwise(none).alias("text"),
+    )
+    asked = table(spark, sf_dir, "part").select("p_partkey", match.provider_queries(q).alias("m"))
+    return asked.select("p_partkey", *(F.try_element_at("m", F.lit(n)).alias(a) for n, a in (("Google Books", "google"), ("Open Library", "library"), ("Internet Archive", "archive"))))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'f' || p_partkey END AS title, p_type || '|B' AS authors, CASE WHEN p_partkey % 3 = 0 THEN 'x|y' ELSE '' END AS tags,
+  CASE WHEN p_partkey % 3 = 1 THEN p_brand ELSE '' END AS series, CASE WHEN p_partkey % 5 = 0 THEN 'fr' ELSE '' END AS languages FROM part
+""")
+def pdf_properties(spark, sf_dir):
+    k = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    given = {"Title": F.when(k % 2 == 0, F.col("p_name")).otherwise(none), "Author": F.concat(F.col("p_type"), F.lit(" & B")), "Keywords": F.when(k % 3 == 0, F.lit("x, y")), "Series": F.when(k % 3 == 1, F.col("p_brand")), "Language": F.when(k % 5 == 0, F.lit("fr"))}
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/lib/f"), k.cast("string"), F.lit(".pdf")).alias("path"), F.create_map(*(x for n, c in given.items() for x in (F.lit(n), c))).alias("properties"))
+    found = properties.pdf_records(rows).join(rows.select("path", "p_partkey"), "path")
+    return found.select("p_partkey", "title", *(F.array_join(c, "|").alias(c) for c in ("authors", "tags")), "series", F.array_join("languages", "|").alias("languages"))
