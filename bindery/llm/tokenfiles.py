@@ -22,7 +22,7 @@ from bindery.llm.scratch import Scratch
 from bindery.llm.simple8b import Reader, pack_file
 from bindery.llm.tokens import encoder, vocabulary_path
 
-FILE_IDS = 8_000_000
+FILE_IDS = 4_000_000
 MANIFEST = "part int, file int, n_docs long, n_ids long, first_id long, n_bytes long"
 DOCUMENT = "part int, file int, doc_id long, place long, n_tokens long, ids_crc32 long"
 
@@ -41,6 +41,16 @@ def _put(folder: str, name: str, raw: bytes) -> None:
     store.move(temporary, f"{path}/{name}")
 
 
+def _get(uri: str) -> bytes:
+    import re
+
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+    with store.open_input_file(path) as source:
+        return source.read()
+
+
 def _writer(folder: str, vocabulary: str, file_ids: int, some: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -85,9 +95,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for path in batch.column(0).to_pylist():
             part, file = (int(x) for x in path.rsplit("/", 1)[-1].split(".")[0].split("-")[1:])
-            reader = Reader(raw.as_buffer())
+            reader = Reader(_get(path))
             numbers, crcs = [], []
             for number, ids in reader.documents():
                 numbers.append(number)
@@ -101,7 +111,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(spark, folder: str) -> DataFrame:
     """One row per document of the files of a folder: its place there, its number of ids and their checksum."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder).select("path", "content")
+    # Spark lists the files and deals them out by size; a file's bytes go to the worker that decodes them, not through rows
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder).select("path")
     return files.mapInArrow(_documents, DOCUMENT)
 
 

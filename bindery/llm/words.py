@@ -11,7 +11,7 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words with their case, and runs of other signs, on UTF-8 bytes.
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x20\x30-\x39A-Za-z\x7f-\xff]+")
 #: Bytes of text that are split at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 _WIDTH = 64
 
 
