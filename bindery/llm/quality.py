@@ -13,9 +13,9 @@ Everything else, the raw counts, the scores, k and the k-th largest key, covers
 
 Defined cases: a null text is empty; a document without n-grams has score 0, weight 0 and is not kept; null and
 repeated ``doc_id`` are scored row by row (rows equal in id and text share their noise and their fate); labels with a
-null id or a null quality are not used, and an id labelled both ways counts as bad; without labelled documents of both
-kinds the level is 0 (no good ones: every score and weight is 0, none kept); ties at the k-th key
-are all kept. An empty table gives an empty result. Extra columns are not looked at.
+null id or a null quality are not used, and an id labelled both ways counts as bad; without labelled bad
+documents the level is just below the lowest good score, and without good ones there is no ground to reject: every score is 0 and
+all are kept; ties at the k-th key are all kept. An empty table gives an empty result. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -145,8 +145,10 @@ def _labelled_scores(models: dict[bool, Model]):
 
 def best_level(score: np.ndarray, good: np.ndarray) -> float:
     """The middle of the widest gap among the levels with the best balanced accuracy."""
-    if good.all() or not good.any():
+    if not len(score) or not good.any():
         return 0.0
+    if good.all():
+        return float(score.min() - 0.1 * (score.max() - score.min()) - 1e-9)
     order = np.argsort(score, kind="stable")
     score, good = score[order], good[order]
     low = np.cumsum(~good) / (~good).sum()  # bad ones at or below
@@ -208,6 +210,8 @@ def resample(docs: DataFrame, model: Model) -> tuple[DataFrame, float]:
     """Every row's score, log_weight, gumbel and key, and the least key that is kept."""
     scratch = Scratch(docs.sparkSession, "resample")
     scored = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), SCORED), "scored")
+    if not model.ratio.any():
+        return scored, float("-inf")
     fine = scored.where(F.col("key") > float("-inf"))
     k = fine.where("log_weight > 0").count()
     return scored, kth_largest(fine, k) if k else float("inf")
