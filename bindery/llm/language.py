@@ -1,9 +1,10 @@
 """Language identification of whole texts by scripts, per-word scores and Viterbi spans.
 
-Training counts words, and character 3-grams of words, per language, hashed into tables of fixed size, over all the
-labelled rows it is given; it also notes which scripts each language's letters are in. To label a text, the script of
+Training counts the documents that words, and character 3-grams of their words, are in, per language, hashed into tables of
+fixed size, over all the labelled rows it is given; it also notes which scripts each language's letters are in. To label a text, the script of
 each word narrows the candidate languages, its hashed counts score them, and Viterbi with a penalty for every switch
-labels spans of words. The text's language is the one whose spans hold most words.
+labels spans of words. The text's language is the one whose spans hold most
+words, a word's repeats counting a few times at most.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and no spans; null and repeated ``doc_id`` are
 labelled row by row; a null ``doc_id`` is not held out; rows without a language are not learnt from; a script that no
@@ -31,6 +32,8 @@ SMOOTHING = 0.5
 #: Count of a word above which its own bucket is trusted rather than its character 3-grams.
 TRUST = 3.0
 UNKNOWN = "und"
+#: Times that one word counts towards a text's language at most.
+REPEATS = 3
 #: Rows labelled at once.
 SOME = 400
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -77,7 +80,7 @@ def _count(buckets: int):
         for some in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             words: dict[str, Counter] = {}
             for text, lang in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(letters(text))
+                words.setdefault(lang, Counter()).update(set(letters(text)))
             for lang, own in words.items():
                 table, scripts = by_language.setdefault(lang, (np.zeros(buckets), np.zeros(len(_NAMES))))
                 if own:
@@ -135,8 +138,8 @@ class Labeller:
         self.number: dict[str, int] = defaultdict(count().__next__)
         self.score = np.zeros((0, len(self.model.languages)), np.float32)
 
-    def paths(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The language number of every word of the texts, one text after another, and how many words each has."""
+    def paths(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The language number of every word of the texts, one text after another, how many words each has, and the words' numbers."""
         if len(self.number) > self.table_size:
             self._reset()
         found = [letters(t) for t in texts]
@@ -145,20 +148,23 @@ class Labeller:
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
         if new := list(islice(self.number, known, None)):
             self.score = np.concatenate([self.score, self.model.words(new)])
-        return viterbi(self.score[numbers], counts, self.model.switch), counts
+        return viterbi(self.score[numbers], counts, self.model.switch), counts, numbers
 
     def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, its share of the words, and the number of spans of every text."""
+        """Language, its share of the words (repeats counted up to ``REPEATS``), and the number of spans of every text."""
         n = len(self.model.languages)
         if not n:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        path, counts = self.paths(texts)
+        path, counts, numbers = self.paths(texts)
         row = np.repeat(np.arange(len(texts)), counts)
-        held = np.bincount(row * n + path, minlength=len(texts) * n).reshape(-1, n)
+        # a word repeated over and over says no more than one said REPEATS times
+        _, same, often = np.unique(row * (len(self.number) + 1) + numbers, return_inverse=True, return_counts=True)
+        weight = (np.minimum(often, REPEATS) / often)[same]
+        held = np.bincount(row * n + path, weight, len(texts) * n).reshape(-1, n)
         best = held.argmax(axis=1)
         names = [self.model.languages[k] if c else UNKNOWN for k, c in zip(best.tolist(), counts.tolist(), strict=True)]
         switched = np.bincount(row[1:], (path[1:] != path[:-1]) & (row[1:] == row[:-1]), len(texts)) if len(path) else 0
-        return names, held.max(axis=1) / np.maximum(counts, 1), (switched + (counts > 0)).astype(np.int64)
+        return names, held.max(axis=1) / np.maximum(held.sum(axis=1), 1e-9), (switched + (counts > 0)).astype(np.int64)
 
 
 def viterbi(score: np.ndarray, counts: np.ndarray, switch: float, stretch: int = 32) -> np.ndarray:
@@ -258,7 +264,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if not model.languages:
                 return
-            path, counts = labeller.paths(batch.column(1).to_pylist())
+            path, counts, _ = labeller.paths(batch.column(1).to_pylist())
             row = np.repeat(np.arange(len(counts)), counts)
             starts = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (row[1:] != row[:-1])])[: len(path)])
             of = row[starts]
@@ -276,7 +282,9 @@ def learned_from(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows with a language that holds at least ``least`` of their words, with all their columns."""
+    """Rows with a language that holds at least ``least`` of their words, with all their columns; all rows if nothing was learned."""
+    if not model.languages:
+        return docs
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

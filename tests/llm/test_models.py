@@ -113,7 +113,7 @@ def test_language_of_odd_rows(spark, odd):
     assert sorted(r.doc_id or 0 for r in language.keep(odd, model).collect()) == [0, 1, 1, 5, 6]
     nothing = language.train(odd.limit(0).select("text", "lang"))
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
-    assert language.keep(odd.limit(0), model).columns == odd.columns
+    assert language.keep(odd.limit(0), model).columns == odd.columns and language.keep(odd, nothing).count() == len(ODD)
 
 
 # quality
@@ -157,7 +157,10 @@ def test_quality_of_odd_rows(spark, odd):
     assert len(got) == len(ODD) and not any(r.kept for r in got if r.doc_id in (2, 3))
     assert quality.keep(odd, labels).columns == odd.columns
     assert quality.classify(odd.limit(0), labels).count() == 0
-    assert not any(r.kept for r in quality.classify(odd, labels.limit(0)).collect())
+    # nothing known of quality: nothing is rejected
+    assert all(r.kept for r in quality.classify(odd, labels.limit(0)).collect())
+    only_good = spark.createDataFrame([(1, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    assert all(r.kept for r in quality.classify(odd, only_good).collect() if r.doc_id in (1, 6))
 
 
 # mixing
