@@ -11,7 +11,7 @@ else covers all rows. Without given weights, a domain's target share is its expe
 ``TEMPER``, scaled to keep the total of tokens.
 
 Defined cases: a null text has no tokens, the prior as posterior and no effect on totals; null and repeated ``doc_id`` are
-rated row by row; labels that are null or of a null id are not used; without labelled rows every rate is 1 and the domain
+rated row by row; labels that are null or of a null id are not used, and of a repeated id the least label and text are; without labelled rows every rate is 1 and the domain
 null; weights of domains not learned are left out and the rest scaled to 1; a learned domain without a given weight
 has target 0; where targets can't be met, the rates come as near as the steps allow. An empty table gives an empty result.
 """
@@ -68,7 +68,9 @@ def fit(docs: DataFrame, labelled: DataFrame, bound: int = LABELLED, buckets: in
     """Fit to a table of (doc_id, label); the bounded sample of it is broadcast to the documents."""
     rows = labelled.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("string").alias("label"))
     few = rows.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(bound)
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
+    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    # one text for an id, however many rows hold it, so that the sample is bounded
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

@@ -13,7 +13,7 @@ Everything else, the raw counts, the scores, k and the k-th largest key, covers
 
 Defined cases: a null text is empty; a document without n-grams has score 0, weight 0 and is not kept; null and
 repeated ``doc_id`` are scored row by row (rows equal in id and text share their noise and their fate); labels with a
-null id or a null quality are not used, and an id labelled both ways counts as bad; without labelled bad
+null id or a null quality are not used, and an id labelled both ways counts as bad; of a repeated id the least text is learned from; without labelled bad
 documents the level is just below the lowest good score, and without good ones there is no ground to reject: every score is 0 and
 all are kept; ties at the k-th key are all kept. An empty table gives an empty result. Extra columns are not looked at.
 """
@@ -92,6 +92,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -
     rows = rows.agg((F.min("quality") > 0).alias("good"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
     few = rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(bound)
     found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    # one text for an id, however many rows hold it, so that the sample is bounded
+    found = found.groupBy("doc_id", "good", "toxic").agg(F.min("text").alias("text"))
     return found.select("text", (F.pmod(F.xxhash64("text"), F.lit(2)) == 1).alias("half"), "good", "toxic")
 
 
