@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,9 @@ def normalise(value: str | None) -> str:
         return " ".join(found)
     out: list[str] = []
     gap, kept = False, 0
-    for char in unicodedata.normalize("NFKD", value):
+    # decomposed some characters at a time: marks go anyway, so their order across a cut is of no matter
+    pieces = (unicodedata.normalize("NFKD", value[at : at + 1024]) for at in range(0, len(value), 1024))
+    for char in chain.from_iterable(pieces):
         kind = unicodedata.category(char)
         if kind[0] == "M":
             continue

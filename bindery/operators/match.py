@@ -151,6 +151,8 @@ def block_topk(items: DataFrame, key: str, block: str, text_norm: str, k: int) -
     An item's best partners lie in its best classes, and of each class only the k + 1 smallest keys can be among them, so at most
     k + 1 keys of a class are spread out.
     """
+    # read four times below; what is lost of it is made again
+    items = items.select(key, block, text_norm).persist()
     smallest = Window.partitionBy(block, text_norm).orderBy(key)
     few = items.withColumn("_n", F.row_number().over(smallest)).where(F.col("_n") <= k + 1)
     classes = items.select(block, text_norm).distinct()
