@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: dict[str, set[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,6 +30,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        _written.setdefault(spark.sparkContext.applicationId, set()).add(self.path)
 
     def at(self, table: str) -> str:
         return f"{self.path}/{table}"
@@ -40,6 +42,15 @@ class Scratch:
 
     def drop(self, table: str) -> None:
         """Remove a table that no pending plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.at(table))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.at(table))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove every table that this application's operators have written here; results not yet written elsewhere go with them."""
+    for path in _written.pop(spark.sparkContext.applicationId, ()):
+        _delete(spark, path)

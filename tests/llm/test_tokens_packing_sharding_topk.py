@@ -237,3 +237,13 @@ def test_topk_in_blocks_and_tiles(spark, sf_dir, monkeypatch):
     for q in (0, 20, 480):
         want = sorted(((-int(rows[q] @ x), v) for v, x in rows.items() if v != q))[:10]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
+def test_written_tables_can_be_removed(spark, odd_docs):
+    from bindery.llm import scratch
+
+    own = scratch.Scratch(spark, "kept")
+    assert own.save(odd_docs, "t").count() == 8
+    scratch.clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(own.at("t")).count()
