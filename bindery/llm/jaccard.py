@@ -34,7 +34,7 @@ THRESHOLD = 0.8
 TREES, DEPTH = 16, 8
 RECALL = 0.9995
 SEED = 42
-#: Columns added to the documents' own; one of theirs with such a name would be refused.
+#: Columns added to the documents' own.
 OWN = "_d1 long, _d2 long, _n int, _prefixes binary"
 
 
@@ -243,9 +243,11 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """One row of every class, with all its columns."""
-    prepared, rows = _joined(docs, **options)
-    return prepared.hint("merge").join(rows.where("kept").select("_uid"), "_uid", "left_semi").select(*docs.columns)
+    """One row of every class, with all its columns, whatever their names."""
+    inner = docs.toDF(*(n if n in ("doc_id", "text") else f"column{k}" for k, n in enumerate(docs.columns)))
+    prepared, rows = _joined(inner, **options)
+    kept = prepared.hint("merge").join(rows.where("kept").select("_uid"), "_uid", "left_semi")
+    return kept.select(*inner.columns).toDF(*docs.columns)
 
 
 def oracle() -> str:

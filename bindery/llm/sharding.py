@@ -119,12 +119,15 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS) -> None:
-    """Write whole documents as one folder per shard, by the same hash and map; several tasks may fill one shard."""
+    """Write whole documents as one folder per shard, by the same hash and map; several tasks may fill one shard.
+
+    A column of the documents named shard or virtual_slot is written as document_shard or document_virtual_slot.
+    """
     spark = docs.sparkSession
     narrow = sizes(docs, n_slots)
     totals = slot_totals(narrow)
     slot_map = store_map(spark, f"{path}/_slot_map", plan_map(totals, n_shards), totals, version=0)
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES, F.crc32(F.coalesce(F.col("text"), F.lit("")))), F.lit(n_slots)).cast("int")
-    keep = [c for c in docs.columns if c not in ("virtual_slot", "shard")]
+    keep = [F.col(c).alias(f"document_{c}" if c in ("virtual_slot", "shard") else c) for c in docs.columns]
     placed = docs.select(*keep, slot.alias("virtual_slot")).join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot").drop("virtual_slot")
     placed.write.partitionBy("shard").parquet(f"{path}/shards")

@@ -165,6 +165,13 @@ def test_odd_documents_and_kept_rows(spark):
     assert jaccard.keep(docs.limit(0)).count() == 0 and jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_kept_rows_with_clashing_names(spark):
+    names = ["_uid", "kept", "doc_id", "_d1", "text", "_n", "column0", "n_links"]
+    docs = spark.createDataFrame([(1, 2, k, 4, "a b c d e f", 6, 7, 8) for k in (9, 3)], ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    kept = jaccard.keep(docs)
+    assert kept.columns == names and [tuple(r) for r in kept.collect()] == [(1, 2, 3, 4, "a b c d e f", 6, 7, 8)]
+
+
 def test_components_of_a_long_path(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 99), (100, 101), (5, 5)]
     got = {r.node: r.component for r in links.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}

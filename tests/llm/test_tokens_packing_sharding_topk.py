@@ -214,8 +214,10 @@ def test_sharding_of_odd_rows(spark, odd_docs):
 
 
 def test_written_shards_hold_every_row(spark, odd_docs, tmp_path):
-    sharding.write_shards(odd_docs, f"file://{tmp_path}/out", n_shards=3)
-    assert spark.read.parquet(f"file://{tmp_path}/out/shards").count() == 8
+    clash = odd_docs.withColumnRenamed("slot", "shard")
+    sharding.write_shards(clash, f"file://{tmp_path}/out", n_shards=3)
+    written = spark.read.parquet(f"file://{tmp_path}/out/shards")
+    assert written.count() == 8 and set(written.columns) == {"doc_id", "text", "lang", "document_shard", "size", "shard"}
 
 
 def test_topk_of_odd_rows(spark):
