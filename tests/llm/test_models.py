@@ -201,19 +201,64 @@ def test_mixing_of_odd_rows(spark, odd):
 # the pipeline
 
 
-def test_stages(spark, tmp_path):
+def classes(texts):
+    """Smallest index that each text reaches by shingle sets of a similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    for _ in texts:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    from collections import Counter
+
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from bindery.llm.tokens import vocabulary_path
+
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = docs
+    before, out = docs, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, before, sf_dir)
-        assert after.columns == docs.columns and 0 < after.count()
+        assert after.columns == docs.columns
         after.write.parquet(f"file://{tmp_path}/{name}")
         before = spark.read.parquet(f"file://{tmp_path}/{name}")
-    packed = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
-    assert packed.where("piece = 0").count() == before.count()
-    kept = spark.read.parquet(f"file://{tmp_path}/ngram_jaccard")
-    assert kept.select("doc_id").distinct().count() == kept.count()
+        out[name] = before.orderBy("doc_id").collect()
+        assert out[name]
+    # language ID rejects no document of this table that has a letter, quality no labelled good one
+    every = {r.doc_id: r for r in docs.collect()}
+    assert {r.doc_id for r in out["language_id"]} == {k for k, r in every.items() if any(c.isalpha() for c in r.text or "")}
+    label = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    kept = {r.doc_id for r in out["quality_classifier"]}
+    assert all(k in kept for k, r in label.items() if r.quality == 1) and not all(k in kept for k, r in label.items() if r.quality == 0)
+    # the Jaccard stage keeps the first of every class of its input, and nothing else
+    rows = out["quality_classifier"]
+    own = classes([r.text for r in rows])
+    assert [r.doc_id for r in out["ngram_jaccard"]] == [r.doc_id for k, r in enumerate(rows) if own[k] == k]
+    # mixing repeats whole rows of its input
+    copies = Counter(r.doc_id for r in out["mixing_weights"])
+    assert set(copies) <= {r.doc_id for r in out["ngram_jaccard"]} and all(r.text == every[r.doc_id].text for r in out["mixing_weights"])
+    # packing holds every document's ids, once for each copy
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    starts = Counter((r.doc_id, r.piece) for r in packed)
+    for r in packed:
+        assert starts[r.doc_id, r.piece] == copies[r.doc_id]
+        ids = np.array([*tokenizer.encode(every[r.doc_id].text, add_special_tokens=False).ids, 2], "<u4")
+        assert zlib.crc32(ids[r.start : r.start + r.length]) == r.ids_crc32
+    filled = Counter()
+    for r in packed:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 1024 and len(filled) <= -(-sum(filled.values()) // 1024) + 2
 
 
 def test_stages_of_odd_rows(spark, odd):
