@@ -85,7 +85,7 @@ def front_back(text: Column, front: int = 200_000, back: int = 50_000) -> Column
     head = _boundary(raw, F.lit(front))
     tail = _boundary(raw, n - back)
     cut = F.concat_ws("\n", F.decode(F.substring(raw, F.lit(1), head), "UTF-8"), F.decode(F.substring(raw, tail + 1, n - tail), "UTF-8"))
-    return F.when(n <= front + back, text).otherwise(cut)
+    return F.when(n <= front + back, text).when(n > front + back, cut)
 
 
 class _Text(HTMLParser):

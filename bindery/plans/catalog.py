@@ -501,6 +501,18 @@ def front_back(spark, sf_dir):
     return plain.select("doc_id", formats.front_back(F.col("text"), 100, 50).alias("sample"))
 
 
+@query("""
+WITH d AS (SELECT doc_id, text, strlen(text) AS n, hex(encode(text)) AS h FROM documents),
+c AS (
+  SELECT *, 100 + len(regexp_extract(substr(h, 201), '^(?:[89AB].)*')) // 2 AS a, n - 50 + len(regexp_extract(substr(h, 2 * n - 99), '^(?:[89AB].)*')) // 2 AS z FROM d
+)
+SELECT doc_id, CASE WHEN n <= 150 THEN text ELSE decode(unhex(substr(h, 1, 2 * a))) || chr(10) || decode(unhex(substr(h, 2 * z + 1))) END AS sample FROM c
+""")
+def front_back_bytes(spark, sf_dir):
+    """All documents, whatever their characters; ``front_back`` and its SQL hold the ASCII ones only."""
+    return table(spark, sf_dir, "documents").select("doc_id", formats.front_back(F.col("text"), 100, 50).alias("sample"))
+
+
 @query()
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", formats.html_text("html").alias("text"))

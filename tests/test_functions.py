@@ -98,6 +98,22 @@ def test_front_back_keeps_characters_whole(spark):
     assert got == "aaaaé\néé"
 
 
+def test_front_back_of_all_documents(spark, sf_dir):
+    from bindery.plans import catalog
+
+    def brute(text):
+        raw = text.encode()
+        if len(raw) <= 150:
+            return text
+        starts = [k for k, b in enumerate(raw) if b & 0xC0 != 0x80] + [len(raw)]
+        return raw[: min(k for k in starts if k >= 100)].decode() + "\n" + raw[min(k for k in starts if k >= len(raw) - 50) :].decode()
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert any(not t.isascii() for t in docs.values())
+    assert {r.doc_id: r["sample"] for r in catalog.queries()["front_back_bytes"](spark, sf_dir).collect()} == {k: brute(t) for k, t in docs.items()}
+    assert one(spark, formats.front_back(F.lit(None).cast("string"), 5, 4)) is None
+
+
 def test_body(spark):
     assert one(spark, formats.looks_like_body(F.col("v")), v="x\nChapter  one\n") is True
     assert one(spark, formats.looks_like_body(F.col("v")), v="Copyright. " + "It is so. Then it was. " * 90) is False
