@@ -1,7 +1,9 @@
 """License scan: places of known phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or one of the overlapping windows of a long line; a template is found in a block if at least
-``THRESHOLD`` of the template's distinct words are among the block's. Words are ordered by how often they occur in the whole
+A block is a line, one of the overlapping windows of a long line, or one of the overlapping windows of the whole text's words
+across line ends, as notices are often wrapped; a template is found in a block if at least
+``THRESHOLD`` of the template's distinct words are among the block's. A window of the whole text names a template only where
+it holds more of it than every line block within. Words are ordered by how often they occur in the whole
 corpus, rarest first. A template is indexed by the prefix of its rarest words that any block meeting the
 threshold must share (prefix filter); blocks with too few words are passed over (length filter), and so are pairs whose
 words left after a match, in that order, can't reach the threshold (positional filter). What remains is compared
@@ -15,6 +17,7 @@ by row; an empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +46,7 @@ TEMPLATES = [
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
 ]
-#: Words of a window of a long line, and how far the next one starts: any run of STRIDE words lies in one window.
+#: Words of a window of a long line or of the whole text, and how far the next one starts: any run of STRIDE words lies in one window.
 WINDOW, STRIDE = 128, 64
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long"
 BLOCKS = "doc_id long, first_word long, n_words long, label string, template int, containment double, text string"
@@ -112,7 +115,7 @@ class Scanner:
         return out
 
     def blocks(self, text: str) -> Iterator[tuple[int, list[bytes]]]:
-        """(first word, words) of every block of a text."""
+        """(first word, words) of every block of a text that lies in one line."""
         at = 0
         for line in text.encode().lower().split(b"\n"):
             found = WORD.findall(line)
@@ -121,14 +124,26 @@ class Scanner:
                     yield at + a, found[a : a + WINDOW] if len(found) > WINDOW else found
             at += len(found)
 
+    def met(self, text: str, found: list[bytes]) -> list[tuple[int, list[bytes], int, float]]:
+        """(first word, words, template, containment) of every block and template that it meets; ``found``: the text's words."""
+        if self.prefixes.isdisjoint(found):
+            return []
+        lines = [(a, b, *hit) for a, b in self.blocks(text) for hit in self.block(b)]
+        starts = [a for a, *_ in lines]
+        wrapped = []
+        for a in range(0, max(1, len(found) - STRIDE), STRIDE):
+            b = found[a : a + WINDOW]
+            if hits := self.block(b):
+                within = [(t, c) for at, own, t, c in lines[bisect_left(starts, a) : bisect_left(starts, a + len(b))] if at + len(own) <= a + len(b)]
+                wrapped += [(a, b, t, c) for t, c in hits if not any(u == t and d >= c for u, d in within)]
+        return lines + wrapped
+
     def scan(self, text: str | None) -> tuple:
         found = WORD.findall((text or "").encode().lower())
         places = self.base(found)
-        met = []
-        if not self.prefixes.isdisjoint(found):
-            met = [(a, len(b), *hit) for a, b in self.blocks(text) for hit in self.block(b)]
+        met = [(a, t, c) for a, _, t, c in self.met(text or "", found)]
         base = sorted({label for _, label in places})
-        more = {self.labels[t] for _, _, t, _ in met}
+        more = {self.labels[t] for _, t, _ in met}
         starts = [a for a, _ in places]
         score = 1.0 if places else max((c for *_, c in met), default=0.0)
         return len(found), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted(more | set(base))), score, len({a for a, *_ in met})
@@ -157,7 +172,7 @@ def license_blocks(docs: DataFrame, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, a, len(b), scanner.labels[t], t, c, b" ".join(b).decode()) for d, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True) for a, b in scanner.blocks(text or "") for t, c in scanner.block(b)]
+            rows = [(d, a, len(b), scanner.labels[t], t, c, b" ".join(b).decode()) for d, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True) for a, b, t, c in scanner.met(text or "", WORD.findall((text or "").encode().lower()))]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 

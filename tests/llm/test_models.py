@@ -61,6 +61,40 @@ def test_license_blocks_and_odd_rows(spark, odd):
     assert licenses.scan(odd.limit(0)).count() == 0
 
 
+#: Notices as published.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+
+
+def brute_wrapped(text):
+    """Labels and score without base phrases: every line, and every window over the whole text's words, against every template."""
+    w = words(text)
+    lines = [words(line) for line in text.split("\n")]
+    windows = [x[a : a + 128] for x in [*lines, w] for a in range(0, max(1, len(x) - 64), 64)]
+    met = [(label, len(t & set(b)) / len(t)) for b in [*lines, *windows] for (_, label), t in zip(licenses.TEMPLATES, licenses.template_sets(licenses.TEMPLATES), strict=True)]
+    met = [(label, share) for label, share in met if share >= licenses.THRESHOLD - 1e-9]
+    return ",".join(sorted({label for label, _ in met})), max((c for _, c in met), default=0.0)
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    import textwrap
+
+    texts = [MIT, BSD, *("\n".join(" * " + line for line in textwrap.wrap(t, n)) for t in (MIT, BSD) for n in (24, 40, 60))]
+    long = ["x\n" * 100 + MIT + "\ny" * 200, "x y\n" * 1000 + BSD + "\n" + "z " * 300, MIT + "\n\n" + BSD, MIT.split("\n")[0], "released\n" + "x " * 200 + "\nunder the mit licence", BSD + "\n" + licenses.TEMPLATES[8][0]]
+    texts += long
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(licenses.scan(docs).collect(), key=lambda r: r.doc_id)
+    for r in got:
+        assert (r.labels, r.score) == brute_wrapped(texts[r.doc_id])
+    assert [r.labels for r in got] == ["mit", "bsd", *["mit"] * 3, *["bsd"] * 3, "mit", "bsd", "bsd,mit", "", "", "bsd"]
+    # a place is named once where one window holds it, and not again around a line that holds it
+    blocks = licenses.license_blocks(docs).where("doc_id in (0, 10, 13)").collect()
+    assert sorted((r.doc_id, r.label, r.first_word) for r in blocks) == [(0, "mit", 0), (10, "bsd", 0), (10, "mit", 0), (13, "bsd", 21)]
+
+
 # language
 
 
