@@ -6,6 +6,10 @@ each word narrows the candidate languages, its hashed counts score them, and Vit
 labels spans of words. The text's language is the one whose spans hold most
 words, a word's repeats counting a few times at most.
 
+Some learned language always wins, so ``keep`` can also ask for evidence: the mean log probability of a text's distinct words
+by their 3-grams, each in the language of its span, against a floor for each language measured on the learned documents.
+Texts in languages that were not learned, markup and gibberish are far below; a text of several learned languages is not.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and no spans; null and repeated ``doc_id`` are
 labelled row by row; a null ``doc_id`` is not held out; rows without a language are not learnt from; a script that no
 learned language uses leaves all languages as candidates; with nothing learned every text is ``und``; ties go to the first
@@ -34,6 +38,11 @@ TRUST = 3.0
 UNKNOWN = "und"
 #: Times that one word counts towards a text's language at most.
 REPEATS = 3
+#: Floor of a language: so many times as far below the median of its learned documents as the hundredth of them that fits
+#: least, or SPREAD if that is nearer; fewer than ENOUGH documents tell no floor.
+REACH, SPREAD, ENOUGH = 3.0, 0.5, 20
+#: How far one word alone may be below its floor; the mean of more words may be by this over the root of their number.
+SLACK = 3.0
 #: Rows labelled at once.
 SOME = 400
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -119,12 +128,13 @@ class Model:
         self.scripts = share >= 0.002
         self.scripts[~self.scripts.any(axis=1)] = True
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Log scores of the languages for each word, 0 the best; far below for those whose scripts exclude the word."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log scores of the languages for each word, 0 the best; far below for those whose scripts exclude the word. And
+        the mean log probabilities of its 3-grams."""
         whole, gram, size, script = word_features(words, self.buckets)
         by_gram = np.add.reduceat(self.log[gram], np.cumsum(size) - size) / size[:, None]
         found = np.where(self.trusted[whole][:, None], self.log[whole], by_gram)
-        return np.where(self.scripts[script], found - found.max(axis=1, keepdims=True), np.float32(-1e5)).astype(np.float32)
+        return np.where(self.scripts[script], found - found.max(axis=1, keepdims=True), np.float32(-1e5)).astype(np.float32), by_gram.astype(np.float32)
 
 
 class Labeller:
@@ -136,7 +146,7 @@ class Labeller:
 
     def _reset(self) -> None:
         self.number: dict[str, int] = defaultdict(count().__next__)
-        self.score = np.zeros((0, len(self.model.languages)), np.float32)
+        self.score = self.gram = np.zeros((0, len(self.model.languages)), np.float32)
 
     def paths(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The language number of every word of the texts, one text after another, how many words each has, and the words' numbers."""
@@ -147,14 +157,20 @@ class Labeller:
         known = len(self.number)
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
         if new := list(islice(self.number, known, None)):
-            self.score = np.concatenate([self.score, self.model.words(new)])
+            score, gram = self.model.words(new)
+            self.score, self.gram = np.concatenate([self.score, score]), np.concatenate([self.gram, gram])
         return viterbi(self.score[numbers], counts, self.model.switch), counts, numbers
 
     def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, its share of the words (repeats counted up to ``REPEATS``), and the number of spans of every text."""
+        return self.weigh(texts)[:3]
+
+    def weigh(self, texts: list[str | None], floors: np.ndarray | None = None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """As ``label``, and the mean log probability of each text's distinct words in their spans' languages; if floors are
+        given, how far it is above them, with the slack that so few words have."""
         n = len(self.model.languages)
         if not n:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts))
         path, counts, numbers = self.paths(texts)
         row = np.repeat(np.arange(len(texts)), counts)
         # a word repeated over and over says no more than one said REPEATS times
@@ -164,7 +180,11 @@ class Labeller:
         best = held.argmax(axis=1)
         names = [self.model.languages[k] if c else UNKNOWN for k, c in zip(best.tolist(), counts.tolist(), strict=True)]
         switched = np.bincount(row[1:], (path[1:] != path[:-1]) & (row[1:] == row[:-1]), len(texts)) if len(path) else 0
-        return names, held.max(axis=1) / np.maximum(held.sum(axis=1), 1e-9), (switched + (counts > 0)).astype(np.int64)
+        once = 1 / often[same]
+        above = self.gram[numbers, path] - (0 if floors is None else floors[path])
+        distinct = np.maximum(np.bincount(row, once, len(texts)), 1e-9)
+        evidence = np.bincount(row, once * above, len(texts)) / distinct + (0 if floors is None else SLACK / np.sqrt(distinct))
+        return names, held.max(axis=1) / np.maximum(held.sum(axis=1), 1e-9), (switched + (counts > 0)).astype(np.int64), evidence
 
 
 def viterbi(score: np.ndarray, counts: np.ndarray, switch: float, stretch: int = 32) -> np.ndarray:
@@ -281,8 +301,30 @@ def learned_from(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id").cast("long").cast("string")))
 
 
-def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows with a language that holds at least ``least`` of their words, with all their columns; all rows if nothing was learned."""
+def floors(rows: DataFrame, model: Model) -> np.ndarray:
+    """Least evidence of each of the model's languages, by the documents it was learned from; one row a language reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SOME):
+                names, _, _, evidence = labeller.weigh(batch.column(0).slice(at, SOME).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(evidence)], names=["lang", "evidence"])
+
+    out = np.full(len(model.languages), -np.inf)
+    if not model.languages:
+        return out
+    found = rows.where("lang is not null and text is not null").select("text").mapInArrow(run, "lang string, evidence double").where(F.col("lang") != UNKNOWN)
+    for r in found.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("evidence", [0.01, 0.5], 10_000).alias("q")).collect():
+        if r["n"] >= ENOUGH:
+            low, middle = r["q"]
+            out[model.languages.index(r["lang"])] = middle - REACH * max(middle - low, SPREAD)
+    return out
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.5, floors: np.ndarray | None = None) -> DataFrame:
+    """Rows with a language that holds at least ``least`` of their words, with all their columns, and whose words are on the
+    mean not below the floors if given; all rows if nothing was learned."""
     if not model.languages:
         return docs
     at_text = docs.columns.index("text")
@@ -292,7 +334,8 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SOME):
                 some = batch.slice(at, SOME)
-                names, share, _ = labeller.label(some.column(at_text).to_pylist())
-                yield some.filter(pa.array((np.array(names, object) != UNKNOWN) & (share >= least)))
+                names, share, _, evidence = labeller.weigh(some.column(at_text).to_pylist(), floors)
+                kept = (np.array(names, object) != UNKNOWN) & (share >= least)
+                yield some.filter(pa.array(kept if floors is None else kept & (evidence >= 0)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
 stage's docs. All but the last return the columns of documents: rows that are rejected go, and mixing repeats or
 leaves out rows as their rates say. Null ids and texts, empty tables and further columns are handled as the operators'
-docstrings say; a document without a letter is rejected by the first stage.
+docstrings say; a document without a letter, or whose words fit no learned language, is rejected by the first stage.
 """
 
 from __future__ import annotations
@@ -19,8 +19,13 @@ LEAST_SHARE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; learned from the labelled documents that are not held out."""
-    return language.keep(docs, language.train(language.learned_from(docs)), LEAST_SHARE)
+    """Documents with a recognised language; learned from the labelled documents that are not held out.
+
+    A text of several learned languages is kept whichever of them leads; one whose words fit none of them is rejected.
+    """
+    learned = language.learned_from(docs)
+    model = language.train(learned)
+    return language.keep(docs, model, LEAST_SHARE, language.floors(learned, model))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,6 +150,27 @@ def test_language_of_odd_rows(spark, odd):
     assert language.keep(odd.limit(0), model).columns == odd.columns and language.keep(odd, nothing).count() == len(ODD)
 
 
+#: Texts that no learned language fits.
+UNLEARNED = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "qzx vkjw pltrw xxqv bnmz hgfd wqpz kjhx zzvq mnbv lkjh poiq wxyz qqwk jvzx",
+    '<div class="nav"><span id="x1"><a href="/index.php?q=zk"><img src="px.gif"/></a></span></div><br/><td width="12"><tr><li><ul></ul></li></tr></td>',
+]
+
+
+def test_language_id_rejects_what_no_language_fits(spark, docs):
+    part = [r.text[:800] for r in docs.where("n_chars > 2000").groupBy("lang").agg(F.first("text").alias("text")).collect()]
+    mixed = [" ".join(part), " ".join(part[:2]), *part]
+    assert len(part) == 4
+    # none of them is learned from: they have no language
+    more = spark.createDataFrame([(-1 - k, t, None, "x", len(t)) for k, t in enumerate(UNLEARNED + mixed)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), "/root/testdata/sf0.01").select("doc_id").collect()}
+    assert {k for k in kept if k < 0} == {-1 - k for k in range(len(UNLEARNED), len(UNLEARNED) + len(mixed))}
+    assert len(kept) >= 0.998 * docs.count()
+
+
 # quality
 
 
