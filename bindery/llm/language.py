@@ -227,7 +227,8 @@ def viterbi(score: np.ndarray, counts: np.ndarray, switch: float, stretch: int =
         first[rows + 1] = after - after.max(axis=1, keepdims=True)
         rows = rows + 1
     moved = np.zeros((stretch, total, n_states), bool)
-    source = np.zeros((stretch, total), np.int8)
+    kind = np.min_scalar_type(-n_states)  # holds every state's number
+    source = np.zeros((stretch, total), kind)
     value = first
     for t in range(stretch):
         value, moved[t], source[t] = advance(value, t)
@@ -235,7 +236,7 @@ def viterbi(score: np.ndarray, counts: np.ndarray, switch: float, stretch: int =
     # back through each stretch from every state it may end in
     every = np.arange(total)[:, None]
     state = np.arange(n_states)[None, :].repeat(total, 0)
-    back = np.zeros((stretch, total, n_states), np.int8)
+    back = np.zeros((stretch, total, n_states), kind)
     for t in range(stretch - 1, -1, -1):
         back[t] = state
         state = np.where(moved[t][every, state], source[t][:, None], state)

@@ -123,6 +123,14 @@ def test_viterbi_in_stretches():
             at += n
 
 
+def test_viterbi_of_many_states():
+    rng = np.random.default_rng(1)
+    for n_states in (128, 129, 300):
+        score = -rng.exponential(2, (90, n_states))
+        score[:45, n_states - 1] = 0
+        assert language.viterbi(score, np.array([90]), 3.0).tolist() == brute_viterbi(score, 3.0)
+
+
 def test_language_of_held_out_documents(spark):
     got = registry.op8_language_spans(spark, "/root/testdata/sf0.01")
     lang = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
