@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.links import by_tile, components, map_runs, roots, tiles
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import hashed, mixed, runs
+from bindery.llm.words import hashed, mixed, runs, slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -74,8 +74,7 @@ class Forest:
 def _prepare(at_text: int, n_words: int, forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch, at_text):
                 d1, d2, n, prefix = [], [], [], []
                 for found in shingles(some.column(at_text).to_pylist(), n_words):
                     n.append(len(found))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import hashed, mixed
+from bindery.llm.words import hashed, mixed, slices
 
 BUCKETS = 1 << 15
 LABELLED = 20_000
@@ -57,8 +57,10 @@ class Classifier:
     def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         bucket, n = _buckets(texts, len(self.log))
         total = np.zeros((len(n), len(self.domains)))
-        if len(bucket):
-            total[n > 0] = np.add.reduceat(self.log[bucket], (np.cumsum(n) - n)[n > 0], axis=0)
+        if len(bucket):  # one domain after another: a number for each word and domain would not be bounded
+            first, some = (np.cumsum(n) - n)[n > 0], n > 0
+            for k in range(len(self.domains)):
+                total[some, k] = np.add.reduceat(self.log[bucket, k], first)
         score = total * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None] + self.prior
         score = np.exp(score - score.max(axis=1, keepdims=True)) if len(self.domains) else score
         return score / score.sum(axis=1, keepdims=True) if len(self.domains) else score, n
@@ -75,8 +77,8 @@ def fit(docs: DataFrame, labelled: DataFrame, bound: int = LABELLED, buckets: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for batch in batches:
-            texts, labels = (batch.column(k).to_pylist() for k in (0, 1))
+        for some in (s for batch in batches for s in slices(batch, 0)):
+            texts, labels = (some.column(k).to_pylist() for k in (0, 1))
             bucket, n = _buckets(texts, buckets)
             names = sorted(set(labels))
             row = np.repeat(np.array([names.index(x) for x in labels]), n)
@@ -109,8 +111,7 @@ def members(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch, 1):
                 ids, texts = (some.column(k).to_pylist() for k in (0, 1))
                 posterior, n = model.posteriors(texts)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n), pa.array(list(posterior), pa.list_(pa.float64())), pa.array(luck(ids, texts))], names=["doc_id", "tokens", "posterior", "luck"])
@@ -214,8 +215,7 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch, at_text):
                 ids, texts = some.column(at_id).cast(pa.int64()).to_pylist(), some.column(at_text).to_pylist()
                 rate = rates.of(model.posteriors(texts)[0])
                 yield some.take(pa.array(np.repeat(np.arange(some.num_rows), np.floor(rate + luck(ids, texts)).astype(np.int64))))

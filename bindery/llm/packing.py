@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
 from bindery.llm.tokens import encoder, vocabulary_path
+from bindery.llm.words import slices
 
 SEQUENCE = 1024
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -44,8 +45,7 @@ def _pieces(vocabulary: str, most: int, with_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch, 1):
                 ids, n = encode.batch(some.column(1).to_pylist())
                 piece, start, length = cut(n, most)
                 ends = np.cumsum(length)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import hashed, mixed, segment_sums
+from bindery.llm.words import hashed, mixed, segment_sums, slices
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -63,8 +63,8 @@ def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                total += np.bincount(features(batch.column(0).slice(at, 1000).to_pylist(), buckets)[0], minlength=buckets)
+            for some in slices(batch, 0):
+                total += np.bincount(features(some.column(0).to_pylist(), buckets)[0], minlength=buckets)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["bucket", "n"])
 
@@ -124,8 +124,7 @@ class Model:
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch, 1):
                 got = model.keys(some.column(0).to_pylist(), some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, got)], names=["doc_id", "score", "log_weight", "gumbel", "key"])
 
@@ -136,11 +135,11 @@ def _labelled_scores(models: dict[bool, Model]):
     """Scores of labelled texts, each by the model of the other half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for some in (s for batch in batches for s in slices(batch, 0)):
             for half, model in models.items():
-                some = batch.filter(pc.equal(batch.column(1), half))
-                score, n = model.scores(some.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(score[n > 0]), some.column(2).filter(pa.array(n > 0))], names=["score", "good"])
+                own = some.filter(pc.equal(some.column(1), half))
+                score, n = model.scores(own.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(score[n > 0]), own.column(2).filter(pa.array(n > 0))], names=["score", "good"])
 
     return run
 
@@ -233,8 +232,7 @@ def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch, at_text):
                 key = model.keys(some.column(at_id).cast(pa.int64()).to_pylist(), some.column(at_text).to_pylist())[-1]
                 yield some.filter(pa.array(key >= least))
 

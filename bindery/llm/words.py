@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Lower-cased A-Z, then runs of letters and digits of ASCII and of anything beyond; on UTF-8 bytes.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -12,9 +15,22 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x20\x30-\x39A-Za-z\x7f-\xff]+")
 #: Bytes of text that are split at once.
 AT_ONCE = 1_000_000
+#: Rows, and bytes of text, that an operator takes from a batch at once; one text may be longer.
+SOME_ROWS, SOME_BYTES = 1000, 2_000_000
 _WIDTH = 64
 
 
+def slices(batch: pa.RecordBatch, text: int, rows: int = SOME_ROWS, size: int = SOME_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of at most so many rows and bytes in its text column, of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        upto = min(max(upto, at + 1), at + rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def words(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode().lower())
 
