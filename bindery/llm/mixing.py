@@ -6,8 +6,9 @@ targets: projected gradient steps on the squared error from rates of 1, in the m
 domains' Gram matrix. A step needs one vector the size of the domains, so each is one pass over a narrow table that
 returns sums, and a document's rate follows from its posterior and the list of steps wherever it is.
 
-The labelled sample is bounded: at most ``LABELLED`` rows, those of the smallest seeded hashes of their ids. Everything
-else covers all rows. Without given weights, a domain's target share is its expected share to the power
+Which domains there are, and the prior of each, comes from a count of all labelled rows. The sample that the words are
+learned from is bounded: at most ``LABELLED`` rows, the same number for each domain, those of the smallest seeded hashes of
+their ids; so a domain with few rows is learned from all of them at every size. Everything else covers all rows. Without given weights, a domain's target share is its expected share to the power
 ``TEMPER``, scaled to keep the total of tokens.
 
 Defined cases: a null text has no tokens, the prior as posterior and no effect on totals; null and repeated ``doc_id`` are
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
@@ -32,7 +33,8 @@ from bindery.llm.words import hashed, mixed, slices
 BUCKETS = 1 << 15
 LABELLED = 20_000
 SMOOTHING = 0.1
-#: Words after which more of them no longer sharpen a posterior.
+#: A document's log likelihood counts as that of so many words, if it has more: summed over a long text, as if its words were
+#: independent, it would make every posterior 0 or 1, and membership would not be soft.
 EVIDENCE = 40.0
 TEMPER = 0.5
 STEPS = 40
@@ -47,9 +49,11 @@ def _buckets(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndar
 
 
 class Classifier:
-    def __init__(self, counts: dict[str, np.ndarray], documents: dict[str, int]):
+    """Log probabilities of the buckets in each domain, and log priors."""
+
+    def __init__(self, counts: dict[str, np.ndarray], documents: dict[str, int], buckets: int = BUCKETS):
         self.domains = sorted(counts)
-        table = np.array([counts[d] for d in self.domains]).T + SMOOTHING if counts else np.zeros((BUCKETS, 0))
+        table = np.array([counts[d] for d in self.domains]).T + SMOOTHING if counts else np.zeros((buckets, 0))
         self.log = np.log(table / table.sum(axis=0)) if counts else table
         prior = np.array([documents[d] for d in self.domains], float)
         self.prior = np.log(prior / prior.sum()) if counts else prior
@@ -67,16 +71,24 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, bound: int = LABELLED, buckets: int = BUCKETS) -> Classifier:
-    """Fit to a table of (doc_id, label); the bounded sample of it is broadcast to the documents."""
+    """Fit to a table of (doc_id, label); the bounded sample of it is broadcast to the documents. One row a domain, and one
+    for each domain and bucket, come to the driver."""
     rows = labelled.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("string").alias("label"))
-    few = rows.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(bound)
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
+    documents = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not documents:
+        return Classifier({}, {}, buckets)
+    # of each domain about twice as many rows as are wanted are drawn by their hash, so that none is ranked over all its rows
+    each = max(1, bound // len(documents))
+    draw = F.create_map(*(F.lit(x) for label, n in documents.items() for x in (label, min(1.0, (2.0 * each + 100) / n))))
+    luck_of = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40))
+    few = rows.where(luck_of < draw[F.col("label")] * float(1 << 40)).withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(luck_of, "doc_id")))
+    sample = docs.select("doc_id", "text").join(F.broadcast(few.where(F.col("_n") <= each).drop("_n")), "doc_id")
     # one text for an id, however many rows hold it, so that the sample is bounded
     sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for some in (s for batch in batches for s in slices(batch, 0)):
             texts, labels = (some.column(k).to_pylist() for k in (0, 1))
             bucket, n = _buckets(texts, buckets)
@@ -84,21 +96,15 @@ def fit(docs: DataFrame, labelled: DataFrame, bound: int = LABELLED, buckets: in
             row = np.repeat(np.array([names.index(x) for x in labels]), n)
             for k, name in enumerate(names):
                 found[name] = found.get(name, 0) + np.bincount(bucket[row == k], minlength=buckets)
-                seen[name] = seen.get(name, 0) + labels.count(name)
         for name, count in found.items():
             used = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(used) + 1), pa.string()), pa.array([*used.tolist(), -1], pa.int32()), pa.array([*count[used].tolist(), seen[name]], pa.int64())], names=["label", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(count[used])], names=["label", "bucket", "n"])
 
     table = sample.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts: dict[str, np.ndarray] = {}
-    documents: dict[str, int] = {}
+    counts = {label: np.zeros(buckets) for label in documents}
     for label, bucket, n in zip(*(table.column(c).to_pylist() for c in ("label", "bucket", "n")), strict=True):
-        counts.setdefault(label, np.zeros(buckets))
-        if bucket < 0:
-            documents[label] = n
-        else:
-            counts[label][bucket] = n
-    return Classifier(counts, documents)
+        counts[label][bucket] = n
+    return Classifier(counts, documents, buckets)
 
 
 def luck(ids: list, texts: list, seed: int = SEED) -> np.ndarray:

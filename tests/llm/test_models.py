@@ -252,6 +252,44 @@ def test_rates_stay_nonnegative_where_targets_ask_for_less():
     assert rates.of(np.array([[1.0, 0.0], [0.0, 1.0]])).tolist() == [0.0, 2.0]
 
 
+def test_rare_domains_are_learned_however_small_the_sample(spark, docs):
+    labelled = docs.select("doc_id", F.when(F.col("doc_id") == 5, "rare").otherwise(F.col("lang")).alias("label"))
+    model = mixing.fit(docs, labelled, bound=20)
+    own = {r.label: r["count"] for r in labelled.where("label is not null").groupBy("label").count().collect()}
+    assert model.domains == sorted(own) and "rare" in own
+    assert np.allclose(np.exp(model.prior), [own[d] / sum(own.values()) for d in model.domains])
+
+
+def brute_posteriors(model, text):
+    w = words(text)
+    bucket, _ = mixing._buckets([text], len(model.log))
+    assert len(bucket) >= len(w)
+    score = [prior + sum(model.log[b, k] for b in bucket) * min(1, mixing.EVIDENCE / max(1, len(bucket))) for k, prior in enumerate(model.prior)]
+    p = np.exp(np.array(score) - max(score))
+    return p / p.sum()
+
+
+def test_mix_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labelled = docs.select("doc_id", F.col("lang").alias("label"))
+    model = mixing.fit(docs, labelled)
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    p = np.array([brute_posteriors(model, r.text) for r in rows])
+    t = np.array([len(mixing._buckets([r.text], 8)[0]) for r in rows], float)
+    share = t @ p / t.sum()
+    target = t.sum() * share**mixing.TEMPER / (share**mixing.TEMPER).sum()
+    # projected gradient in the Gram metric, all rows at once
+    rate, inverse = np.ones(len(rows)), np.linalg.pinv((p * t[:, None]).T @ p, hermitian=True)
+    for _ in range(mixing.STEPS):
+        rate = np.maximum(0, rate - p @ (inverse @ ((rate * t) @ p - target)))
+    got = sorted(mixing.mix(docs, labelled).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.tokens, r.domain) for r in got] == [(r.doc_id, n, model.domains[k]) for r, n, k in zip(rows, t, p.argmax(axis=1), strict=True)]
+    assert np.allclose([r.p_domain for r in got], p.max(axis=1), atol=1e-9) and np.allclose([r.rate for r in got], rate, atol=1e-4)
+    luck = mixing.luck([r.doc_id for r in rows], [r.text for r in rows])
+    near = np.abs(np.mod(rate + luck, 1) - 0.5) < 0.499
+    assert all(r.copies == int(c) for r, c, fine in zip(got, np.floor(rate + luck), near, strict=True) if fine)
+
+
 def test_mixing_of_odd_rows(spark, odd):
     got = mixing.mix(odd, odd.select("doc_id", F.col("lang").alias("label"))).collect()
     assert len(got) == len(ODD)
