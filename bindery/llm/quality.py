@@ -2,11 +2,12 @@
 
 The target model counts hashed unigrams and bigrams of labelled good documents, the raw model those of every document of
 the corpus. A bucket's ratio is that of the target's count to the count expected of the raw model, both raised by
-``SHRINK`` so that thin buckets say little; a document's score is its mean log ratio per n-gram, drawn towards 0 as by
-``PRIOR`` n-grams of ratio 1. Its log importance
-weight is the score's distance from the level that best parts labelled good from labelled bad, times ``SHARPNESS``. The
-level is found on scores by a target model of the other half of the labelled documents. Weights plus seeded Gumbel noise are
-ranked, and the k largest are kept, where k is the number of documents whose weight is positive.
+``SHRINK`` so that thin buckets say little. A document's log importance weight is the sum of its n-grams' log ratios, each less
+a level: raw text holds good text too, so ratios of good text are near 0, and the level is where labelled good and labelled bad
+part best by the mean ratio. It is found with a target model of the other half of the labelled documents. The score is the mean
+log ratio per n-gram, drawn towards 0 as by ``PRIOR`` n-grams of ratio 1. Weights plus seeded Gumbel noise are ranked, and
+the k largest are kept: a sample without replacement in proportion to the importance weights. k is a parameter; if it is not
+given, it is the number of documents whose weight is positive, those likelier as target text than as raw text.
 
 The labelled sample is bounded: at most ``LABELLED`` labelled rows, those of the smallest seeded hashes of their ids.
 Everything else, the raw counts, the scores, k and the k-th largest key, covers all rows.
@@ -14,8 +15,8 @@ Everything else, the raw counts, the scores, k and the k-th largest key, covers
 Defined cases: a null text is empty; a document without n-grams has score 0, weight 0 and is not kept; null and
 repeated ``doc_id`` are scored row by row (rows equal in id and text share their noise and their fate); labels with a
 null id or a null quality are not used, and an id labelled both ways counts as bad; of a repeated id the least text is learned from; without labelled bad
-documents the level is just below the lowest good score, and without good ones there is no ground to reject: every score is 0 and
-all are kept; ties at the k-th key are all kept. An empty table gives an empty result. Extra columns are not looked at.
+documents the level is just below the lowest good mean, and without good ones there is no ground to reject: every score is 0 and
+all are kept, whatever k; ties at the k-th key are all kept. An empty table gives an empty result. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ from bindery.llm.words import hashed, mixed, segment_sums, slices
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
-SHARPNESS = 200.0
 SHRINK = 10.0
 PRIOR = 20.0
 SEED = 42
@@ -49,7 +49,7 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
     mask = np.uint64(buckets - 1)
     one = (mixed(h) & mask).astype(np.int64)
     two = (mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + mixed(h[1:])) & mask).astype(np.int64)
-    two[h[:-1] == h[1:]] = 0  # any token twice in a row is one and the same bigram
+    two[h[:-1] == h[1:]] = 0  # any token twice in a row is one and the same bigram: repeating is a trait of its own
     # a text's n unigrams and its n - 1 bigrams stand together: unigram, bigram, unigram, ...
     both = np.zeros(2 * len(h), np.int64)
     both[0::2], both[1:-1:2] = one, two
@@ -107,18 +107,19 @@ def gumbel(ids: list[int | None], texts: list[str | None], seed: int = SEED) ->
 class Model:
     """log ratio per bucket, and the score level that parts good from bad."""
 
-    def __init__(self, ratio: np.ndarray, level: float = 0.0, sharpness: float = SHARPNESS):
-        self.ratio, self.level, self.sharpness = ratio, level, sharpness
+    def __init__(self, ratio: np.ndarray, level: float = 0.0):
+        self.ratio, self.level = ratio, level
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the log ratios of each text, and its number of n-grams."""
         bucket, n = features(texts, len(self.ratio))
-        return segment_sums(self.ratio[bucket], n) / (n + PRIOR), n
+        return segment_sums(self.ratio[bucket], n), n
 
     def keys(self, ids: list, texts: list) -> tuple[np.ndarray, ...]:
-        score, n = self.scores(texts)
-        weight = np.where(n > 0, (score - self.level) * self.sharpness, 0.0)
+        total, n = self.sums(texts)
+        weight = total - self.level * n
         noise = gumbel(ids, texts)
-        return score, weight, noise, np.where(n > 0, weight + noise, -np.inf)
+        return total / (n + PRIOR), weight, noise, np.where(n > 0, weight + noise, -np.inf)
 
 
 def _scored(model: Model):
@@ -138,8 +139,8 @@ def _labelled_scores(models: dict[bool, Model]):
         for some in (s for batch in batches for s in slices(batch, 0)):
             for half, model in models.items():
                 own = some.filter(pc.equal(some.column(1), half))
-                score, n = model.scores(own.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(score[n > 0]), own.column(2).filter(pa.array(n > 0))], names=["score", "good"])
+                total, n = model.sums(own.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array((total / (n + PRIOR))[n > 0]), own.column(2).filter(pa.array(n > 0))], names=["score", "good"])
 
     return run
 
@@ -163,7 +164,7 @@ def best_level(score: np.ndarray, good: np.ndarray) -> float:
     return float(score[at] + gap[at] / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int = LABELLED, sharpness: float = SHARPNESS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int = LABELLED) -> Model:
     scratch = Scratch(docs.sparkSession, "quality")
     raw = counts(docs, buckets)
     sample = scratch.save(labelled_sample(docs, labels, bound), "labelled")
@@ -172,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int =
         half = dict.fromkeys(half, half[False] + half[True])
     target = half[False] if half[False] is half[True] else half[False] + half[True]
     if not target.sum():
-        return Model(np.zeros(buckets), 0.0, sharpness)
-    model = Model(log_ratio(target, raw), 0.0, sharpness)
+        return Model(np.zeros(buckets))
+    model = Model(log_ratio(target, raw))
     others = {h: Model(log_ratio(half[not h], raw)) for h in half}
     # the sample is bounded, and so are its scores
     table = sample.select("text", "half", "good").mapInArrow(_labelled_scores(others), "score double, good boolean").toArrow()
@@ -207,27 +208,27 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return float(low)
 
 
-def resample(docs: DataFrame, model: Model) -> tuple[DataFrame, float]:
+def resample(docs: DataFrame, model: Model, k: int | None = None) -> tuple[DataFrame, float]:
     """Every row's score, log_weight, gumbel and key, and the least key that is kept."""
     scratch = Scratch(docs.sparkSession, "resample")
     scored = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), SCORED), "scored")
     if not model.ratio.any():
         return scored, float("-inf")
     fine = scored.where(F.col("key") > float("-inf"))
-    k = fine.where("log_weight > 0").count()
-    return scored, kth_largest(fine, k) if k else float("inf")
+    most = fine.where("log_weight > 0").count() if k is None else min(k, fine.count())
+    return scored, kth_largest(fine, most) if most > 0 else float("inf")
 
 
-def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, **options) -> DataFrame:
     """doc_id, score, log_weight, gumbel, key, kept of every row."""
-    scored, least = resample(docs, fit(docs, labels, **options))
+    scored, least = resample(docs, fit(docs, labels, **options), k)
     return scored.withColumn("kept", F.col("key") >= F.lit(least))
 
 
-def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, **options) -> DataFrame:
     """The kept rows with all their columns; keys are computed again where the rows are, which moves no text."""
     model = fit(docs, labels, **options)
-    _, least = resample(docs, model)
+    _, least = resample(docs, model, k)
     at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -206,6 +206,50 @@ def test_features_against_brute_force():
         at += k
 
 
+def test_classify_against_brute_force(spark):
+    """Every column, by the models' counts worked out text by text."""
+    from collections import Counter
+
+    import xxhash
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = {i: quality.features([t])[0].tolist() for i, t in rows.items()}
+    known = {r.doc_id: r for r in labels.collect()}
+    half = {r.doc_id: r.half for r in docs.select("doc_id", (F.pmod(F.xxhash64("text"), F.lit(2)) == 1).alias("half")).collect()}
+    raw = Counter(b for x in found.values() for b in x)
+    target = {h: Counter(b for i, x in found.items() if i in known and known[i].quality > 0 and not known[i].toxic and half[i] == h for b in x) for h in (False, True)}
+
+    def ratios(t):
+        share = sum(t.values()) / sum(raw.values())
+        return [np.log((t[b] + quality.SHRINK) / (raw[b] * share + quality.SHRINK)) for b in range(quality.BUCKETS)]
+
+    other = {h: ratios(target[not h]) for h in target}
+    mean = [(sum(other[half[i]][b] for b in found[i]) / (len(found[i]) + quality.PRIOR), known[i].quality > 0) for i in known if found.get(i)]
+    level = quality.best_level(np.array([m for m, _ in mean]), np.array([g for _, g in mean]))
+    ratio = ratios(target[False] + target[True])
+    weight = {i: sum(ratio[b] for b in x) - level * len(x) for i, x in found.items()}
+    noise = {i: -np.log(-np.log((xxhash.xxh3_64_intdigest(f"{i}\0{t}".encode(), quality.SEED) + 0.5) / 2**64)) for i, t in rows.items()}
+    for k in (None, 7):
+        most = sum(w > 0 for w in weight.values()) if k is None else k
+        kept = sorted((i for i in rows if found[i]), key=lambda i: -(weight[i] + noise[i]))[:most]
+        got = quality.classify(docs, labels, k=k).collect()
+        assert {r.doc_id for r in got if r.kept} == set(kept) and len(got) == len(rows)
+        for r in got:
+            want = (sum(ratio[b] for b in found[r.doc_id]) / (len(found[r.doc_id]) + quality.PRIOR), weight[r.doc_id], noise[r.doc_id])
+            assert np.allclose((r.score, r.log_weight, r.gumbel), want, atol=1e-6)
+
+
+def test_noise_decides_between_like_weights():
+    """Gumbel top-k: of two texts whose log weights differ by d, the better one wins with probability 1 / (1 + exp(-d))."""
+    ids = list(range(20_000))
+    noise = quality.gumbel(ids, ["x"] * len(ids))
+    for d in (0.0, 1.0, 3.0):
+        assert abs((noise[::2] + d > noise[1::2]).mean() - 1 / (1 + np.exp(-d))) < 0.02
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), [1e9, -1e9]])
