@@ -4,7 +4,8 @@ Training counts the documents that words, and character 3-grams of their words,
 fixed size, over all the labelled rows it is given; it also notes which scripts each language's letters are in. To label a text, the script of
 each word narrows the candidate languages, its hashed counts score them, and Viterbi with a penalty for every switch
 labels spans of words. The text's language is the one whose spans hold most
-words, a word's repeats counting a few times at most.
+words, where a word said n times in a text counts as the square root of n words: a repeated phrase says less than as many
+different words, but always more for every repeat.
 
 Some learned language always wins, so ``keep`` can also ask for evidence: the mean log probability of a text's distinct words
 by their 3-grams, each in the language of its span, against a floor for each language measured on the learned documents.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.words import mixed
+from bindery.llm.words import mixed, slices
 
 BUCKETS = 1 << 17
 SWITCH = 6.0
@@ -36,15 +37,13 @@ SMOOTHING = 0.5
 #: Count of a word above which its own bucket is trusted rather than its character 3-grams.
 TRUST = 3.0
 UNKNOWN = "und"
-#: Times that one word counts towards a text's language at most.
-REPEATS = 3
 #: Floor of a language: so many times as far below the median of its learned documents as the hundredth of them that fits
 #: least, or SPREAD if that is nearer; fewer than ENOUGH documents tell no floor.
 REACH, SPREAD, ENOUGH = 3.0, 0.5, 20
 #: How far one word alone may be below its floor; the mean of more words may be by this over the root of their number.
 SLACK = 3.0
-#: Rows labelled at once.
-SOME = 400
+#: Rows labelled at once, and numbers that Viterbi may hold for them: a word has one for each pair of languages.
+SOME, CELLS = 400, 4_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: First code point of each range, and its script; ranges end where the next begins.
 SCRIPTS = [
@@ -76,7 +75,10 @@ def word_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarra
 
 
 def letters(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, numerals and other numbers that hold a letter (Unicode category L)."""
+    found = LETTERS.findall(text.lower()) if text else []
+    # among ASCII, and in runs that are letters only, there is nothing else to leave out
+    return found if not found or text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -86,7 +88,7 @@ def held_out(doc_id: Column | str) -> Column:
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_language: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for some in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+        for some in (s for b in batches for s in slices(b, 0)):
             words: dict[str, Counter] = {}
             for text, lang in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(set(letters(text)))
@@ -142,6 +144,8 @@ class Labeller:
 
     def __init__(self, model: Model, table_size: int = 150_000):
         self.model, self.table_size = model, table_size
+        # bytes of text to label at once; a word and the gap after it take two bytes at least
+        self.size = max(10_000, 2 * CELLS // max(1, len(model.languages)) ** 2)
         self._reset()
 
     def _reset(self) -> None:
@@ -162,7 +166,7 @@ class Labeller:
         return viterbi(self.score[numbers], counts, self.model.switch), counts, numbers
 
     def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, its share of the words (repeats counted up to ``REPEATS``), and the number of spans of every text."""
+        """Language, its share of the words (n repeats counted as the root of n), and the number of spans of every text."""
         return self.weigh(texts)[:3]
 
     def weigh(self, texts: list[str | None], floors: np.ndarray | None = None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -173,9 +177,8 @@ class Labeller:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts))
         path, counts, numbers = self.paths(texts)
         row = np.repeat(np.arange(len(texts)), counts)
-        # a word repeated over and over says no more than one said REPEATS times
         _, same, often = np.unique(row * (len(self.number) + 1) + numbers, return_inverse=True, return_counts=True)
-        weight = (np.minimum(often, REPEATS) / often)[same]
+        weight = (1 / np.sqrt(often))[same]
         held = np.bincount(row * n + path, weight, len(texts) * n).reshape(-1, n)
         best = held.argmax(axis=1)
         names = [self.model.languages[k] if c else UNKNOWN for k, c in zip(best.tolist(), counts.tolist(), strict=True)]
@@ -269,8 +272,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, SOME):
-                some = batch.slice(at, SOME)
+            for some in slices(batch, 2, SOME, labeller.size):
                 names, share, spans = labeller.label(some.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(names, pa.string()), pa.array(share), pa.array(spans)], names=["doc_id", "held_out", "lang_pred", "score", "n_spans"])
 
@@ -282,17 +284,17 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
-        for batch in batches:
+        for some in (s for batch in batches for s in slices(batch, 1, SOME, labeller.size)):
             if not model.languages:
                 return
-            path, counts, _ = labeller.paths(batch.column(1).to_pylist())
+            path, counts, _ = labeller.paths(some.column(1).to_pylist())
             row = np.repeat(np.arange(len(counts)), counts)
             starts = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (row[1:] != row[:-1])])[: len(path)])
             of = row[starts]
             number = np.arange(len(starts)) - np.searchsorted(of, of)
             names = pa.array([model.languages[k] for k in path[starts].tolist()], pa.string())
             begin = starts - (np.cumsum(counts) - counts)[of]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(number.astype(np.int32)), names, pa.array(begin), pa.array(np.diff(np.append(starts, len(path))))], names=["doc_id", "span", "lang", "first_word", "n_words"])
+            yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(of)), pa.array(number.astype(np.int32)), names, pa.array(begin), pa.array(np.diff(np.append(starts, len(path))))], names=["doc_id", "span", "lang", "first_word", "n_words"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, span int, lang string, first_word long, n_words long")
 
@@ -308,8 +310,8 @@ def floors(rows: DataFrame, model: Model) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, SOME):
-                names, _, _, evidence = labeller.weigh(batch.column(0).slice(at, SOME).to_pylist())
+            for some in slices(batch, 0, SOME, labeller.size):
+                names, _, _, evidence = labeller.weigh(some.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(evidence)], names=["lang", "evidence"])
 
     out = np.full(len(model.languages), -np.inf)
@@ -333,8 +335,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, floors: np.ndarray |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, SOME):
-                some = batch.slice(at, SOME)
+            for some in slices(batch, at_text, SOME, labeller.size):
                 names, share, _, evidence = labeller.weigh(some.column(at_text).to_pylist(), floors)
                 kept = (np.array(names, object) != UNKNOWN) & (share >= least)
                 yield some.filter(pa.array(kept if floors is None else kept & (evidence >= 0)))

@@ -148,6 +148,81 @@ def test_mixed_texts_have_spans(spark, docs):
     assert rows[0].first_word == 0 and rows[1].first_word == rows[0].n_words
 
 
+def test_numbers_are_no_letters(spark, docs):
+    model = language.train(docs)
+    texts = ["½ ² ① Ⅷ ³½", "12 ½", "½x", "ⅷ und die", "_²_", "x²"]
+    got = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [(r.lang_pred == "und", r.score > 0) for r in got] == [(True, False), (True, False), (False, True), (False, True), (True, False), (False, True)]
+    assert language.letters("½x ⅷ und ²") == ["½x", "und"]
+
+
+def test_two_hundred_languages():
+    rng = np.random.default_rng(2)
+    words_of = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(200)}
+    counts = {}
+    for lang, own in words_of.items():
+        whole, gram, _, script = language.word_features(own, language.BUCKETS)
+        counts[lang] = {int(k): 50 for k in [*whole, *gram]} | {-1 - int(script[0]): 50}
+    labeller = language.Labeller(language.Model(counts))
+    texts = [" ".join(words_of[lang]) for lang in words_of]
+    assert labeller.label(texts)[0] == list(words_of)
+
+
+def test_language_query_against_brute_force(spark):
+    """Counts, scores, Viterbi and shares worked out word by word."""
+    import zlib
+    from collections import Counter
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    half = language.BUCKETS // 2
+    learned = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and t is not None]
+    names = sorted({lang for _, lang in learned})
+    table = {lang: Counter() for lang in names}
+    features = {}
+
+    def of(word):
+        if word not in features:
+            whole, gram, _, _ = language.word_features([word], language.BUCKETS)
+            features[word] = (int(whole[0]), [int(g) for g in gram])
+        return features[word]
+
+    for t, lang in learned:
+        for w in set(language.letters(t)):
+            whole, gram = of(w)
+            table[lang].update([whole, *gram])
+    total = {lang: [sum(c for b, c in table[lang].items() if (b < half) == low) + language.SMOOTHING * half for low in (True, False)] for lang in names}
+
+    def log(lang, b):
+        return np.log((table[lang][b] + language.SMOOTHING) / total[lang][b >= half])
+
+    def scores(word):
+        whole, gram = of(word)
+        if sum(table[lang][whole] for lang in names) >= language.TRUST:
+            out = np.array([log(lang, whole) for lang in names])
+        else:
+            out = np.array([np.mean([log(lang, g) for g in gram]) for lang in names])
+        return out - out.max()
+
+    got = {r.doc_id: r for r in registry.op8_language_spans(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    same = 0
+    for i, t, _ in rows:
+        w = language.letters(t)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if not w:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        path = brute_viterbi(np.array([scores(x) for x in w]), language.SWITCH)
+        often = Counter(w)
+        held = Counter()
+        for x, k in zip(w, path, strict=True):
+            held[names[k]] += 1 / np.sqrt(often[x])
+        best = max(sorted(held), key=lambda n: held[n])
+        same += best == got[i].lang_pred and abs(held[best] / sum(held.values()) - got[i].score) < 1e-4
+    # single precision may decide a tie between two paths otherwise
+    assert same >= len([t for _, t, _ in rows if language.letters(t)]) - 1
+
+
 def test_language_of_odd_rows(spark, odd):
     model = language.train(spark.createDataFrame([("the land of the sea", "en"), ("das Land und die See", "de"), ("слово о полку", "ru"), (None, "en"), ("text", None)], "text string, lang string"))
     got = {(r.doc_id, r.lang_pred, r.score > 0) for r in language.identify(odd, model).collect()}
