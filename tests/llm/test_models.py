@@ -24,21 +24,33 @@ def docs(spark):
 # licenses
 
 
+def brute_met(text):
+    """(label, containment) of every line, and every window of a line or of the whole text, against every template."""
+    w, met = words(text), set()
+    lines = [words(line) for line in (text or "").split("\n")]
+    sets = licenses.template_sets(licenses.TEMPLATES)
+    need = [licenses.THRESHOLD * len(s) - 1e-9 for s in sets]
+    labels = [label for _, label in licenses.TEMPLATES]
+    for size in set(licenses.windows()):
+        own = [t for t, x in enumerate(licenses.windows()) if x == size]
+        blocks = [x for x in lines if len(x) <= size] + [x[a : a + size] for x in [*(x for x in lines if len(x) > size), w] for a in range(0, max(1, len(x) - size // 2), size // 2)]
+        for b in map(set, blocks):
+            hits = []
+            for t in own:
+                rivals = [u for u in range(len(sets)) if labels[u] != labels[t] and len(sets[t] & sets[u]) >= need[t]]
+                if b and len(sets[t] & b) >= need[t] and all(sets[t] - sets[u] <= b for u in rivals):
+                    hits.append((t, {u for u in rivals if sets[t] < sets[u]}))
+            met |= {(labels[t], len(sets[t] & b) / len(sets[t])) for t, instead in hits if not instead & {u for u, _ in hits}}
+    return met
+
+
 def brute_scan(text, order=None):
     w = words(text)
     places = []
     for phrase, label in licenses.PHRASES:
         p = phrase.encode().split()
         places += [(k, label) for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
-    met = []
-    for line in (text or "").encode().lower().split(b"\n"):
-        x = words(line.decode())
-        blocks = [x] if len(x) <= licenses.WINDOW else [x[a : a + licenses.WINDOW] for a in range(0, len(x) - licenses.STRIDE, licenses.STRIDE)]
-        for b in blocks:
-            for (_, label), t in zip(licenses.TEMPLATES, licenses.template_sets(licenses.TEMPLATES), strict=True):
-                share = len(t & set(b)) / len(t)
-                if b and share >= licenses.THRESHOLD - 1e-9:
-                    met.append((label, share))
+    met = brute_met(text)
     base = sorted({x for _, x in places})
     starts = [k for k, _ in places]
     every = sorted({x for x, _ in met} | set(base))
@@ -46,7 +58,7 @@ def brute_scan(text, order=None):
 
 
 def test_license_scan_against_brute_force(spark):
-    notice = licenses.TEMPLATES[7][0]
+    notice = next(t for t, label in licenses.TEMPLATES if label == "mit" and len(t.split()) > 10)
     texts = ["Released under the MIT License.", "GNU General Public License, Apache-License\nCC-BY 4.0 cc by", None, "", "x " * 3000 + notice + " y" * 500, notice.replace("hereby", "now"), "the license of the work under the sun", "mit license mit license", "Ünïcode MIT\nLICENSE"]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for r in sorted(got, key=lambda r: r.doc_id):
@@ -69,32 +81,40 @@ BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:"""
 
 
-def brute_wrapped(text):
-    """Labels and score without base phrases: every line, and every window over the whole text's words, against every template."""
-    w = words(text)
-    lines = [words(line) for line in text.split("\n")]
-    windows = [x[a : a + 128] for x in [*lines, w] for a in range(0, max(1, len(x) - 64), 64)]
-    met = [(label, len(t & set(b)) / len(t)) for b in [*lines, *windows] for (_, label), t in zip(licenses.TEMPLATES, licenses.template_sets(licenses.TEMPLATES), strict=True)]
-    met = [(label, share) for label, share in met if share >= licenses.THRESHOLD - 1e-9]
-    return ",".join(sorted({label for label, _ in met})), max((c for _, c in met), default=0.0)
-
-
 def test_license_scan_of_wrapped_notices(spark):
     import textwrap
 
     texts = [MIT, BSD, *("\n".join(" * " + line for line in textwrap.wrap(t, n)) for t in (MIT, BSD) for n in (24, 40, 60))]
-    long = ["x\n" * 100 + MIT + "\ny" * 200, "x y\n" * 1000 + BSD + "\n" + "z " * 300, MIT + "\n\n" + BSD, MIT.split("\n")[0], "released\n" + "x " * 200 + "\nunder the mit licence", BSD + "\n" + licenses.TEMPLATES[8][0]]
+    bsd = next(t for t, label in licenses.TEMPLATES if label == "bsd")
+    long = ["x\n" * 100 + MIT + "\ny" * 200, "x y\n" * 1000 + BSD + "\n" + "z " * 300, MIT + "\n\n" + BSD, MIT.split("\n")[0], "released\n" + "x " * 200 + "\nunder the mit licence", BSD + "\n" + bsd]
     texts += long
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(licenses.scan(docs).collect(), key=lambda r: r.doc_id)
     for r in got:
-        assert (r.labels, r.score) == brute_wrapped(texts[r.doc_id])
+        assert tuple(r)[1:8] == brute_scan(texts[r.doc_id])
     assert [r.labels for r in got] == ["mit", "bsd", *["mit"] * 3, *["bsd"] * 3, "mit", "bsd", "bsd,mit", "", "", "bsd"]
     # a place is named once where one window holds it, and not again around a line that holds it
     blocks = licenses.license_blocks(docs).where("doc_id in (0, 10, 13)").collect()
     assert sorted((r.doc_id, r.label, r.first_word) for r in blocks) == [(0, "mit", 0), (10, "bsd", 0), (10, "mit", 0), (13, "bsd", 21)]
 
 
+def test_every_template_is_found_wrapped_and_alone(spark):
+    """Each notice is named by its own label, wrapped anywhere in other text, and no other license is."""
+    import textwrap
+
+    texts, want = [], []
+    for t, label in licenses.TEMPLATES:
+        for n, before in ((30, 0), (50, 37), (72, 301)):
+            texts.append("filler\n" * before + "\n".join("# " + x for x in textwrap.wrap(t, n)) + "\nend" * 700)
+            want.append(label)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    family = {"gpl-2.0-or-later": "gpl", "gpl-3.0-or-later": "gpl", "gpl-3.0": "gpl", "gpl-2.0": "gpl", "lgpl-2.1-or-later": "lgpl", "apache-2.0": "apache", "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by", "cc-by-nc-4.0": "cc-by"}
+    for r in licenses.scan(docs).collect():
+        own = want[r.doc_id]
+        assert own in r.labels.split(",") and set(r.labels.split(",")) <= {own, family.get(own)}, (own, r.labels)
+        assert tuple(r)[1:8] == brute_scan(texts[r.doc_id])
+
+
 # language
 
 
