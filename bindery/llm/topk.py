@@ -1,13 +1,19 @@
 """Exact top-k inner-product search: tiled matrix products, partial selection per tile, tree merging.
 
-Queries go out in blocks of a fixed number of rows; each candidate partition multiplies its tiles by the block,
-keeps the best of every tile and then of the partition, and the partial lists are merged in a tree whose fan-in is
-fixed, so that no task sees more than ``FAN_IN * k`` rows a query however many partitions there are.
+Queries are dealt into blocks and candidates into shards, by hash; every shard meets every block in one job, as a cell: the
+block's rows first, then the shard's, which are multiplied tile by tile. A tile's best candidates are selected
+from its score matrix, whose size is a parameter, and joined with the best so far; a cell yields at most k rows a query. These
+partial lists are merged in a tree whose fan-in is fixed, so that no task sees more than ``FAN_IN * k`` rows a query however
+many shards there are. Numbers of blocks and shards follow from the numbers of rows, so a block, a shard and a tile are bounded at
+every size; each candidate travels once for each block, each query once for each shard.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take no part, as queries or as
 candidates; rows with a null ``vec_id`` neither. Empty vectors have inner product 0 with each other. Only vectors of one
 length are compared. Ties go to the smaller id. A query is left out of its own candidates by its id, so all rows that
-share its ``vec_id`` are; repeated rows of another id are candidates each. Fewer than k candidates give fewer rows.
+share its ``vec_id`` are; repeated rows of another id are candidates each; queries that repeat in id and vector are one. Fewer
+than k candidates give fewer rows. A score beyond 64 bits is the largest 64-bit integer or
+its negative (plus 1). An empty table gives
+an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,10 +29,14 @@ from bindery.llm.scratch import Scratch
 
 K = 10
 SCALE = 1024
-QUERY_BLOCK = 4096
-TILE = 8192
+#: Queries of a block, candidates of a shard, and scores that a tile may have.
+QUERY_BLOCK, SHARD = 4096, 200_000
+TILE_SCORES = 2_000_000
 FAN_IN = 32
+CELL = "shard int, block int, candidate boolean, vec_id long, embedding array<double>"
 PARTIAL = "query_id long, vec_id long, score long, part int"
+_MOST = np.iinfo(np.int64).max
+_LEAST = -_MOST
 
 
 def quantised(column: pa.Array, ids: pa.Array, scale: int = SCALE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -45,18 +55,25 @@ def quantised(column: pa.Array, ids: pa.Array, scale: int = SCALE) -> list[tuple
         matrix = flat[starts[rows][:, None] + np.arange(n)] if n else np.zeros((len(rows), 0))
         fine = np.isfinite(matrix).all(axis=1)
         if fine.any():
-            out.append((number[rows[fine]], np.floor(scale * matrix[fine])))
+            out.append((number[rows[fine]], np.nan_to_num(np.floor(scale * matrix[fine]))))
     return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: by doubles where no sum can pass 2**53, else in 64-bit integers."""
-    most = (np.abs(a).max(initial=0) * np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2.0**53:
+    """Exact integer inner products: by doubles where no sum can pass 2**53, else, for the few vectors that are so large, in
+    whole numbers of any size, held to 64 bits."""
+    large = [np.abs(x).max(axis=1, initial=0) for x in (a, b)]
+    most = 2.0**53 / max(1, a.shape[1])
+    if float(large[0].max(initial=0)) * float(large[1].max(initial=0)) < most:
         return (a @ b.T).astype(np.int64)
-    if most < 2.0**63:
-        return a.astype(np.int64) @ b.astype(np.int64).T
-    raise OverflowError("an inner product may not fit 64 bits")
+    out = np.empty((len(a), len(b)), np.int64)
+    # vectors that fit with all of ordinary size, and the others one after another
+    plain = [x < np.sqrt(most) for x in large]
+    out[np.ix_(*plain)] = (a[plain[0]] @ b[plain[1]].T).astype(np.int64)
+    whole = [[[int(v) for v in row] for row in x] for x in (a, b)]
+    for i, j in zip(*np.nonzero(~(plain[0][:, None] & plain[1][None, :])), strict=True):
+        out[i, j] = min(max(sum(x * y for x, y in zip(whole[0][i], whole[1][j], strict=True)), _LEAST + 1), _MOST)
+    return out
 
 
 def select(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,35 +87,49 @@ def select(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return tuple(x.ravel() for x in np.indices(score.shape))
 
 
-_LOWEST = -np.iinfo(np.int64).max
-
-
-def _search(block: list[tuple[np.ndarray, np.ndarray]], k: int, scale: int):
-    """mapInArrow function: the best k candidates of this partition for each query of the block."""
+def _cells(k: int, scale: int):
+    """mapInArrow function over rows sorted by shard and block, queries first: the best k candidates of each cell's queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        cell: tuple[int, int] | None = None
+        queries: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        best: dict[int, tuple] = {}
+
+        def end() -> Iterator[pa.RecordBatch]:
+            for row, ids, score in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids), pa.array(score), pa.array(np.full(len(ids), cell[0], np.int32))], names=["query_id", "vec_id", "score", "part"])
 
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for ids, matrix in quantised(batch.column(1), batch.column(0), scale):
-                order = np.argsort(ids, kind="stable")
-                ids, matrix = ids[order], matrix[order]
-                for q, (query_ids, queries) in enumerate(block):
-                    if queries.shape[1] != matrix.shape[1]:
+            shard, block, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if s == e:
+                    continue
+                if (here := (int(shard[s]), int(block[s]))) != cell:
+                    yield from end()
+                    cell, queries, best = here, {}, {}
+                for ids, matrix in quantised(batch.column(4).slice(s, e - s), batch.column(3).slice(s, e - s), scale):
+                    width = matrix.shape[1]
+                    if not side[s]:
+                        queries.setdefault(width, []).append((ids, matrix))
+                        continue
+                    if width not in queries:
                         continue
-                    for at in range(0, len(ids), TILE):
-                        tile = ids[at : at + TILE]
-                        score = products(queries, matrix[at : at + TILE])
-                        own = query_ids[:, None] == tile[None, :]
-                        score[own] = _LOWEST
+                    if len(queries[width]) > 1:
+                        queries[width] = [tuple(np.concatenate(x) for x in zip(*queries[width], strict=True))]
+                    asked, rows = queries[width][0]
+                    order = np.argsort(ids, kind="stable")
+                    step = max(k, TILE_SCORES // len(asked))
+                    for at in range(0, len(ids), step):
+                        tile = ids[order[at : at + step]]
+                        score = products(rows, matrix[order[at : at + step]])
+                        own = asked[:, None] == tile[None, :]
+                        score[own] = _LEAST
                         row, col = select(score, tile, k)
                         fine = ~own[row, col]
-                        got = (row[fine], tile[col[fine]], score[row, col][fine])
-                        best[q] = _merge([best[q], got] if q in best else [got], k)
-        part = TaskContext.get().partitionId()
-        for q, (row, ids, score) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(block[q][0][row]), pa.array(ids), pa.array(score), pa.array(np.full(len(ids), part, np.int32))], names=["query_id", "vec_id", "score", "part"])
+                        got = (asked[row[fine]], tile[col[fine]], score[row, col][fine])
+                        best[width] = _merge([best[width], got] if width in best else [got], k)
+        yield from end()
 
     return run
 
@@ -113,24 +144,26 @@ def _merge(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tu
     return row[fine], ids[fine], score[fine]
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of every query (both: vec_id, embedding)."""
     spark = candidates.sparkSession
     scratch = Scratch(spark, "topk")
-    table = candidates.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    asked = scratch.save(queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null").dropDuplicates(["vec_id", "embedding"]), "queries")
-    n_blocks = max(1, -(-asked.count() // query_block))
-    part = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_blocks))
-    n_parts = 1
-    for n in range(n_blocks):
-        # a block is a bounded number of rows, so it may pass through the driver
-        rows = asked.where(part == n).toArrow()
-        block = quantised(rows.column(1), rows.column(0).combine_chunks(), scale)
-        found = table.mapInArrow(_search(block, k, scale), PARTIAL)
-        found.write.mode("append").parquet(scratch.at("partial"))
-    merged = spark.read.schema(PARTIAL).parquet(scratch.at("partial"))
-    n_parts = (merged.agg(F.max("part")).first()[0] or 0) + 1
-    best = Window.orderBy(F.col("score").desc(), F.col("vec_id"))
+    vec = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
+    table = candidates.select(*vec).where("vec_id is not null and embedding is not null")
+    asked = scratch.save(queries.select(*vec).where("vec_id is not null and embedding is not null").dropDuplicates(["vec_id", "embedding"]), "queries")
+    n_blocks, n_shards = max(1, -(-asked.count() // query_block)), max(1, -(-table.count() // shard))
+
+    def dealt(n: int):
+        return F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = asked.select(every(n_shards).alias("shard"), dealt(n_blocks).alias("block"), F.lit(False).alias("candidate"), "vec_id", "embedding")
+    right = table.select(dealt(n_shards).alias("shard"), every(n_blocks).alias("block"), F.lit(True).alias("candidate"), "vec_id", "embedding")
+    cells = left.unionByName(right).repartition("shard", "block").sortWithinPartitions("shard", "block", "candidate")
+    merged = scratch.save(cells.mapInArrow(_cells(k, scale), PARTIAL), "partial")
+    best, n_parts = Window.orderBy(F.col("score").desc(), F.col("vec_id")), n_shards
     while n_parts > FAN_IN:
         merged = merged.withColumn("part", (F.col("part") / FAN_IN).cast("int"))
         merged = merged.withColumn("_n", F.row_number().over(best.partitionBy("query_id", "part"))).where(F.col("_n") <= k).drop("_n")

@@ -230,11 +230,33 @@ def test_topk_of_odd_rows(spark):
     assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_with_outliers(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(60)] + [(60, [1e30, 1.0, 0.0, 0.0]), (61, [3e8, -2e8, 1e9, 5.0]), (62, [-1e300, 0.0, 0.0, 1e-300])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(table, table.where("vec_id % 20 = 0"), k=5).collect()
+    whole = {k: [int(np.floor(1024 * x)) for x in v] for k, v in rows}
+    for q in (0, 20, 40, 60):
+        score = {k: max(-(2**63) + 2, min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))) for k, v in whole.items() if k != q}
+        want = sorted((-s, k) for k, s in score.items())[:5]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
+def test_topk_of_repeated_queries_and_other_columns(spark):
+    rows = [(0, [1.0], 5), (0, [1.0], 6), (0, [2.0], 7), (1, [3.0], 8), (1, [3.0], 8), (2, [1.0], 9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = topk.top_k(table, table.where("vec_id = 0"), k=3).collect()
+    top = 3 * 1024 * 1024
+    # the two vectors of the query's id share its list
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 2 * top), (2, 1, 2 * top), (3, 1, top)]
+
+
 def test_topk_in_blocks_and_tiles(spark, sf_dir, monkeypatch):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     queries = table.where("vec_id % 20 = 0")
     monkeypatch.setattr(topk, "FAN_IN", 2)
-    got = topk.top_k(table.repartition(7), queries, query_block=6).collect()
+    monkeypatch.setattr(topk, "TILE_SCORES", 100)
+    got = topk.top_k(table.repartition(7), queries, query_block=6, shard=90).collect()
     rows = {r.vec_id: np.floor(1024 * np.array(r.embedding, np.float32).astype(float)) for r in table.collect()}
     for q in (0, 20, 480):
         want = sorted(((-int(rows[q] @ x), v) for v, x in rows.items() if v != q))[:10]
