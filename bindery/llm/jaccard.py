@@ -1,23 +1,29 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Every text's set of five-word shingles gets ``TREES`` sequences of minimum hashes. A tree is the sorted trie of its
-sequences: texts under one node share a prefix. Prefixes are shortened, from ``DEPTH`` hashes down, until a pair at the
-threshold shares a node of some tree with probability of at least the target recall; pairs under a common node whose
-set sizes allow the threshold are then compared by their whole shingle sets. A pair under several nodes is taken under the
-first of its trees alone.
-
-Texts with equal shingle sets are one class with a multiplicity, so copies are never paired row by row. Large nodes
-are dealt into tiles (see ``links``); candidate pairs travel as lists per text and tile, and texts are fetched for tiles
-that hold candidates only.
+Every text's set of five-word shingles gets ``TREES`` sequences of ``DEPTH`` minimum hashes. A tree is the sorted trie of its
+sequences: texts under one node share a prefix of their sequences. Matched prefixes are shortened, from ``DEPTH`` hashes down, for
+every text until it reaches the target recall: until a pair of the least similarity that the text can be linked with shares such
+a prefix in some tree with that probability. That similarity follows from the size of its set and the threshold: few sizes
+allow links right at the threshold where sets are small (a set of six can be linked at 5/6 or more, one of three
+with equal sets alone), so their prefixes stay longer. A pair matches where its longest common prefix reaches the
+longer of its two texts' lengths, since its similarity is possible for both. Matched pairs whose set sizes allow the threshold are
+compared by their whole shingle sets. A pair that matches in several trees is taken in the first of them alone.
+
+The least length of all texts names the subtree that a text goes to; each is sorted by whole sequences. Texts with equal shingle
+sets are one class with a multiplicity, so copies are never paired row by row. Large subtrees
+are dealt into tiles (see ``links``). What travels is texts, not pairs: a tile first finds which of its texts match any, the
+texts are fetched for those, and the tile matches them again and verifies; pairs are never written.
 
 Words: A-Z lower-cased, then runs of ASCII letters and digits and of any character beyond ASCII; a text of fewer than
 five words has one shingle, all of them. Defined cases: a null text, or one without words, links with nothing; null
 and repeated ``doc_id`` are rows of their own (of equal rows one is kept); a class's id is the smallest doc_id in
-its component, null if all are null; an empty table gives an empty result; extra columns are not looked at.
+its component, null if all are null, and of the rows with that id the first is kept; a text of any length is compared whole; an
+empty table gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.links import by_tile, components, map_runs, roots, tiles
+from bindery.llm.links import TILE, by_tile, components, map_runs, roots, tiles
 from bindery.llm.scratch import Scratch
 from bindery.llm.words import hashed, mixed, runs, slices
 
@@ -35,16 +41,33 @@ TREES, DEPTH = 16, 8
 RECALL = 0.9995
 SEED = 42
 #: Columns added to the documents' own.
-OWN = "_d1 long, _d2 long, _n int, _prefixes binary"
+OWN = "_d1 long, _d2 long, _n int, _sequences binary"
+#: Hashes that a sequence may have beyond the least prefix; each is kept as one byte, as a collision only costs a comparison.
+FURTHER = 4
 
 
-def shorten(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix under which a pair at the threshold is found with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def shorten(similarity: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """The longest prefix under which a pair of this similarity matches in some tree with the target recall."""
+    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def least_similarity(n: int, threshold: float = THRESHOLD) -> float:
+    """The least Jaccard similarity at or above the threshold that a set of n can have with another set; 1 if there is none."""
+    sizes = range(math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9) + 1)
+    # the fewest common members that reach the threshold, for each size of the other set
+    found = ((k, n + m - k) for m in sizes if m for k in [math.ceil(threshold * (n + m) / (1 + threshold) - 1e-9)] if k <= min(n, m) and 2 * k < n + m)
+    return min((k / whole for k, whole in found), default=1.0)
+
+
+def depths(most: int = 400, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> np.ndarray:
+    """Length of the prefix that a set of 0, 1, ... members is matched by; the last for all larger ones."""
+    least = shorten(threshold, trees, depth, recall)
+    own = [shorten(least_similarity(n, threshold), trees, depth, recall) for n in range(1, most)]
+    return np.minimum(np.array([depth, *own, least]), least + FURTHER)
+
+
 def shingles(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct hashes of the n-word shingles of each text."""
     found, counts = hashed(texts)
@@ -53,92 +76,100 @@ def shingles(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
 
 
 class Forest:
-    """Prefixes of the minimum-hash sequences of a set, one 64-bit value a tree."""
+    """Minimum-hash sequences of a set: for each tree the hash of its least prefix (8 bytes), and one byte for each of the hashes after it."""
 
-    def __init__(self, trees: int, depth: int, seed: int = SEED):
+    def __init__(self, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.trees, self.depth = trees, depth
-        self.factor = rng.integers(0, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
-
-    def prefixes(self, found: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.factor), np.uint64(2**64 - 1))
+        self.trees, self.threshold = trees, threshold
+        self.least = shorten(threshold, trees, depth, recall)
+        self.depths = depths(threshold=threshold, trees=trees, depth=depth, recall=recall)
+        self.length = min(depth, self.least + FURTHER)
+        self.factor = rng.integers(0, 2**63, trees * self.length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = rng.integers(0, 2**63, trees * self.length, dtype=np.uint64)
+
+    def sequences(self, found: np.ndarray) -> bytes:
+        low = np.full(len(self.factor), np.uint64(2**64 - 1))
         for at in range(0, len(found), 2048):
-            np.minimum(least, (found[at : at + 2048, None] * self.factor + self.add).min(axis=0), out=least)
-        h = mixed(np.arange(self.trees).astype(np.uint64))
-        for level in least.reshape(self.trees, self.depth).T:
-            h = mixed(h * np.uint64(31) + mixed(level))
-        return h
+            np.minimum(low, (found[at : at + 2048, None] * self.factor + self.add).min(axis=0), out=low)
+        levels = low.reshape(self.trees, self.length).T
+        top = mixed(np.arange(self.trees).astype(np.uint64))
+        for level in levels[: self.least]:
+            top = mixed(top * np.uint64(31) + mixed(level))
+        rest = np.zeros(self.trees, np.uint32)  # the first of them is the highest byte
+        for k, level in enumerate(levels[self.least :]):
+            rest |= (mixed(level) >> np.uint64(56)).astype(np.uint32) << np.uint32(8 * (FURTHER - 1 - k))
+        return top.tobytes() + rest.tobytes()
 
 
 def _prepare(at_text: int, n_words: int, forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, at_text):
-                d1, d2, n, prefix = [], [], [], []
+                d1, d2, n, sequences = [], [], [], []
                 for found in shingles(some.column(at_text).to_pylist(), n_words):
                     n.append(len(found))
                     if not len(found):
-                        d1.append(None), d2.append(None), prefix.append(None)
+                        d1.append(None), d2.append(None), sequences.append(None)
                         continue
                     # the sums of two scramblings of a set stand for the set
                     d1.append(int(mixed(found + np.uint64(1)).sum().view(np.int64)))
                     d2.append(int(mixed(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)))
-                    prefix.append(forest.prefixes(found).tobytes())
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.binary())], names=[*some.schema.names, "_d1", "_d2", "_n", "_prefixes"])
+                    sequences.append(forest.sequences(found))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()), pa.array(sequences, pa.binary())], names=[*some.schema.names, "_d1", "_d2", "_n", "_sequences"])
 
     return run
 
 
-def _candidates(threshold: float, trees: int):
-    """For every text of a tile that has candidates there: its candidates of which it is the first (may be none)."""
+class Tries:
+    """The members of tiles that stand one after another in a batch, with their sequences.
+
+    Columns: tree, prefix, tile_i, tile_j, side, uid, n, sequences.
+    """
+
+    def __init__(self, forest: Forest, batch: pa.RecordBatch):
+        self.tree = batch.column(0).to_numpy()
+        self.own_tile = batch.column(2).to_numpy() == batch.column(3).to_numpy()
+        self.side, self.n = batch.column(4).to_numpy(), batch.column(6).to_numpy().astype(float)
+        raw = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        self.top = raw[:, : 8 * forest.trees].copy().view(np.uint64)
+        self.rest = raw[:, 8 * forest.trees :].copy().view(np.uint32)
+        # two sequences with one least prefix match if they differ below this only
+        depth = forest.depths[np.minimum(self.n.astype(int), len(forest.depths) - 1)]
+        self.below = (1 << (8 * (forest.least + FURTHER - depth))).astype(np.int64)
+        self.threshold = forest.threshold
+
+    def pairs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tile, member, member) of the pairs of which the tile's tree is the first where they match; rows: (tiles, members) of
+        tiles of one size and tree."""
+        t, some = int(self.tree[rows[0, 0]]), self.n[rows]
+        fit = np.minimum(some[:, :, None], some[:, None, :]) >= self.threshold * np.maximum(some[:, :, None], some[:, None, :]) - 1e-9
+        fit &= np.triu(np.ones(fit.shape[1:], bool), 1)
+        fit &= self.own_tile[rows[:, 0]][:, None, None] | (self.side[rows][:, :, None] != self.side[rows][:, None, :])
+        below = np.minimum(self.below[rows][:, :, None], self.below[rows][:, None, :])
+        for k in [t, *range(t)]:
+            top, rest = self.top[rows, k], self.rest[rows, k]
+            match = (top[:, :, None] == top[:, None, :]) & ((rest[:, :, None] ^ rest[:, None, :]) < below)
+            fit &= match if k == t else ~match
+        return np.nonzero(fit)
+
+
+def _matching(forest: Forest):
+    """The rows of each tile that match any other there."""
 
     def work(batch: pa.RecordBatch, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        tree = batch.column(0).to_numpy()
-        ti, tj, side = (batch.column(k).to_numpy() for k in (2, 3, 4))
-        uid, n = batch.column(5).to_numpy(), batch.column(6).to_numpy().astype(float)
-        prefix = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, trees)
-        a_all, b_all, tile_all = [], [], []
-
-        def among(rows: np.ndarray) -> None:
-            """rows: (tiles, members) of tiles of one size and tree."""
-            t = int(tree[rows[0, 0]])
-            some = n[rows]
-            fit = np.minimum(some[:, :, None], some[:, None, :]) >= threshold * np.maximum(some[:, :, None], some[:, None, :]) - 1e-9
-            fit &= np.triu(np.ones(fit.shape[1:], bool), 1)
-            fit &= (ti[rows[:, 0]] == tj[rows[:, 0]])[:, None, None] | (side[rows][:, :, None] != side[rows][:, None, :])
-            for k in range(t):
-                p = prefix[rows, k]
-                fit &= p[:, :, None] != p[:, None, :]
-            of, a, b = np.nonzero(fit)
-            a_all.append(rows[of, a])
-            b_all.append(rows[of, b])
-            tile_all.append(rows[of, 0])
-
-        size = np.diff(edges)
-        starts = edges[:-1]
+        tries, used = Tries(forest, batch), np.zeros(batch.num_rows, bool)
+        size, starts = np.diff(edges), edges[:-1]
         for m in np.unique(size).tolist():
-            if m < 2:
-                continue
             same = starts[size == m]
-            for t in np.unique(tree[same]):
-                own = same[tree[same] == t]
-                step = max(1, 200_000 // (m * m))
+            for t in np.unique(tries.tree[same]) if m > 1 else ():
+                own = same[tries.tree[same] == t]
+                step = max(1, 200_000 // (m * m))  # tiles at once
                 for at in range(0, len(own), step):
-                    among(own[at : at + step][:, None] + np.arange(m))
-        if not a_all or not sum(map(len, a_all)):
-            return
-        a, b, tile = (np.concatenate(x) for x in (a_all, b_all, tile_all))
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        used = np.unique(np.concatenate([a, b]))
-        first = np.searchsorted(a, used)
-        last = np.searchsorted(a, used, "right")
-        # rows are of one tile each, and b of a row belongs to the same tile
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, last[-1:]).astype(np.int32)), pa.array(uid[b]))
-        assert (first[1:] == last[:-1]).all()
-        take = pa.array(used)
-        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in (0, 1, 2, 3, 5)), lists], names=["tree", "prefix", "tile_i", "tile_j", "uid", "others"])
+                    rows = own[at : at + step][:, None] + np.arange(m)
+                    of, a, b = tries.pairs(rows)
+                    used[rows[of, a]] = used[rows[of, b]] = True
+        if used.any():
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(used)) for k in range(6)], names=batch.schema.names[:6])
 
     return work
 
@@ -165,29 +196,30 @@ def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out[a, b].astype(np.int64)
 
 
-def _verify(threshold: float, n_words: int):
-    """Links of each tile: for every text its linked multiplicity, number of linked classes and the least text it is joined to."""
+def _verify(forest: Forest, n_words: int):
+    """Links of each tile: for every text its linked multiplicity and the least text of the tile that it is joined to."""
 
     def work(batch: pa.RecordBatch, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        uid, many = batch.column(4).to_numpy(), batch.column(6).to_numpy()
-        others, texts = batch.column(5), batch.column(7)
+        tries = Tries(forest, batch)
+        uid, many, texts = batch.column(5).to_numpy(), batch.column(8).to_numpy(), batch.column(9)
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = uid[s:e]
-            order = np.argsort(own)
-            lists = others.slice(s, e - s)
-            a = np.repeat(np.arange(e - s), lists.value_lengths().to_numpy())
-            b = order[np.searchsorted(own[order], lists.flatten().to_numpy())]
+            _, a, b = tries.pairs(np.arange(s, e)[None, :])
+            if not len(a):
+                continue
             sets = shingles(texts.slice(s, e - s).to_pylist(), n_words)
             size = np.array([len(x) for x in sets])
             both = shared(sets, a, b)
-            fine = both >= threshold * (size[a] + size[b] - both) - 1e-9
+            fine = both >= forest.threshold * (size[a] + size[b] - both) - 1e-9
             a, b = a[fine], b[fine]
             if not len(a):
                 continue
+            own = uid[s:e]
+            order = np.argsort(own)
+            place = np.argsort(order)
             ends = np.concatenate([a, b])
             linked = np.bincount(ends, np.concatenate([many[s + b], many[s + a]]), e - s).astype(np.int64)
             used = np.unique(ends)
-            root = order[roots(e - s, np.argsort(order)[a], np.argsort(order)[b])[np.argsort(order)]]
+            root = order[roots(e - s, place[a], place[b])[place]]
             yield pa.RecordBatch.from_arrays([pa.array(own[used]), pa.array(linked[used]), pa.array(own[root[used]])], names=["uid", "linked", "root"])
 
     return work
@@ -195,45 +227,41 @@ def _verify(threshold: float, n_words: int):
 
 def _joined(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """The documents with ``_uid``, a number of the row, and for every row: doc_id, _uid, n_links, class_id, kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    forest = Forest(trees, shorten(threshold, trees, depth, recall))
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    forest = Forest(threshold, trees, depth, recall)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     prepared = docs.mapInArrow(_prepare(docs.columns.index("text"), n_words, forest), f"{kinds}, {OWN}")
     # written once, so that the numbers stay
     prepared = scratch.save(prepared.withColumn("_uid", F.monotonically_increasing_id()), "prepared")
-    rows = prepared.select(F.col("doc_id").cast("long").alias("doc_id"), "_uid", "_d1", "_d2", "_n")
-    sets = prepared.where("_n > 0").select(F.col("_uid").alias("uid"), F.col("_n").alias("n"), F.col("_prefixes").alias("prefixes"), "text")
-    classes = rows.where("_n > 0").groupBy("_d1", "_d2").agg(F.min("_uid").alias("uid"), F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("least"))
-    classes = scratch.save(classes, "classes")
-    reps = scratch.save(sets.select("uid", "n", "prefixes").join(classes.select("uid", "many"), "uid"), "reps")
-    # a tree's prefix is 8 bytes of the row's; grouping needs it only to be equal
-    nodes = reps.select("uid", "prefixes", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    nodes = nodes.select("tree", F.conv(F.hex(F.expr("substring(prefixes, tree * 8 + 1, 8)")), 16, -10).cast("long").alias("prefix"), "uid")
-    members = tiles(nodes, ["tree", "prefix"], "uid").join(reps.select("uid", "n", "prefixes"), "uid")
-    members = by_tile(members.select("tree", "prefix", "tile_i", "tile_j", "side", "uid", "n", "prefixes"), ["tree", "prefix"])
-    candidates = scratch.save(map_runs(members, 4, _candidates(threshold, trees), "tree int, prefix long, tile_i int, tile_j int, uid long, others array<long>"), "candidates")
-    # merged at every size: candidates grow with the input, so no plan may hang on their being few
-    texts = sets.select("uid", "text").hint("merge").join(candidates, "uid").join(classes.select("uid", "many"), "uid")
-    texts = by_tile(texts.select("tree", "prefix", "tile_i", "tile_j", "uid", "others", "many", "text"), ["tree", "prefix"])
-    linked = scratch.save(map_runs(texts, 4, _verify(threshold, n_words), "uid long, linked long, root long"), "linked")
-    scratch.drop("candidates")
+    # one row a set: the least row of it, and its least document and that one's first row, null ids last
+    of_row = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").cast("long").alias("id"), F.col("_uid").alias("row"))
+    reps = prepared.where("_n > 0").groupBy("_d1", "_d2").agg(
+        F.min("_uid").alias("uid"), F.count(F.lit(1)).alias("many"), F.min(of_row).alias("best"), F.min("_n").alias("n"), F.min("_sequences").alias("sequences"),
+    )
+    reps = scratch.save(reps, "reps")
+    node = ["tree", "prefix"]
+    nodes = reps.select("uid", "sequences", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    nodes = nodes.select("tree", F.conv(F.hex(F.expr("substring(sequences, tree * 8 + 1, 8)")), 16, -10).cast("long").alias("prefix"), "uid")
+    key = [*node, *TILE, "side", "uid"]
+    members = tiles(nodes, node, "uid").join(reps.select("uid", "n", "sequences"), "uid")
+    matching = map_runs(by_tile(members.select(*key, "n", "sequences"), node), 4, _matching(forest), "tree int, prefix long, tile_i int, tile_j int, side int, uid long")
+    # merged at every size: what matches grows with the input, so no plan may hang on its being little
+    texts = prepared.select(F.col("_uid").alias("uid"), "text").hint("merge").join(matching, "uid").join(reps.select("uid", "n", "sequences", "many"), "uid")
+    texts = by_tile(texts.select(*key, "n", "sequences", "many", "text"), node)
+    linked = scratch.save(map_runs(texts, 4, _verify(forest, n_words), "uid long, linked long, root long"), "linked")
     group = components(linked.select(F.col("uid").alias("a"), F.col("root").alias("b")), "jaccard-components")
-    counted = classes.join(linked.groupBy("uid").agg(F.sum("linked").alias("linked")), "uid", "left").join(group.withColumnRenamed("node", "uid"), "uid", "left")
-    counted = counted.select("_d1", "_d2", "least", F.coalesce("component", "uid").alias("component"), (F.col("many") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    counted = scratch.save(counted, "counted")
-    least = counted.groupBy("component").agg(F.min("least").alias("class_id"))
-    found = counted.join(least, "component").select("_d1", "_d2", "n_links", "class_id", F.col("component").alias("class_uid"))
-    alone = F.col("_n") == 0
-    rows = rows.join(found, ["_d1", "_d2"], "left").select(
+    # a component's best is that of its sets; a set without links is its own
+    least = group.join(reps.select(F.col("uid").alias("node"), "best"), "node").groupBy("component").agg(F.min("best").alias("of_component"))
+    linked = group.join(least, "component").join(linked.groupBy(F.col("uid").alias("node")).agg(F.sum("linked").alias("linked")), "node", "left")
+    found = reps.join(linked.withColumnRenamed("node", "uid"), "uid", "left").select(
+        "_d1", "_d2", F.coalesce("of_component", "best").alias("best"), (F.col("many") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+    )
+    rows = prepared.select(F.col("doc_id").cast("long").alias("doc_id"), "_uid", "_d1", "_d2").join(found, ["_d1", "_d2"], "left")
+    alone = F.col("best").isNull()
+    return prepared, rows.select(
         "doc_id", "_uid", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("_uid")).otherwise(F.col("class_uid")).alias("class_uid"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("class_id"), (alone | (F.col("best.row") == F.col("_uid"))).alias("kept"),
     )
-    rows = scratch.save(rows, "rows")
-    # of a class's rows with the class's id, or of all where that is null, the first stays
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_uid").agg(F.min("_uid").alias("_first"))
-    rows = rows.join(first.select(F.col("_first").alias("_uid"), F.lit(True).alias("_kept")), "_uid", "left")
-    return prepared, rows.select("doc_id", "_uid", "n_links", "class_id", F.coalesce("_kept", F.lit(False)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

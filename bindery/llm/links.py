@@ -104,21 +104,16 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, component (the smallest node it reaches) of every node of the edges (a, b: long).
+    """node, component (the smallest node it reaches) of every node of the edges (a, b: long; a written table, as it is read again).
 
     Alternating large-star and small-star steps, each a group minimum joined back to the edges and written to the
-    shared folder, until no edge changes; the number of rounds grows with the logarithm of the longest path.
+    shared folder, until every edge leads to a node that none leads on from; the number of rounds grows with the
+    logarithm of the longest path.
     """
     scratch = Scratch(edges.sparkSession, name)
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    held = scratch.save(edges.where("a <> b").select(a, b).distinct(), "edges0")
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first())
-
-    seen, step = mark(held), 0
-    while seen[0]:
-        step += 1
+    held, step = edges.where("a <> b").select(a, b).distinct(), 0
+    while True:
         # large star: the larger neighbours of a node are linked to the smallest of its neighbours and itself
         both = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("_m", "a").alias("_m"))
@@ -127,12 +122,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
         linked = large.join(least, "a")
         small = linked.where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).union(least.select("a", F.col("_m").alias("b")))
+        step += 1
         held = scratch.save(small.select(a, b).where("a <> b").distinct(), f"edges{step}")
-        before, seen = seen, mark(held)
-        scratch.drop(f"edges{step - 1}")
-        if seen == before:
+        if step > 1:
+            scratch.drop(f"edges{step - 1}")
+        # a node with two edges, or one that is led to and leads on, is not settled
+        open_ends = held.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("of")).union(held.select(F.col("b").alias("a"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("of")).distinct())
+        if not open_ends.groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").limit(1).count():
             break
-    return held.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(held.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return held.select(F.col("a").alias("node"), F.col("b").alias("component")).union(held.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def map_runs(rows: DataFrame, n_keys: int, work: Callable, schema: str) -> DataFrame:

@@ -101,9 +101,49 @@ def brute_pairs(texts):
     return [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
 
 
-def test_prefix_length_meets_the_recall():
-    depth = jaccard.shorten()
-    assert 1 - (1 - 0.8**depth) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard.TREES
+def test_prefix_lengths_meet_the_recall():
+    """Each set is matched by the longest prefix that finds the least similar of its possible partners, and lengths differ."""
+    lengths = jaccard.depths()
+    for n, depth in enumerate(lengths.tolist()):
+        if not n:
+            continue
+        possible = [k / (n + m - k) for m in range(1, 2 * n + 3) for k in range(1, min(n, m) + 1) if 2 * k < n + m and k / (n + m - k) >= 0.8 - 1e-9]
+        least = min(possible, default=1.0) if n < 60 else 0.8
+        assert abs(jaccard.least_similarity(n) - least) < 1e-9 or n >= 60
+        found = lambda d: 1 - (1 - least**d) ** jaccard.TREES
+        assert found(depth) >= jaccard.RECALL and (depth == jaccard.DEPTH or found(depth + 1) < jaccard.RECALL)
+    assert len(set(lengths.tolist())) > 2 and lengths[3] == jaccard.DEPTH and lengths[6] == 5 and lengths[-1] == jaccard.shorten() == 4
+
+
+def test_pairs_match_by_their_longest_common_prefix():
+    forest = jaccard.Forest()
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(1, 2**62, n).astype(np.uint64)) for n in (6, 6, 7, 40)]
+    sets += [np.unique(np.append(sets[0], np.uint64(5))), sets[3][1:], sets[3][2:]]
+    raw = [forest.sequences(x) for x in sets]
+    top = [np.frombuffer(x[: 8 * forest.trees], np.uint64) for x in raw]
+    rest = [np.frombuffer(x[8 * forest.trees :], np.uint32) for x in raw]
+    import pyarrow as pa
+
+    for t in range(forest.trees):
+        m = len(sets)
+        batch = pa.RecordBatch.from_pydict({"tree": [t] * m, "prefix": [0] * m, "tile_i": [0] * m, "tile_j": [0] * m, "side": [0] * m, "uid": list(range(m)), "n": [len(x) for x in sets], "sequences": raw})
+        _, a, b = jaccard.Tries(forest, batch).pairs(np.arange(m)[None, :])
+
+        def common(i, j, k):
+            """Hashes that begin both sequences of a tree."""
+            if top[i][k] != top[j][k]:
+                return 0
+            x = int(rest[i][k] ^ rest[j][k])
+            return forest.least + next((d for d in range(4) if x >> (8 * (3 - d))), 4)
+
+        want = []
+        for i, j in itertools.combinations(range(m), 2):
+            need = max(forest.depths[len(sets[i])], forest.depths[len(sets[j])])
+            first = next((k for k in range(forest.trees) if common(i, j, k) >= need), None)
+            if first == t and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])):
+                want.append((i, j))
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
 def test_shingles_of_short_texts():
@@ -176,6 +216,16 @@ def test_components_of_a_long_path(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 99), (100, 101), (5, 5)]
     got = {r.node: r.component for r in links.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
     assert got == {k: 0 for k in range(41)} | {99: 99, 100: 99, 101: 99}
+    assert links.components(spark.createDataFrame([(5, 5)], "a long, b long"), "test").count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(9)
+    for n, m in ((40, 25), (60, 60), (30, 90)):
+        edges = rng.integers(0, n, (m, 2)).tolist()
+        label = components(n, [(a, b) for a, b in edges])
+        got = {r.node: r.component for r in links.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+        assert got == {k: label[k] for a, b in edges if a != b for k in (a, b)}
 
 
 def test_intersections_by_matrix():
