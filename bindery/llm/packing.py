@@ -1,15 +1,20 @@
 """Best-fit packing of token sequences, in bulk-synchronous sweeps.
 
 Documents are tokenised and cut into pieces of at most ``SEQUENCE`` tokens; pieces are range-sorted by falling
-length over the cluster, which gives each its rank. A sweep matches the longest pieces not yet placed with the
-smallest gap that holds them (the successor of their length among the sorted gaps), pieces and gaps of equal size
-meeting rank by rank, updates the gaps and goes on to the next length. Since pieces of one length, and gaps of one size,
-differ only by rank, a sweep works on runs (size, first rank, count): at most ``SEQUENCE`` lengths and sizes, whatever the
-number of documents. Runs are matched on the driver in that fixed space; pieces find their run by their rank where they
-are. The result is that of best-fit decreasing over all pieces at once.
+length over the cluster, which gives each its rank. The open gaps of the sequences are a table too, range-sorted by size. Pieces
+are placed in rounds, each a band of lengths (over a half of a sequence, over a quarter, ...). A round's sweep gives
+every length, the longest first, the successor of its length among the gap sizes, and where pieces of one length meet gaps of one
+size, conflicts are resolved by rank: the first piece takes the first gap. Sizes are at most ``SEQUENCE``, so what is decided once for
+all pieces of a length, the runs (length, first rank, gap size, first gap, count), is a list of bounded size, made from the counts
+of lengths and gap sizes. Pieces find their run by their rank and so the number of their gap where they are, are joined with the gaps
+on it, and what they take is subtracted from the gaps, which are sorted again for the next round.
+
+Gaps of one size are alike, so the result is that of best-fit decreasing over all pieces at once, with a fixed number of rounds.
 
 Defined cases: a null text is empty (one piece of the end id); null and repeated ``doc_id`` are kept as they are, each row
-a document of its own; an empty table gives an empty result; other columns are not looked at.
+a document of its own; rows equal in id and text have equal pieces, which take neighbouring ranks; pieces of one length and gaps of one size
+are ranked by their other columns; a text of any length is tokenised whole; an empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from bindery.llm.tokens import encoder, vocabulary_path
 from bindery.llm.words import slices
 
 SEQUENCE = 1024
+#: Rounds: lengths over a half, over a quarter, ... of a sequence, and the rest.
+ROUNDS = 5
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 RANKED = f"{PIECE}, part int, place long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -77,27 +84,32 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Sweeps:
-    """The runs of gaps, and for each run of ranks where its pieces go.
+    """The sweeps of one round: runs of gaps by size, and for each run of ranks which gaps its pieces take.
 
-    ``first``: first rank of a placement; ``sequence``: the sequence of that rank, the next rank having the next one;
-    ``offset``: the place there.
+    ``first``: first rank of a placement; ``number``: the gap of that rank, the next rank having the next one; ``offset``: the
+    place in its sequence. New sequences are gaps numbered on from those there are.
     """
 
-    def __init__(self, most: int):
-        self.most, self.rank, self.n_sequences = most, 0, 0
-        self.sizes: list[int] = []  # of the gaps, rising
+    def __init__(self, most: int, rank: int = 0, gaps: dict[int, int] | None = None):
+        """gaps: how many there are of each size, numbered by rising size."""
+        self.most, self.rank, self.opened = most, rank, 0
         self.runs: dict[int, list[tuple[int, int]]] = {}
+        self.n_gaps = 0
+        for size, n in sorted((gaps or {}).items()):
+            self.runs[size] = [(self.n_gaps, n)]
+            self.n_gaps += n
+        self.sizes = sorted(self.runs)
         self.first: list[int] = []
-        self.sequence: list[int] = []
+        self.number: list[int] = []
         self.offset: list[int] = []
 
-    def _gap(self, size: int, sequence: int, count: int) -> None:
+    def _gap(self, size: int, number: int, count: int) -> None:
         if size > 0 and count > 0:
             if size not in self.runs:
                 bisect.insort(self.sizes, size)
-            self.runs.setdefault(size, []).append((sequence, count))
+            self.runs.setdefault(size, []).append((number, count))
 
-    def _fill(self, gap: int, sequence: int, room: int, length: int, count: int) -> int:
+    def _fill(self, gap: int, number: int, room: int, length: int, count: int) -> int:
         """Put up to ``count`` pieces into ``room`` equal gaps, each filled before the next; returns how many went in."""
         deep = gap // length
         count = min(count, room * deep)
@@ -105,12 +117,12 @@ class Sweeps:
         for layer in range(deep):
             if here := full + (layer < rest):
                 self.first.append(self.rank)
-                self.sequence.append(sequence)
+                self.number.append(number)
                 self.offset.append(self.most - gap + layer * length)
                 self.rank += here
-        self._gap(gap - deep * length, sequence, full)
-        self._gap(gap - rest * length, sequence + full, 1 if rest else 0)
-        self._gap(gap, sequence + full + (rest > 0), room - full - (rest > 0))
+        self._gap(gap - deep * length, number, full)
+        self._gap(gap - rest * length, number + full, 1 if rest else 0)
+        self._gap(gap, number + full + (rest > 0), room - full - (rest > 0))
         return count
 
     def place(self, length: int, count: int) -> None:
@@ -119,41 +131,66 @@ class Sweeps:
             at = bisect.bisect_left(self.sizes, length)
             if at == len(self.sizes):
                 new = -(-count // (self.most // length))
-                self.n_sequences += new
-                count -= self._fill(self.most, self.n_sequences - new, new, length, count)
+                number = self.n_gaps + self.opened
+                self.opened += new
+                count -= self._fill(self.most, number, new, length, count)
                 continue
             size = self.sizes[at]
-            sequence, room = self.runs[size].pop(0)
+            number, room = self.runs[size].pop(0)
             if not self.runs[size]:
                 del self.runs[size], self.sizes[at]
-            count -= self._fill(size, sequence, room, length, count)
+            count -= self._fill(size, number, room, length, count)
+
+
+def bands(most: int, rounds: int = ROUNDS) -> list[tuple[int, int]]:
+    """(least, most) lengths of each round."""
+    ends = [most >> k for k in range(rounds)] + [0]
+    return [(low + 1, high) for high, low in zip(ends, ends[1:], strict=False) if high > low]
 
 
-def plan(histogram: dict[int, int], most: int = SEQUENCE) -> Sweeps:
-    sweeps = Sweeps(most)
-    for length in sorted(histogram, reverse=True):
-        sweeps.place(length, histogram[length])
-    return sweeps
+def _global(base: dict[int, int], part: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers over all partitions of rows numbered within each."""
+    known = {p: base[p] for p in np.unique(part).tolist()}
+    return place + np.array([known[p] for p in part.tolist()], np.int64)
 
 
 def _assign(base: dict[int, int], sweeps: Sweeps):
-    first, sequence, offset = (np.array(x, np.int64) for x in (sweeps.first, sweeps.sequence, sweeps.offset))
+    first, number, offset = (np.array(x, np.int64) for x in (sweeps.first, sweeps.number, sweeps.offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
-            known = {p: base[p] for p in np.unique(part).tolist()}
-            rank = place + np.array([known[p] for p in part.tolist()], np.int64)
+            rank = _global(base, *(batch.column(k).to_numpy(zero_copy_only=False) for k in (5, 6)))
             at = np.searchsorted(first, rank, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(3)), batch.column(3).cast(pa.int64()), batch.column(4), pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                [*(batch.column(k) for k in range(3)), batch.column(3).cast(pa.int64()), batch.column(4), pa.array(number[at] + rank - first[at]), pa.array(offset[at])],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "number", "offset"],
             )
 
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, most: int = SEQUENCE) -> DataFrame:
+def _gap_numbers(base: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = _global(base, *(batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)))
+            yield pa.RecordBatch.from_arrays([pa.array(number), batch.column(0), batch.column(1)], names=["number", "sequence_id", "gap"])
+
+    return run
+
+
+def _counted(rows: DataFrame, size: str) -> tuple[dict[int, int], dict[int, int]]:
+    """The number of rows before each range partition, and of each size: a row for each partition and each size in it."""
+    found = rows.groupBy("part", size).count().collect()
+    by_part: dict[int, int] = {}
+    by_size: dict[int, int] = {}
+    for r in found:
+        by_part[r["part"]] = by_part.get(r["part"], 0) + r["count"]
+        by_size[r[size]] = by_size.get(r[size], 0) + r["count"]
+    parts = sorted(by_part)
+    return dict(zip(parts, np.cumsum([0, *(by_part[p] for p in parts)]).tolist(), strict=False)), by_size
+
+
+def pack(docs: DataFrame, vocabulary: str | None = None, most: int = SEQUENCE, rounds: int = ROUNDS) -> DataFrame:
     """Every piece of every document with its sequence and its offset there."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -161,14 +198,37 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = SEQUENCE) -
     key = [F.col("length").desc(), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
     ranked = scratch.save(cut_up.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_numbered, RANKED), "ranked")
     scratch.drop("pieces")
-    # a row for each range partition and each length: both numbers are set by parameters
-    counts = ranked.groupBy("part", "length").count().groupBy("part").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("length", "count"))).alias("by_length")).collect()
-    base, histogram, total = {}, {}, 0
-    for r in sorted(counts, key=lambda r: r["part"]):
-        base[r["part"]], total = total, total + r["n"]
-        for length, n in r["by_length"].items():
-            histogram[length] = histogram.get(length, 0) + n
-    return ranked.mapInArrow(_assign(base, plan(histogram, most)), PLACED)
+    base, lengths = _counted(ranked, "length")
+    rank, n_sequences, left = 0, 0, sum(lengths.values())
+    out: DataFrame | None = None
+    gaps: DataFrame | None = None
+    sizes: dict[int, int] = {}
+    for low, high in bands(most, rounds):
+        own = {n: c for n, c in lengths.items() if low <= n <= high}
+        if not own:
+            continue
+        sweeps = Sweeps(most, rank, sizes)
+        for n in sorted(own, reverse=True):
+            sweeps.place(n, own[n])
+        rank, left = sweeps.rank, left - sum(own.values())
+        placed = ranked.where(F.col("length").between(low, high)).mapInArrow(_assign(base, sweeps), PLACED.replace("sequence_id", "number"))
+        new = F.col("number") - (sweeps.n_gaps - n_sequences)
+        found = placed.withColumn("sequence_id", new) if gaps is None else placed.join(gaps.select("number", F.col("sequence_id").alias("_held")), "number", "left").withColumn("sequence_id", F.coalesce("_held", new))
+        found = found.select(*(c.split()[0] for c in PLACED.split(", ")))
+        out = found if out is None else out.union(found)
+        if left:
+            # what a sequence holds is what its last piece ends at; sequences without new pieces stay as they are
+            filled = found.groupBy("sequence_id").agg(F.max(F.col("offset") + F.col("length")).alias("end"))
+            open_now = filled.select("sequence_id", (most - F.col("end")).cast("int").alias("gap"))
+            if gaps is not None:
+                open_now = open_now.union(gaps.join(filled, "sequence_id", "left_anti").select("sequence_id", "gap"))
+            order = ["gap", "sequence_id"]
+            open_now = open_now.where("gap > 0").repartitionByRange(*order).sortWithinPartitions(*order)
+            table = scratch.save(open_now.mapInArrow(_numbered, "sequence_id long, gap int, part int, place long"), f"gaps{low}")
+            before, sizes = _counted(table, "gap")
+            gaps = table.mapInArrow(_gap_numbers(before), "number long, sequence_id long, gap int")
+        n_sequences += sweeps.opened
+    return spark.createDataFrame([], PLACED) if out is None else out
 
 
 def assemble(docs: DataFrame, placed: DataFrame, vocabulary: str | None = None, most: int = SEQUENCE) -> DataFrame:

@@ -150,24 +150,31 @@ def best_fit_decreasing(lengths, most):
 
 def test_sweeps_equal_best_fit_decreasing():
     rng = np.random.default_rng(11)
-    for _ in range(60):
+    for turn in range(60):
         most = int(rng.integers(5, 60))
-        lengths = rng.integers(1, most + 1, int(rng.integers(1, 300)))
-        sweeps = packing.plan({int(n): int((lengths == n).sum()) for n in np.unique(lengths)}, most)
-        assert sweeps.n_sequences == best_fit_decreasing(lengths.tolist(), most)
-        ordered = np.sort(lengths)[::-1]
-        first, sequence, offset = map(np.array, (sweeps.first, sweeps.sequence, sweeps.offset))
-        at = np.searchsorted(first, np.arange(len(ordered)), "right") - 1
-        place = defaultdict(list)
-        for n, s, o in zip(ordered, sequence[at] + np.arange(len(ordered)) - first[at], offset[at], strict=True):
-            place[int(s)].append((int(o), int(n)))
-        for parts in place.values():
-            end = 0
-            for o, n in sorted(parts):
-                assert o == end
-                end += n
-            assert end <= most
-        assert len(place) == sweeps.n_sequences
+        lengths = np.sort(rng.integers(1, most + 1, int(rng.integers(1, 300))))[::-1]
+        filled: list[int] = []  # tokens of each sequence
+        rank = 0
+        for low, high in packing.bands(most, 1 + turn % 6):
+            order = sorted((k for k, n in enumerate(filled) if n < most), key=lambda k: most - filled[k])
+            sizes = dict(zip(*(x.tolist() for x in np.unique([most - filled[k] for k in order], return_counts=True)), strict=True)) if order else {}
+            own = lengths[(lengths >= low) & (lengths <= high)]
+            sweeps = packing.Sweeps(most, rank, {int(n): c for n, c in sizes.items()})
+            for n in np.unique(own)[::-1].tolist():
+                sweeps.place(n, int((own == n).sum()))
+            order += range(len(filled), len(filled) + sweeps.opened)
+            filled += [0] * sweeps.opened
+            first, number, offset = map(np.array, (sweeps.first, sweeps.number, sweeps.offset))
+            ranks = np.arange(rank, rank + len(own))
+            at = np.searchsorted(first, ranks, "right") - 1 if len(own) else ranks
+            taken = sorted(zip(offset[at], number[at] + ranks - first[at], own, strict=True)) if len(own) else []
+            for o, k, n in taken:  # by rising offset: each piece begins where its sequence ends
+                assert filled[order[k]] == o
+                filled[order[k]] += n
+            rank += len(own)
+            assert rank == sweeps.rank
+        assert rank == len(lengths) and max(filled) <= most and min(filled) > 0
+        assert len(filled) == best_fit_decreasing(lengths.tolist(), most)
 
 
 def test_packing_of_odd_rows(spark, odd_docs):
