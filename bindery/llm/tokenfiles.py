@@ -1,11 +1,13 @@
-"""Token-id output: whole texts as ids in Simple-8b files, written in rising doc_id order and read back.
+"""Token-id output: whole texts as ids in Simple-8b segments, written in rising doc_id order and read back.
 
-Rows are range-partitioned by doc_id and sorted, so the files of part 0, 1, ... in order hold all documents in order. A
-task writes its part as files of about ``FILE_IDS`` ids, each under a temporary name and then moved, so that a
-repeated task replaces its own file with the same bytes. A file's name holds its part and its number there.
+Rows are range-partitioned by doc_id and sorted, so the segments in the order of part and number hold all documents in order. A
+segment is a whole Simple-8b file of about ``SEGMENT_IDS`` ids (see ``simple8b``): header, document numbers and lengths, offsets
+of its blocks, packed words. Segments are written as binary values of a table, by Spark's own writer and committers, to any
+folder that Spark can write to; a lost task leaves nothing behind. Each can be decoded alone, and so can each of its blocks.
 
 Defined cases: a null text is empty (its only id is the end id); a null doc_id sorts first and stays null; rows of one
-doc_id are ordered by their text's checksum and length; an empty table gives no files; other columns are not looked at.
+doc_id are ordered by their text's checksum and length; a text of any length is encoded whole, in one segment; an empty table gives
+no segments and an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,111 +23,92 @@ from pyspark.sql import functions as F
 from bindery.llm.scratch import Scratch
 from bindery.llm.simple8b import Reader, pack_file
 from bindery.llm.tokens import encoder, vocabulary_path
+from bindery.llm.words import SOME_ROWS, slices
 
-FILE_IDS = 4_000_000
-MANIFEST = "part int, file int, n_docs long, n_ids long, first_id long, n_bytes long"
-DOCUMENT = "part int, file int, doc_id long, place long, n_tokens long, ids_crc32 long"
+SEGMENT_IDS = 1_000_000
+SEGMENT = "part int, segment int, n_docs long, n_ids long, first_id long, data binary"
+DOCUMENT = "part int, segment int, doc_id long, place long, n_tokens long, ids_crc32 long"
 
 
-def _put(folder: str, name: str, raw: bytes) -> None:
-    """Write one file whole: readers see it only under its final name."""
-    import uuid
-
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    temporary = f"{path}/_{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(temporary) as out:
-        out.write(raw)
-    store.move(temporary, f"{path}/{name}")
-
-
-def _get(uri: str) -> bytes:
-    import re
-
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-    with store.open_input_file(path) as source:
-        return source.read()
-
-
-def _writer(folder: str, vocabulary: str, file_ids: int, some: int):
+def _segments(vocabulary: str, segment_ids: int, some_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, files, first = TaskContext.get().partitionId(), 0, 0
+        part, segment, first = TaskContext.get().partitionId(), 0, 0
         encode = encoder(vocabulary)
         numbers: list[int | None] = []
         lengths: list[np.ndarray] = []
         held: list[np.ndarray] = []
 
         def flush():
-            nonlocal files, first
+            nonlocal segment, first
             ids = np.concatenate(held)
-            raw = pack_file(numbers, np.concatenate(lengths), ids)
-            _put(folder, f"part-{part:06d}-{files:06d}.s8b", raw)
-            row = {"part": [part], "file": [files], "n_docs": [len(numbers)], "n_ids": [len(ids)], "first_id": [first], "n_bytes": [len(raw)]}
-            files, first = files + 1, first + len(ids)
+            data = pack_file(numbers, np.concatenate(lengths), ids)
+            row = [[part], [segment], [len(numbers)], [len(ids)], [first], [data]]
+            segment, first = segment + 1, first + len(ids)
             numbers.clear(), lengths.clear(), held.clear()
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("file", pa.int32()), *((k, pa.int64()) for k in ("n_docs", "n_ids", "first_id", "n_bytes"))]))
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, some):
-                rows = batch.slice(at, some)
-                ids, n = encode.batch(rows.column(1).to_pylist())
-                numbers += rows.column(0).to_pylist()
-                lengths.append(n)
-                held.append(ids)
-                if sum(map(len, held)) >= file_ids:
-                    yield flush()
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in SEGMENT.split(", ")])
+
+        for rows in (s for batch in batches for s in slices(batch, 1, some_rows)):
+            ids, n = encode.batch(rows.column(1).to_pylist())
+            numbers += rows.column(0).to_pylist()
+            lengths.append(n)
+            held.append(ids)
+            if sum(map(len, held)) >= segment_ids:
+                yield flush()
         if held:
             yield flush()
 
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, file_ids: int = FILE_IDS, some: int = 1000) -> DataFrame:
-    """Write the files into a folder that all executors share; returns the manifest, one row a file."""
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, segment_ids: int = SEGMENT_IDS, some: int = SOME_ROWS) -> DataFrame:
+    """Write the segments into a folder; returns their table."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"), F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
     ordered = ordered.repartitionByRange("doc_id", "_crc", "_n").sortWithinPartitions("doc_id", "_crc", "_n").select("doc_id", "text")
-    return ordered.mapInArrow(_writer(folder, vocabulary or vocabulary_path(), file_ids, some), MANIFEST)
+    # packed words don't compress further
+    ordered.mapInArrow(_segments(vocabulary or vocabulary_path(), segment_ids, some), SEGMENT).write.option("compression", "none").parquet(folder)
+    return token_segments(docs.sparkSession, folder)
+
+
+def token_segments(spark, folder: str) -> DataFrame:
+    return spark.read.schema(SEGMENT).parquet(folder)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path in batch.column(0).to_pylist():
-            part, file = (int(x) for x in path.rsplit("/", 1)[-1].split(".")[0].split("-")[1:])
-            reader = Reader(_get(path))
+        for k in range(batch.num_rows):
+            part, segment, data = (batch.column(c)[k].as_py() for c in range(3))
+            reader = Reader(data)
             numbers, crcs = [], []
             for number, ids in reader.documents():
                 numbers.append(number)
                 crcs.append(zlib.crc32(np.ascontiguousarray(ids, "<u4")))
             n = len(numbers)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, file, np.int32)), pa.array(numbers, pa.int64()), pa.array(reader.starts[:-1]), pa.array(reader.lengths), pa.array(crcs, pa.int64())],
-                names=["part", "file", "doc_id", "place", "n_tokens", "ids_crc32"],
+                [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, segment, np.int32)), pa.array(numbers, pa.int64()), pa.array(reader.starts[:-1]), pa.array(reader.lengths), pa.array(crcs, pa.int64())],
+                names=["part", "segment", "doc_id", "place", "n_tokens", "ids_crc32"],
             )
 
 
 def read_token_files(spark, folder: str) -> DataFrame:
-    """One row per document of the files of a folder: its place there, its number of ids and their checksum."""
-    # Spark lists the files and deals them out by size; a file's bytes go to the worker that decodes them, not through rows
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder).select("path")
-    return files.mapInArrow(_documents, DOCUMENT)
+    """One row per document of the segments of a folder: its place there, its number of ids and their checksum."""
+    return token_segments(spark, folder).select("part", "segment", "data").mapInArrow(_documents, DOCUMENT)
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None, file_ids: int = FILE_IDS, some: int = 1000) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, part, file: what the files hold once written."""
+def round_trip(docs: DataFrame, vocabulary: str | None = None, segment_ids: int = SEGMENT_IDS, some: int = SOME_ROWS) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, part, segment: what the segments hold once written."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "token-files")
-    manifest = scratch.save(write_token_files(docs, scratch.at("ids"), vocabulary, file_ids, some), "manifest")
-    # one row per range partition, a number set by the session, comes to the driver
-    parts = sorted((r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, part int, file int")
-    before = np.concatenate([[0], np.cumsum([n for _, n in parts])])
-    base = F.create_map(*(F.lit(x) for (part, _), n in zip(parts, before[:-1].tolist(), strict=True) for x in (part, n)))
-    found = read_token_files(spark, scratch.at("ids")).join(manifest.select("part", "file", "first_id"), ["part", "file"])
-    return found.select("doc_id", (base[F.col("part")].cast("long") + F.col("first_id") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "part", "file")
+    folder = Scratch(spark, "token-files").at("ids")
+    segments = write_token_files(docs, folder, vocabulary, segment_ids, some)
+    # ids before each segment: sums over the parts before it, one row a range partition, and its own place in its part
+    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
+    before, rows = 0, []
+    for r in sorted(parts, key=lambda r: r["part"]):
+        rows.append((r["part"], before))
+        before += r["n"]
+    starts = segments.select("part", "segment", "first_id").join(F.broadcast(spark.createDataFrame(rows, "part int, before long")), "part")
+    starts = starts.select("part", "segment", (F.col("before") + F.col("first_id")).alias("first"))
+    found = read_token_files(spark, folder).join(starts, ["part", "segment"])
+    return found.select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "part", "segment")

@@ -103,7 +103,7 @@ def test_token_files_against_brute_force(spark, sf_dir):
 
 
 def test_token_files_of_odd_rows(spark, odd_docs):
-    got = sorted(tokenfiles.round_trip(odd_docs, file_ids=50, some=2).collect(), key=lambda r: r.start)
+    got = sorted(tokenfiles.round_trip(odd_docs, segment_ids=50, some=2).collect(), key=lambda r: r.start)
     assert len(got) == 8 and got[0].doc_id is None and got[0].start == 0
     ends = [r.start + r.n_tokens for r in got]
     assert [r.start for r in got[1:]] == ends[:-1]
