@@ -1,7 +1,8 @@
 """Normalised text and the similarities built on it.
 
-Normalising needs Unicode decomposition, which Spark lacks, so it is the one vectorised UDF here; apply it to distinct
-strings (``norm_dimension``) and join. Everything on normalised text is built-in expressions.
+Normalising needs Unicode decomposition, which Spark lacks, so it is the one vectorised UDF here, and it sees only what is not
+ASCII: ``normalised`` of a column, ``norm_dimension`` of distinct strings to join, ``norm_lookup`` of the strings of a row.
+Everything else, and everything on normalised text, is built-in expressions.
 """
 
 from __future__ import annotations
@@ -60,9 +61,41 @@ def norm(values: pd.Series) -> pd.Series:
     return values.map(normalise)
 
 
+def ascii_norm(value: Column) -> Column:
+    """The normalised form of ASCII text."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9]+", " "))
+    return F.rtrim(F.regexp_extract(plain, f"^(?: ?[^ ]){{0,{NORM_CAP}}}", 0))
+
+
+def normalised(value: Column) -> Column:
+    """The normalised form of any text; what is ASCII stays in the JVM."""
+    beyond = value.rlike(r"[^\x00-\x7F]")
+    return F.when(beyond, norm(F.when(beyond, value))).otherwise(ascii_norm(value))
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _norm_map(values: pd.Series) -> pd.Series:
+    return values.map(lambda found: {} if found is None else {v: normalise(v) for v in found})
+
+
+def norm_lookup(strings: Column) -> Column:
+    """Map of those strings of an array that are not ASCII to their normalised forms, for ``looked_up``."""
+    return _norm_map(F.array_distinct(F.filter(strings, lambda v: v.rlike(r"[^\x00-\x7F]"))))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def looked_up(value: Column, lookup: Column) -> Column:
+    """The normalised form of a string that is ASCII or in the lookup; usable within lambdas."""
+    return bound(value, lambda v: F.coalesce(F.try_element_at(lookup, v), ascii_norm(v)))
+
+
 def norm_dimension(strings: DataFrame, column: str) -> DataFrame:
-    """``column`` and its ``<column>_norm`` for every distinct value: the UDF runs once a value."""
-    return strings.select(column).distinct().withColumn(f"{column}_norm", norm(column))
+    """``column`` and its ``<column>_norm`` for every distinct value: normalising runs once a value."""
+    return strings.select(column).distinct().withColumn(f"{column}_norm", normalised(F.col(column)))
 
 
 def words(normalised: Column) -> Column:

@@ -1,39 +1,12 @@
-"""Reconciling books with their chosen candidates: proposals as long rows, and the editor's flags on them."""
+"""The editor's rows: proposals with what is changed, supported and suggested, and edits by hand over them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.functions.records import Proposal, identify
 from bindery.operators.state import meaningful
-from bindery.schema import CBZ_FIELDS, NAMES
-
-PROPOSAL = "book string, field string, current array<string>, value array<string>, evidence string, review boolean"
-
-
-def _listed(value) -> list[str]:
-    return list(value) if isinstance(value, list) else [] if value in (None, "") else [value]
-
-
-def proposals(rows: DataFrame) -> DataFrame:
-    """rows: book, filename, current (struct of fields), record (struct of a candidate). One row for each book and field."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                p = Proposal({k: v for k, v in (r["current"] or {}).items() if v is not None}, r["record"] or {}, r["filename"] or "")
-                for name in NAMES:
-                    out.append((r["book"], name, _listed(p.book.get(name)), _listed(p.values.get(name)), p.evidence.get(name, ""), p.review.get(name, False)))
-            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.bool_())
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in PROPOSAL.split(", ")])
-
-    return rows.select(F.col("book").cast("string").alias("book"), "filename", "current", "record").mapInArrow(run, PROPOSAL)
+from bindery.schema import CBZ_FIELDS
 
 
 def supported(filename: Column, field: Column) -> Column:
@@ -59,20 +32,3 @@ def editor_rows(proposed: DataFrame, filename: Column, edits: DataFrame | None =
     rows = rows.withColumn("changed", changed).withColumn("supported", supported(filename, F.col("field")))
     told = F.col("edited") | (F.size("value") > 0) | ((F.col("field") == "subtitle") & (F.col("evidence") != ""))
     return rows.withColumn("suggested", F.col("changed") & F.col("supported") & ~F.col("review") & told)
-
-
-def identities(books: DataFrame) -> DataFrame:
-    """books: book, filename, current. book, titles, authors, series, series_index, languages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(r["book"], identify({k: v for k, v in (r["current"] or {}).items() if v is not None}, r["filename"] or "")) for r in batch.to_pylist()]
-            many, one = pa.list_(pa.string()), pa.string()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in rows], one), *(pa.array([getattr(i, n) for _, i in rows], k) for n, k in (("titles", many), ("authors", many), ("series", one), ("series_index", one), ("languages", many)))],
-                names=["book", "titles", "authors", "series", "series_index", "languages"],
-            )
-
-    return books.select(F.col("book").cast("string").alias("book"), "filename", "current").mapInArrow(run, "book string, titles array<string>, authors array<string>, series string, series_index string, languages array<string>")
-
-

@@ -57,7 +57,7 @@ def sql_similarity(a: str, b: str) -> str:
 
 @query(f"SELECT 'document' AS kind, doc_id AS id, {SQL_NORM.format('text')} AS norm FROM documents UNION ALL SELECT 'part', p_partkey, {SQL_NORM.format('p_name')} FROM part")
 def norm_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), tx.norm("text").alias("norm"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), tx.normalised(F.col("text")).alias("norm"))
     parts = table(spark, sf_dir, "part")
     named = parts.join(tx.norm_dimension(parts, "p_name"), "p_name").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name_norm").alias("norm"))
     return docs.unionByName(named)

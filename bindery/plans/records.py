@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.operators import library, match, reconcile, state
+from bindery.operators import library, match, proposals, reconcile, state
 from bindery.plans.catalog import query, table
+from bindery.schema import NAMES
 from bindery.sources import properties
 from bindery.streaming import jobs
 
@@ -25,11 +26,16 @@ def _books(spark, sf_dir) -> DataFrame:
         F.when(k % 4 == 0, F.col("p_brand")).alias("series"),
         F.when(k % 3 == 0, F.lit("Old")).alias("publisher"),
         F.when(k % 2 == 0, F.array(F.lit("en"))).otherwise(none).alias("languages"),
+        F.when(k % 9 == 0, F.array(F.lit("Someone Else"))).alias("translators"),
     )
     record = F.struct(
         F.concat(F.col("p_brand"), F.lit(" #"), F.col("p_size").cast("string"), F.lit(" - "), F.col("p_name")).alias("title"),
         F.when(k % 4 == 0, F.array(F.lit("Someone Else"))).otherwise(F.array("p_type")).alias("authors"),
         F.lit("New").alias("publisher"),
+        F.lit("2001-02-03").alias("pubdate"),
+        F.col("p_type").alias("description"),
+        F.array("p_brand").alias("categories"),
+        F.when(k % 10 == 0, F.col("p_name")).alias("original_title"),
         F.when(k % 7 == 0, F.lit("fr")).otherwise(F.lit("eng")).alias("language"),
         (k % 5 == 0).alias("work_record"),
         F.lit("Catalog").alias("source"),
@@ -46,25 +52,38 @@ WITH b AS (
 SELECT book, CASE WHEN k = 0 AND sub THEN 'The ' || name || '|' || name || '|' || label WHEN k = 0 THEN name || '|' || label ELSE name END AS titles FROM b
 """)
 def identity(spark, sf_dir):
-    found = reconcile.identities(_books(spark, sf_dir).select("book", "filename", "current"))
+    found = proposals.identities(_books(spark, sf_dir).select("book", "filename", "current"))
     return found.select("book", F.array_join("titles", "|").alias("titles"))
 
 
-@query("""
-WITH b AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS book, p_type, p_partkey % 5 = 0 AS work, p_partkey % 2 = 0 AND p_partkey % 7 = 0 AS other FROM part)
-SELECT book, 'publisher' AS field, CASE WHEN k % 3 = 0 AND (work OR other) THEN 'Old' ELSE 'New' END AS value, k % 3 <> 0 AND (work OR other) AS review, NOT (k % 3 = 0 AND (work OR other)) AS changed,
-  NOT (work OR other) AS suggested FROM b
-UNION ALL
-SELECT book, 'languages', CASE WHEN k % 2 = 0 THEN 'en' WHEN k % 7 = 0 THEN 'fr' ELSE 'en' END, k % 2 = 1 AND work, k % 2 = 1, k % 2 = 1 AND NOT work FROM b
-UNION ALL
-SELECT book, 'authors', CASE WHEN k % 4 = 0 THEN 'Someone Else' ELSE p_type END, k % 4 = 0, k % 4 = 0, false FROM b
-UNION ALL
-SELECT book, 'catalog_url', 'https://c/' || k, false, true, true FROM b
+#: What SQL says of each field: value, evidence, review, changed; w: the record is of a work, o: in another language.
+_FIELD_SQL = {
+    "title": ("CASE WHEN k % 8 = 0 THEN 'The ' || p_name ELSE p_name END", f"CASE WHEN k % 8 = 0 THEN '{proposals.PROMOTED}' WHEN k % 4 = 2 AND o THEN '{proposals.KEPT_IN_LANGUAGE.replace("'", "''")}' ELSE 'Catalog{proposals.SEPARATED}' END", "false", "k % 4 < 2"),
+    "subtitle": ("''", f"CASE WHEN k % 8 = 0 THEN '{proposals.PROMOTED_DUPLICATE}' ELSE '' END", "false", "k % 8 = 0"),
+    "series": ("p_brand", f"CASE WHEN k % 4 = 0 THEN '' ELSE 'Catalog{proposals.NUMBERED_SERIES}' END", "false", "k % 4 <> 0"),
+    "series_index": ("p_size::VARCHAR", f"'Catalog{proposals.NUMBERED_SERIES}'", "false", "true"),
+    "publisher": ("CASE WHEN k % 3 = 0 AND (w OR o) THEN 'Old' ELSE 'New' END", f"CASE WHEN k % 3 = 0 AND (w OR o) THEN '{proposals.KEPT_EDITION}' WHEN w THEN 'Catalog{proposals.WORK_NOTE}' ELSE 'Catalog' END", "k % 3 <> 0 AND (w OR o)", "NOT (k % 3 = 0 AND (w OR o))"),
+    "pubdate": ("'2001-02-03'", f"CASE WHEN w THEN 'Catalog{proposals.WORK_NOTE}' ELSE 'Catalog' END", "w OR o", "true"),
+    "languages": ("CASE WHEN k % 2 = 0 THEN 'en' WHEN k % 7 = 0 THEN 'fr' ELSE 'en' END", f"CASE WHEN k % 2 = 0 THEN CASE WHEN o THEN '{proposals.KEPT_LANGUAGE}' ELSE '' END WHEN w THEN 'Catalog{proposals.WORK_NOTE}' ELSE 'Catalog' END", "k % 2 = 1 AND w", "k % 2 = 1"),
+    "authors": ("CASE WHEN k % 4 = 0 AND k % 9 <> 0 THEN 'Someone Else' ELSE p_type END", "CASE WHEN k % 36 = 0 THEN '' ELSE 'Catalog' END", "k % 4 = 0 AND k % 9 <> 0", "k % 4 = 0 AND k % 9 <> 0"),
+    "translators": ("CASE WHEN k % 9 = 0 THEN 'Someone Else' ELSE '' END", f"CASE WHEN k % 36 = 0 THEN 'Catalog{proposals.ROLES_RECONCILED}' ELSE '' END", "k % 36 = 0", "false"),
+    "tags": ("p_brand", "'Catalog'", "false", "true"),
+    "comments": ("p_type", "'Catalog'", "false", "true"),
+    "catalog_url": ("'https://c/' || k", "'Catalog'", "false", "true"),
+    "original_title": ("CASE WHEN k % 10 = 0 THEN p_name ELSE '' END", "CASE WHEN k % 10 = 0 THEN 'Catalog' ELSE '' END", "false", "k % 10 = 0"),
+}
+_ROWS_SQL = " UNION ALL ".join(
+    "SELECT k::VARCHAR AS book, '{}' AS field, {} AS value, {} AS evidence, {} AS review, {} AS changed FROM b".format(name, *_FIELD_SQL.get(name, ("''", "''", "false", "false"))) for name in NAMES
+)
+
+
+@query(f"""
+WITH b AS (SELECT *, p_partkey AS k, p_partkey % 5 = 0 AS w, p_partkey % 14 = 0 AS o FROM part), r AS ({_ROWS_SQL})
+SELECT *, changed AND NOT review AND (value <> '' OR field = 'subtitle' AND evidence <> '') AS suggested FROM r
 """)
 def reconcile_flags(spark, sf_dir):
-    rows = reconcile.editor_rows(reconcile.proposals(_books(spark, sf_dir)), F.lit("a.epub"))
-    rows = rows.where(F.col("field").isin("publisher", "languages", "authors", "catalog_url"))
-    return rows.select("book", "field", F.array_join("value", ", ").alias("value"), "review", "changed", "suggested")
+    rows = reconcile.editor_rows(proposals.proposals(_books(spark, sf_dir)), F.lit("a.epub"))
+    return rows.select("book", "field", F.array_join("value", ", ").alias("value"), "evidence", "review", "changed", "suggested")
 
 
 @query("SELECT event_type, count(*) AS completed, count(*) FILTER (event_type = 'error' OR value < 5) AS failures FROM events GROUP BY event_type")
