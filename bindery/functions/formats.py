@@ -132,7 +132,12 @@ def looks_like_body(text: Column, least: int = 1300, sentences: int = 4) -> Colu
     return (t != "") & (t.rlike(CHAPTER) | ((F.octet_length(t) >= least) & ~t.rlike(FRONT_MATTER) & (F.regexp_count(t, F.lit(SENTENCE)) >= sentences)))
 
 
-def natural_key(value: Column, width: int = 20) -> Column:
-    """A string that sorts as a name does whose numbers compare by value."""
+def natural_key(value: Column) -> Column:
+    """A string that sorts as a name does whose numbers compare by value, however long: the number of digits stands before them."""
     runs = F.regexp_extract_all(F.lower(value), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=[0-9])", ""), width, "0")).otherwise(r)), "")
+
+    def key(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(run)
+
+    return F.array_join(F.transform(runs, lambda r: key(r)), "")

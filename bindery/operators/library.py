@@ -103,6 +103,36 @@ def migrate(full: DataFrame, current: DataFrame) -> DataFrame:
     return changes(current, full.where(F.col("field").isin(NAMES)), ["path", "field"])
 
 
+def migrate_json(drafts: DataFrame, current: DataFrame) -> DataFrame:
+    """As ``migrate``, of drafts that are (path, json: an object of field to list of values); a malformed one fails it all."""
+    fields = F.from_json("json", "map<string,array<string>>", {"mode": "FAILFAST"})
+    return migrate(drafts.select("path", F.explode(fields).alias("field", "values")), current)
+
+
+def search_guard(query: Column, known: Column, catalogs: Column, cache_only: Column) -> Column:
+    """struct<error, warning>: why a search does not run, or that it can find nothing; both empty where it runs."""
+    error = F.when(~known, F.lit("book is not in the library")).when(F.trim(F.coalesce(query, F.lit(""))) == "", F.lit("search text is empty")).otherwise(F.lit(""))
+    none = (catalogs == 0) & ~cache_only & (error == "")
+    return F.struct(error.alias("error"), F.when(none, F.lit("no catalog is enabled")).otherwise(F.lit("")).alias("warning"))
+
+
+def lookup_outcomes(lookups: DataFrame, book: str) -> DataFrame:
+    """Of each book's lookups (provider, pos, error, canceled, found): candidates kept, providers that failed, and warnings in order.
+
+    What a failed lookup has found is kept; one that was canceled is no failure and says nothing. A book has at most as many
+    warnings as lookups of its plan.
+    """
+    told = (F.coalesce("error", F.lit("")) != "") & ~F.col("canceled")
+    said = F.when(told, F.struct("provider", "pos", F.concat_ws(": ", "provider", "error").alias("text")))
+    rows = lookups.groupBy(book).agg(F.sum("found").alias("candidates"), F.array_sort(F.collect_set(F.when(told, F.col("provider")))).alias("failed"), F.array_sort(F.collect_list(said)).alias("said"))
+    return rows.select(book, "candidates", "failed", F.transform("said", lambda x: x["text"]).alias("warnings"))
+
+
+def export_json(rows: DataFrame) -> DataFrame:
+    """Every row as one JSON object."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def cache_action(hit: Column, candidates: Column, ignore: Column, cache_only: Column, background: Column) -> Column:
     """use, miss or retry: an empty hit serves a background or cache-only search, and an explicit one looks again."""
     return F.when(ignore | ~hit, F.lit("miss")).when(cache_only | background | (candidates > 0), F.lit("use")).otherwise(F.lit("retry"))
@@ -112,6 +142,12 @@ def cacheable(candidates: Column, warnings: Column, canceled: Column, days: Colu
     return ((candidates > 0) | (warnings == 0)) & ~canceled & (days > 0)
 
 
+def outcome_lists(results: DataFrame, commit: str) -> DataFrame:
+    """The saved paths of each commit, and its failures as "path: error", in the order of paths; a commit is what a user selected."""
+    lists = {"saved": F.when(F.col("saved"), F.col("path")), "failures": F.when(~F.col("saved"), F.concat_ws(": ", "path", "error"))}
+    return results.groupBy(commit).agg(*(F.array_sort(F.collect_list(c)).alias(n) for n, c in lists.items()))
+
+
 def outcome(results: DataFrame) -> DataFrame:
     """saved and failed counts of a commit's rows (path, saved, error)."""
     return results.agg(F.count_if("saved").alias("saved"), F.count_if(~F.col("saved")).alias("failed"))

@@ -93,11 +93,21 @@ def discard(state: DataFrame, selected: DataFrame) -> DataFrame:
     return state.join(chosen, "path", "left").withColumn("staged", F.when(F.col("_gone"), F.lit(None).cast(kinds["staged"])).otherwise(F.col("staged"))).drop("_gone").select(*state.columns)
 
 
+def row_of(state: DataFrame, path: Column | str) -> DataFrame:
+    """The state row of one path; reading it fails where there is none."""
+    asked = state.sparkSession.range(1).select((F.lit(path) if isinstance(path, str) else path).alias("path"))
+    found = asked.join(state.withColumn("_found", F.lit(True)), "path", "left")
+    return found.where(F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit("no such book: "), F.col("path"))).cast("boolean")).otherwise(F.lit(True))).drop("_found")
+
+
 class Versions:
-    """A table as numbered versions in one folder: readers follow a pointer that a commit moves last."""
+    """A table as numbered versions in one folder: readers follow a pointer that a commit moves last.
+
+    A pointer also holds the number of the schema that the version was written with; a newer one than ``schema`` is refused.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schema: int = 1):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -115,9 +125,11 @@ class Versions:
             return None
         source = self._fs.open(self._path(f"{self.path}/pointers/v{n}"))
         try:
-            name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+            name, _, schema = self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8").partition("\n")
         finally:
             source.close()
+        if int(schema or 1) > self.schema:
+            raise RuntimeError(f"written with schema {schema}, newer than {self.schema}")
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def commit(self, table: DataFrame, seen: int) -> int:
@@ -128,7 +140,7 @@ class Versions:
             raise RuntimeError("another version was committed meanwhile")
         out = self._fs.create(self._path(f"{self.path}/pointers/v{seen + 1}"), False)  # fails if it exists
         try:
-            out.write(bytearray(name.encode()))
+            out.write(bytearray(f"{name}\n{self.schema}".encode()))
         finally:
             out.close()
         return seen + 1

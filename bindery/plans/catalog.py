@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from bindery.plans import records  # noqa: F401  (registers its queries)
+    from bindery.plans import records, shelves  # noqa: F401  (they register their queries)
 
     return dict(QUERIES)
 
@@ -69,14 +69,15 @@ def _names(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""
-WITH n AS (SELECT DISTINCT p_brand, {SQL_PLAIN.format('p_name')} AS t FROM part)
-SELECT x.p_brand AS p_brand, x.t AS a, y.t AS b, round({sql_similarity('x.t', 'y.t')}, 6) AS score, round({SQL_EDIT.format('x.t', 'y.t')}, 6) AS edit
-FROM n x JOIN n y ON x.p_brand = y.p_brand
+WITH n AS (SELECT p_partkey, {SQL_PLAIN.format('p_name')} AS t FROM part)
+SELECT x.p_partkey AS p_partkey, x.t AS a, y.t AS b, round({sql_similarity('x.t', 'y.t')}, 6) AS score, round({SQL_EDIT.format('x.t', 'y.t')}, 6) AS edit
+FROM n x JOIN n y ON y.p_partkey = x.p_partkey + 1
 """)
 def text_similarity(spark, sf_dir):
-    n = _names(spark, sf_dir).select("p_brand", F.col("p_name_norm").alias("t")).distinct()
-    a, b = n.withColumnRenamed("t", "a"), n.withColumnRenamed("t", "b")
-    return a.join(b, "p_brand").select("p_brand", "a", "b", F.round(tx.text_similarity(F.col("a"), F.col("b")), 6).alias("score"), F.round(tx.edit_similarity(F.col("a"), F.col("b")), 6).alias("edit"))
+    """Every part's name and the next one's."""
+    n = _names(spark, sf_dir)
+    a, b = n.select("p_partkey", F.col("p_name_norm").alias("a")), n.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name_norm").alias("b"))
+    return a.join(b, "p_partkey").select("p_partkey", "a", "b", F.round(tx.text_similarity(F.col("a"), F.col("b")), 6).alias("score"), F.round(tx.edit_similarity(F.col("a"), F.col("b")), 6).alias("edit"))
 
 
 @query(f"""
@@ -90,40 +91,60 @@ def fuzzy_topk(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query()
+_SQL_NUMBER = "CASE WHEN s_suppkey % 2 = 0 THEN 8.0 / 9 ELSE 1 END"
+
+
+@query(f"""
+WITH m AS (SELECT s_suppkey, 2 * (0.9 + {_SQL_NUMBER} + 1) / 6 AS similarity FROM supplier)
+SELECT s_suppkey, round(similarity, 6)::DOUBLE AS similarity, round((similarity + 0.95) / 2, 6)::DOUBLE AS score FROM m
+""")
 def author_greedy(spark, sf_dir):
-    """Supplier names, split into two words and turned round, against the names they come from."""
+    """Supplier names of three words, turned round, one word cut to its initial and in half of them one letter changed."""
     s = table(spark, sf_dir, "supplier")
     s = s.join(tx.norm_dimension(s, "s_name"), "s_name")
-    name = F.concat_ws(" ", F.col("s_name_norm"), F.concat(F.lit("k"), F.col("s_nationkey").cast("string")))
-    turned = F.concat_ws(" ", F.concat(F.lit("k"), F.col("s_nationkey").cast("string")), F.left("s_name_norm", F.lit(1)), F.substring("s_name_norm", 10, 20))
+    nation = F.concat(F.lit("k"), F.col("s_nationkey").cast("string"))
+    number = F.substring("s_name_norm", 10, 20)
+    number = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("x"), F.substring(number, 2, 20))).otherwise(number)
+    turned = F.concat_ws(" ", nation, F.left("s_name_norm", F.lit(1)), number)
     score = tx.author_score(F.array(F.col("name"), F.lit("jane doe")), F.array(F.lit("doe j"), F.col("turned")))
-    return s.select("s_suppkey", name.alias("name"), turned.alias("turned")).select("s_suppkey", F.round(tx.author_similarity(F.col("name"), F.col("turned")), 6).alias("similarity"), F.round(score, 6).alias("score"))
+    rows = s.select("s_suppkey", F.concat_ws(" ", "s_name_norm", nation).alias("name"), turned.alias("turned"))
+    return rows.select("s_suppkey", F.round(tx.author_similarity(F.col("name"), F.col("turned")), 6).alias("similarity"), F.round(score, 6).alias("score"))
 
 
 @query(f"""
 WITH b AS (
-  SELECT p_partkey, p_brand, p_size, {SQL_PLAIN.format('p_name')} AS t, 'brand ' || lower(p_type) AS author FROM part
+  SELECT p_partkey AS k, {SQL_PLAIN.format('p_name')} || CASE WHEN p_partkey % 4 = 0 THEN ' ' || p_size ELSE '' END AS t, 'brand ' || lower(p_type) AS author, p_size FROM part
 ), p AS (
-  SELECT x.p_partkey AS book, y.p_partkey AS candidate, x.t AS lt, y.t AS rt, x.author AS la, y.author AS ra, x.p_size % 3 = y.p_size % 3 AS language
-  FROM b x JOIN b y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey
-), q AS (
-  SELECT *, {sql_similarity('lt', 'rt')} AS title, {sql_similarity('la', 'ra')} AS author FROM p
-), w AS (SELECT *, 0.7 * title + 0.25 * author + CASE WHEN language THEN 0.05 ELSE 0 END AS raw FROM q),
-z AS (SELECT *, raw * CASE WHEN author < 0.35 THEN 0.65 ELSE 1 END AS total FROM w)
+  SELECT x.k AS book, y.k AS candidate, x.t AS lt, y.t AS rt, x.author AS la, y.author AS ra, x.p_size % 3 = y.p_size % 3 AS language, x.k % 5 <> 0 AS has_authors, x.k % 3 <> 0 AS has_languages,
+    y.k % 7 <> 0 AS remote_authors, x.k % 4 = 0 AND y.k % 4 = 0 AND x.p_size <> y.p_size AS numbers, x.k % 6 = 0 AND x.p_size <> y.p_size AS volumes, (x.k + y.k) % 11 = 0 AS isbn
+  FROM b x JOIN (SELECT *, k - unnest([1, 2, 4]) AS book FROM b) y ON y.book = x.k
+), q AS (SELECT *, {sql_similarity('lt', 'rt')} AS title, {sql_similarity('la', 'ra')} AS author FROM p),
+w AS (
+  SELECT *, (0.7 * title + CASE WHEN has_authors THEN 0.25 * author ELSE 0 END + CASE WHEN has_languages AND language THEN 0.05 ELSE 0 END)
+    / (0.7 + CASE WHEN has_authors THEN 0.25 ELSE 0 END + CASE WHEN has_languages THEN 0.05 ELSE 0 END) AS raw FROM q
+),
+z AS (
+  SELECT *, raw * CASE WHEN has_authors AND remote_authors AND author < 0.35 THEN 0.65 ELSE 1 END * CASE WHEN numbers THEN 0.75 ELSE 1 END * CASE WHEN volumes THEN 0.75 ELSE 1 END AS cut FROM w
+),
+f AS (SELECT *, least(1.0, CASE WHEN isbn THEN 0.95 + 0.05 * cut ELSE cut END) AS total FROM z)
 SELECT book, candidate, round(title, 6) AS title, round(author, 6) AS author, round(total, 6) AS total,
-  title >= 0.88 AND author >= 0.75 AND total >= 0.85 AS strong FROM z
+  isbn OR title >= 0.88 AND (NOT has_authors OR author >= 0.75) AND total >= 0.85 AS strong, isbn OR title >= 0.35 AND total >= 0.4 AS passes FROM f
 """)
 def rank_full(spark, sf_dir):
-    b = _names(spark, sf_dir).select("p_partkey", "p_brand", "p_size", F.col("p_name_norm").alias("t"), F.concat(F.lit("brand "), F.lower("p_type")).alias("author"))
-    left = b.select("p_brand", "p_size", F.col("p_partkey").alias("book"), F.col("t").alias("lt"), F.col("author").alias("la"))
-    right = b.select("p_brand", "p_size", F.col("p_partkey").alias("candidate"), F.col("t").alias("rt"), F.col("author").alias("ra"))
-    pairs = left.join(right, ["p_brand", "p_size"]).where("book < candidate")
-    yes, no = F.lit(True), F.lit(False)
-    scored = pairs.withColumn("title", tx.text_similarity(F.col("lt"), F.col("rt"))).withColumn("author", tx.text_similarity(F.col("la"), F.col("ra")))
-    scored = scored.withColumn("total", match.total_score(F.col("title"), F.col("author"), yes, yes, yes, yes, no, no, no))
-    strong = match.strong(no, F.col("title"), F.col("author"), yes, F.col("total"))
-    return scored.select("book", "candidate", F.round("title", 6).alias("title"), F.round("author", 6).alias("author"), F.round("total", 6).alias("total"), strong.alias("strong"))
+    """Every part as a book against three others as its candidates, with all that a score takes in."""
+    k = F.col("p_partkey")
+    named = _names(spark, sf_dir).withColumn("t", F.when(k % 4 == 0, F.concat_ws(" ", "p_name_norm", F.col("p_size").cast("string"))).otherwise(F.col("p_name_norm")))
+    b = named.select(k.alias("k"), "p_size", "t", F.concat(F.lit("brand "), F.lower("p_type")).alias("author"))
+    left = b.select(F.col("k").alias("book"), F.col("t").alias("lt"), F.col("author").alias("la"), F.col("p_size").alias("ls"))
+    right = b.select(F.col("k").alias("candidate"), F.explode(F.array(*(F.col("k") - n for n in (1, 2, 4)))).alias("book"), F.col("t").alias("rt"), F.col("author").alias("ra"), F.col("p_size").alias("rs"))
+    x, y = F.col("book"), F.col("candidate")
+    scored = left.join(right, "book").withColumn("title", tx.text_similarity(F.col("lt"), F.col("rt"))).withColumn("author", tx.text_similarity(F.col("la"), F.col("ra")))
+    scored = scored.withColumns({"has_authors": x % 5 != 0, "isbn": (x + y) % 11 == 0, "numbers": tx.different_numbers(F.col("lt"), F.col("rt")), "volumes": (x % 6 == 0) & (F.col("ls") != F.col("rs"))})
+    total = match.total_score(F.col("title"), F.col("author"), F.col("has_authors"), F.col("ls") % 3 == F.col("rs") % 3, x % 3 != 0, y % 7 != 0, F.col("numbers"), F.col("volumes"), F.col("isbn"))
+    scored = scored.withColumn("total", total)
+    strong = match.strong(F.col("isbn"), F.col("title"), F.col("author"), F.col("has_authors"), F.col("total"))
+    passes = match.passes(F.col("isbn"), F.col("title"), F.col("total"))
+    return scored.select("book", "candidate", F.round("title", 6).alias("title"), F.round("author", 6).alias("author"), F.round("total", 6).alias("total"), strong.alias("strong"), passes.alias("passes"))
 
 
 #: SQL of an ISBN-10 and an ISBN-13 made of a number below 10**9, right or with a wrong last digit.
@@ -242,14 +263,13 @@ def filename_label(spark, sf_dir):
 
 @query("""
 SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_partkey % 4 <> 0 AND y.p_partkey % 4 <> 0 AND floor(x.p_retailprice) <> floor(y.p_retailprice) AS differ
-FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey
+FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1
 """)
 def different_numbers(spark, sf_dir):
     value = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.concat_ws(" #", "p_name", F.floor("p_retailprice").cast("string")))
-    n = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", plain_norm(value).alias("t"))
-    a = n.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("t").alias("ta"))
-    b = n.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("t").alias("tb"))
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", tx.different_numbers(F.col("ta"), F.col("tb")).alias("differ"))
+    n = table(spark, sf_dir, "part").select("p_partkey", plain_norm(value).alias("t"))
+    a, b = n.select(F.col("p_partkey").alias("a"), F.col("t").alias("ta")), n.select((F.col("p_partkey") - 1).alias("a"), F.col("p_partkey").alias("b"), F.col("t").alias("tb"))
+    return a.join(b, "a").select("a", "b", tx.different_numbers(F.col("ta"), F.col("tb")).alias("differ"))
 
 
 @query("""
@@ -488,19 +508,15 @@ def path_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ids.path_id(F.col("url")).alias("id"), ids.cache_key("r1", F.lit("fp"), F.concat(F.lit(" "), F.col("url"))).alias("key"))
 
 
-@query()
+@query("""
+SELECT o_orderkey, sha256('[{"key":"priority","value":["' || o_orderpriority || '"]},{"key":"status","value":["' || o_orderstatus || '"]}]') AS version, true AS order_free FROM orders
+""")
 def draft_version(spark, sf_dir):
     fields = F.create_map(F.lit("status"), F.array("o_orderstatus"), F.lit("priority"), F.array("o_orderpriority"))
     turned = F.create_map(F.lit("priority"), F.array("o_orderpriority"), F.lit("status"), F.array("o_orderstatus"))
     return table(spark, sf_dir, "orders").select("o_orderkey", ids.draft_version(fields).alias("version"), (ids.draft_version(fields) == ids.draft_version(turned)).alias("order_free"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) <= 150 THEN text ELSE left(text, 100) || chr(10) || right(text, 50) END AS sample FROM documents WHERE strlen(text) = length(text)")
-def front_back(spark, sf_dir):
-    plain = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    return plain.select("doc_id", formats.front_back(F.col("text"), 100, 50).alias("sample"))
-
-
 @query("""
 WITH d AS (SELECT doc_id, text, strlen(text) AS n, hex(encode(text)) AS h FROM documents),
 c AS (
@@ -508,12 +524,20 @@ c AS (
 )
 SELECT doc_id, CASE WHEN n <= 150 THEN text ELSE decode(unhex(substr(h, 1, 2 * a))) || chr(10) || decode(unhex(substr(h, 2 * z + 1))) END AS sample FROM c
 """)
-def front_back_bytes(spark, sf_dir):
-    """All documents, whatever their characters; ``front_back`` and its SQL hold the ASCII ones only."""
+def front_back(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", formats.front_back(F.col("text"), 100, 50).alias("sample"))
 
 
-@query()
+_SQL_ENTITIES = "text"
+for _name, _sign in (("nbsp", "\u00a0"), ("middot", "\u00b7"), ("copy", "\u00a9"), ("quot", '"'), ("apos", "\'\'"), ("#39", "\'\'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _SQL_ENTITIES = f"replace({_SQL_ENTITIES}, '&{_name};', '{_sign}')"
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>', chr(1), 'g'), '<[^>]*>', chr(1), 'g') AS text FROM pages),
+e AS (SELECT page_id, {_SQL_ENTITIES} AS text FROM p)
+SELECT page_id, trim(regexp_replace(text, '[\x01\s\x{{a0}}\x{{85}}\x{{2028}}\x{{2029}}\x{{3000}}]+', ' ', 'g')) AS text FROM e
+""")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", formats.html_text("html").alias("text"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -88,11 +87,13 @@ def reconcile_flags(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS completed, count(*) FILTER (event_type = 'error' OR value < 5) AS failures FROM events GROUP BY event_type")
 def job_progress(spark, sf_dir):
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    at = f"{root.rstrip('/')}/job-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    at = f"{(root or f'file://{tempfile.gettempdir()}').rstrip('/')}/job-{uuid.uuid4().hex}"
     batch = table(spark, sf_dir, "events")
-    parent, name = os.path.split(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{parent}/{name[:-8]}*.parquet")
+    # a pattern that fits this one name: a stream's source takes a folder or a pattern, and the table may be a file
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
     job = jobs.start(stream, lambda df: df.select("event_type", ((F.col("event_type") == "error") | (F.col("value") < 5)).alias("failed")), f"{at}/outcome", f"{at}/checkpoint")
     job.join()
     return jobs.progress(spark.read.schema("event_type string, failed boolean").parquet(f"{at}/outcome"), "event_type")

@@ -1,7 +1,7 @@
 """A library of book files as DataFrames: listing, records, texts.
 
 Files come through Spark's binaryFile source, so listing, reading and retries are Spark's. That source leaves out names that begin
-with a dot or an underscore; a path filter keeps only book extensions, so that no other file's bytes are read.
+with a dot or an underscore; its name filter keeps only the extensions asked for, so that no other file's bytes are read.
 """
 
 from __future__ import annotations
@@ -16,23 +16,27 @@ from bindery.functions.identifiers import path_id
 from bindery.schema import EXTENSIONS, LISTS, NAMES
 from bindery.sources.formats import read_record, read_text
 
+#: Extensions of files that have a text to match by.
+TEXTS = ["epub", "fb2", "txt", "html", "htm", "xhtml"]
 RECORD = "struct<" + ",".join(f"{n}:{'array<string>' if n in LISTS else 'string'}" for n in NAMES) + ">"
 _RECORD = pa.struct([(n, pa.list_(pa.string()) if n in LISTS else pa.string()) for n in NAMES])
 
 
+def _named(extensions: list[str]) -> str:
+    """A name pattern for the extensions in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
+
 def list_books(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """id, path, name, size, modified of the book files under a folder; their content is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.*").load(root)
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rows = files.where(extension.isin(EXTENSIONS))
-    return rows.select(path_id(F.col("path")).alias("id"), "path", F.url_decode(F.replace(F.regexp_extract("path", "([^/]+)$", 1), F.lit("+"), F.lit("%2B"))).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _named(EXTENSIONS)).load(root)
+    return files.select(path_id(F.col("path")).alias("id"), "path", F.url_decode(F.replace(F.regexp_extract("path", "([^/]+)$", 1), F.lit("+"), F.lit("%2B"))).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def read_books(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """id, path, metadata, read_error, fingerprint of every book file; a damaged file is a row with its error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    files = files.where(extension.isin(EXTENSIONS)).select("path", "length", "modificationTime", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _named(EXTENSIONS)).load(root)
+    files = files.select("path", "length", "modificationTime", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,7 +53,7 @@ def read_books(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
 
 def read_texts(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path and text to match by, of EPUB, FB2, text and HTML files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _named(TEXTS)).load(root).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

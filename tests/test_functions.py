@@ -139,7 +139,7 @@ def test_front_back_of_all_documents(spark, sf_dir):
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     assert any(not t.isascii() for t in docs.values())
-    assert {r.doc_id: r["sample"] for r in catalog.queries()["front_back_bytes"](spark, sf_dir).collect()} == {k: brute(t) for k, t in docs.items()}
+    assert {r.doc_id: r["sample"] for r in catalog.queries()["front_back"](spark, sf_dir).collect()} == {k: brute(t) for k, t in docs.items()}
     assert one(spark, formats.front_back(F.lit(None).cast("string"), 5, 4)) is None
 
 
@@ -205,3 +205,38 @@ def test_preferences():
     for bad in ({"max_candidates": 51}, {"cache_days": -1}, {"background_delay_seconds": 0}, {"log_level": "loud"}, {"other": 1}, {"google_books_api_key": "a\nb"}):
         with pytest.raises(ValueError):
             p.changed(bad)
+
+
+def test_long_numbers_in_names(spark):
+    names = ["v" + "1" + "0" * 25, "v" + "9" * 25, "v" + "0" * 30 + "5", "v1" + "0" * 24 + "1"]
+    got = [r["v"] for r in spark.createDataFrame([(n,) for n in names], ["v"]).orderBy(formats.natural_key(F.col("v"))).collect()]
+    assert got == sorted(names, key=lambda n: int(n[1:]))
+
+
+def test_missing_rows_newer_schemas_and_malformed_drafts(spark, tmp_path):
+    from bindery.operators import library, state
+
+    rows = spark.createDataFrame([("a", 1)], ["path", "n"])
+    assert state.row_of(rows, "a").first().n == 1
+    with pytest.raises(Exception, match="no such book: b"):
+        state.row_of(rows, "b").collect()
+    newer = state.Versions(spark, f"file://{tmp_path}/t", schema=3)
+    newer.commit(rows, 0)
+    assert newer.read().count() == 1
+    with pytest.raises(RuntimeError, match="newer"):
+        state.Versions(spark, f"file://{tmp_path}/t", schema=2).read()
+    current = spark.createDataFrame([("a", "title", ["x"])], "path string, field string, values array<string>")
+    drafts = spark.createDataFrame([("a", '{"title": ["y"]}')], ["path", "json"])
+    assert [tuple(r) for r in library.migrate_json(drafts, current).collect()] == [("a", "title", ["y"])]
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        library.migrate_json(drafts.union(spark.createDataFrame([("b", '{"title": [')], ["path", "json"])), current).collect()
+
+
+def test_only_book_files_are_read(spark, tmp_path):
+    from bindery.sources import books
+
+    for name in ("a.EPUB", "b.pdf", "c.txt", "d.epub.bak", "e.Cbz"):
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(r.name for r in books.list_books(spark, f"file://{tmp_path}").collect()) == ["a.EPUB", "b.pdf", "e.Cbz"]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", books._named(books.TEXTS)).load(f"file://{tmp_path}")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.collect()) == ["a.EPUB", "c.txt"]
