@@ -14,7 +14,7 @@ Texts in languages that were not learned, markup and gibberish are far below; a
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and no spans; null and repeated ``doc_id`` are
 labelled row by row; a null ``doc_id`` is not held out; rows without a language are not learnt from; a script that no
 learned language uses leaves all languages as candidates; with nothing learned every text is ``und``; ties go to the first
-language in alphabetical order. An empty table gives an empty result. Other columns are no input of a prediction.
+language in alphabetical order; a text of any length is labelled whole. An empty table gives an empty result. Other columns are no input of a prediction.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ their ids; so a domain with few rows is learned from all of them at every size.
 Defined cases: a null text has no tokens, the prior as posterior and no effect on totals; null and repeated ``doc_id`` are
 rated row by row; labels that are null or of a null id are not used, and of a repeated id the least label and text are; without labelled rows every rate is 1 and the domain
 null; weights of domains not learned are left out and the rest scaled to 1; a learned domain without a given weight
-has target 0; where targets can't be met, the rates come as near as the steps allow. An empty table gives an empty result.
+has target 0; where targets can't be met, the rates come as near as the steps allow; of equal posteriors the first domain in alphabetical order
+is named; a text of any length counts whole; other columns are not looked at, or kept as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from bindery.llm import jaccard, language, lattice, licenses, mixing, packing, quality, sharding, tokenfiles, topk
 
 
@@ -74,6 +73,8 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 10
 
 
 def queries() -> dict:
+    import corpus_pipeline  # beside the package; the operators can be used without it
+
     return {
         "op1_lattice_near_dedup": op1_lattice_near_dedup,
         "op2_license_scan": op2_license_scan,

@@ -1,7 +1,7 @@
 """Tables kept in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir`` (or the context's checkpoint folder); only where that is unset (tests, a single machine) is a
-temporary folder of this machine used. Everything is written by Spark's own committers, so a lost executor costs
+The folder is the session's ``spark.checkpoint.dir`` (or the context's checkpoint folder); only where that is unset and Spark runs in
+this process alone (``local``: tests, a single machine) is a temporary folder of this machine used; on a cluster it is an error. Everything is written by Spark's own committers, so a lost executor costs
 a retried task and no data, and reading a table back cuts the lineage.
 """
 
@@ -19,6 +19,8 @@ _written: dict[str, set[str]] = {}
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='bindery-')}")
     return root.rstrip("/")
