@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions.identifiers import path_id
 from bindery.schema import EXTENSIONS, LISTS, NAMES
-from bindery.sources.formats import read_record, read_text
+from bindery.sources.formats import epub_images, read_record, read_text
 
 #: Extensions of files that have a text to match by.
 TEXTS = ["epub", "fb2", "txt", "html", "htm", "xhtml"]
@@ -51,6 +51,23 @@ def read_books(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     return rows.select(path_id(F.col("path")).alias("id"), "path", "metadata", "read_error", stamp.alias("fingerprint"))
 
 
+def read_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """path, position and image: the members of EPUB files that their outer documents refer to as images, in reading order."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _named(["epub"])).load(root).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                try:
+                    found = epub_images(batch.column(1)[k].as_py())
+                except Exception:  # a damaged file has no images; its record holds the error
+                    found = []
+                path = batch.column(0).slice(k, 1).take(pa.array([0] * len(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([path, pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=["path", "position", "image"])
+
+    return files.mapInArrow(run, "path string, position int, image string")
+
+
 def read_texts(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path and text to match by, of EPUB, FB2, text and HTML files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _named(TEXTS)).load(root).select("path", "content")

@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -197,8 +198,8 @@ def read_record(raw: bytes, path: str) -> tuple[dict, str]:
         return {"title": name.rpartition(".")[0] or name, "authors": []}, f"{type(error).__name__}: {error}"
 
 
-def epub_documents(archive: zipfile.ZipFile) -> list[tuple[int, int, bytes]]:
-    """(position, documents, bytes) of the HTML documents among the first 8 and last 4 of the reading order."""
+def epub_documents(archive: zipfile.ZipFile) -> list[tuple[int, int, str, bytes]]:
+    """(position, documents, name, bytes) of the HTML documents among the first 8 and last 4 of the reading order."""
     path, root = epub_package(archive)
     base = posixpath.dirname(path)
     items = {n.get("id"): n for n in child(root, "manifest") if n.get("href")} if child(root, "manifest") is not None else {}
@@ -208,16 +209,51 @@ def epub_documents(archive: zipfile.ZipFile) -> list[tuple[int, int, bytes]]:
     out = []
     for k, n in enumerate(order):
         if (k < 8 or k >= len(order) - 4) and "html" in (n.get("media-type") or ""):
-            out.append((k, len(order), member(archive, posixpath.normpath(posixpath.join(base, unquote(n.get("href").split("#")[0]))))))
+            name = posixpath.normpath(posixpath.join(base, unquote(n.get("href").split("#")[0])))
+            out.append((k, len(order), name, member(archive, name)))
     return out
 
 
+class _Images(HTMLParser):
+    """Sources of a document's images, in order: those of img, and of image in a drawing."""
+
+    def __init__(self):
+        super().__init__()
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        source = named.get("src") if tag == "img" else named.get("href") or named.get("xlink:href") if tag == "image" else None
+        if source:
+            self.found.append(source)
+
+
+def epub_images(raw: bytes) -> list[str]:
+    """Members that hold the images referred to in an EPUB's outer documents, each once, in reading order.
+
+    Of an opening document's images the first 12 count, of a closing one's those from 5 before its bound on.
+    """
+    out: dict[str, None] = {}
+    with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+        names = set(archive.namelist())
+        for k, n, document, html in epub_documents(archive):
+            parser = _Images()
+            parser.feed(html.decode("utf-8", "replace"))
+            bound = min(len(parser.found), 12) if k < 8 else len(parser.found)
+            few = parser.found[bound - 5 :] if k >= n - 4 and bound > 5 else parser.found[:bound]
+            for source in few:
+                name = posixpath.normpath(posixpath.join(posixpath.dirname(document), unquote(re.split("[?#]", source)[0])))
+                if name in names:
+                    out.setdefault(name)
+    return list(out)
+
+
 def read_text(raw: bytes, path: str, front: int = 200_000, back: int = 50_000) -> str:
     """Text to match by: ISBNs and text of an EPUB's outer documents, an FB2's bodies, plain and HTML files; cut by bytes."""
     extension = path.rpartition(".")[2].lower()
     if extension == "epub":
         with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-            text = "\n".join(text_of_html(d.decode("utf-8", "replace")) for _, _, d in epub_documents(archive))
+            text = "\n".join(text_of_html(d.decode("utf-8", "replace")) for *_, d in epub_documents(archive))
         text = "\n".join([*(f"ISBN {i}" for i in find_isbns(text)), text])
     elif extension == "fb2":
         text = "\n".join(" ".join(" ".join(n.itertext()).split()) for n in ElementTree.fromstring(raw) if local(n.tag) == "body")

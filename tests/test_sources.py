@@ -84,6 +84,32 @@ def test_patches_that_are_refused(name, patch):
         sink.check(name, patch)
 
 
+def test_images_of_outer_documents(spark, tmp_path):
+    def book(counts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>')
+            items = "".join(f'<item id="d{k}" href="t/{k}.xhtml" media-type="application/xhtml+xml"/>' for k in range(len(counts)))
+            refs = "".join(f'<itemref idref="d{k}"/>' for k in range(len(counts)))
+            z.writestr("O/p.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><metadata/><manifest>{items}</manifest><spine>{refs}</spine></package>')
+            for k, n in enumerate(counts):
+                tags = [f'<img src="../i/{k}-{j}.png?x#y"/>' if j % 2 else f'<svg><image xlink:href="../i/{k}-{j}.png"/></svg>' for j in range(n)]
+                z.writestr(f"O/t/{k}.xhtml", "<html><body>" + "".join(tags) + '<img src="../i/same%20one.png"/><img src="gone.png"/></body></html>')
+                for j in range(n):
+                    z.writestr(f"O/i/{k}-{j}.png", b"x")
+            z.writestr("O/i/same one.png", b"x")
+        return out.getvalue()
+
+    got = formats.epub_images(book([14, 0] + [1] * 8 + [9]))
+    first = [f"O/i/0-{j}.png" for j in range(12)]
+    # of the closing document's eleven the last five, of which two are the repeated and the missing one
+    assert got == [*first, "O/i/same one.png", *(f"O/i/{k}-0.png" for k in (2, 3, 4, 5, 6, 7, 8, 9)), *(f"O/i/10-{j}.png" for j in (6, 7, 8))]
+    (tmp_path / "a.EPUB").write_bytes(book([2, 1]))
+    (tmp_path / "b.epub").write_bytes(b"damaged")
+    rows = books.read_images(spark, f"file://{tmp_path}").orderBy("position").collect()
+    assert [(r.position, r.image) for r in rows] == [(0, "O/i/0-0.png"), (1, "O/i/0-1.png"), (2, "O/i/same one.png"), (3, "O/i/1-0.png")]
+
+
 def test_library_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "a.epub").write_bytes(epub())
