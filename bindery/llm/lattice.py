@@ -13,7 +13,8 @@ pairs nearly always do, and no pair below the threshold is ever linked.
 Defined cases: a null label, or a vector that is null, empty, zero or holds null, NaN or infinite components, links with
 nothing (n_links 0, its own component); vectors of different length never link; a row with a null ``vec_id`` links with
 nothing, has a null component and is not kept; rows that share a ``vec_id`` are vectors of their own, and count as links of
-each other if close enough. An empty table gives an empty result. Extra columns are not looked at.
+each other if close enough; of equal least ids there is nothing to choose. An empty table gives an empty result. Extra columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,41 +118,47 @@ def cells(length: int, tables: int, blocks: int) -> Cells:
     return _cells[length, tables, blocks]
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    """Vectors of one length, of doubles, scaled to length 1 without overflow."""
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit(raw: list[bytes], kind: str = "f8") -> np.ndarray:
+    """Vectors of one length, of doubles (or floats), scaled to length 1 in double precision without overflow."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, label, vector as bytes, or null if the vector takes no part."""
-    for batch in batches:
-        ids, labels, column = (batch.column(k) for k in range(3))
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        size = np.where(np.asarray(column.is_null()), 0, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        ends = np.cumsum(size)
-        fine = ~np.asarray(ids.is_null()) & ~np.asarray(labels.is_null()) & (size > 0)
-        bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
-        nonzero = np.concatenate([[0], np.cumsum(flat != 0)])
-        fine &= (bad[ends] == bad[ends - size]) & (nonzero[ends] > nonzero[ends - size])
-        raw = [flat[b - n : b].tobytes() if f else None for b, n, f in zip(ends.tolist(), size.tolist(), fine.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([ids, labels, pa.array(raw, pa.binary())], names=["vec_id", "label", "raw"])
+def _packed(kind: str):
+    """vec_id, label, vector as bytes and their two 64-bit hashes, or nulls if the vector takes no part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, labels, column = (batch.column(k) for k in range(3))
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+            size = np.where(np.asarray(column.is_null()), 0, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            ends = np.cumsum(size)
+            fine = ~np.asarray(ids.is_null()) & ~np.asarray(labels.is_null()) & (size > 0)
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+            nonzero = np.concatenate([[0], np.cumsum(flat != 0)])
+            fine &= (bad[ends] == bad[ends - size]) & (nonzero[ends] > nonzero[ends - size])
+            raw = [flat[b - n : b].tobytes() if f else None for b, n, f in zip(ends.tolist(), size.tolist(), fine.tolist(), strict=True)]
+            hashes = np.array([xxhash.xxh3_128_intdigest(r).to_bytes(16) if r is not None else bytes(16) for r in raw]).view("<i8").reshape(-1, 2) if raw else np.zeros((0, 2), np.int64)
+            one, two = (pa.array(hashes[:, k], pa.int64(), mask=~fine) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids, labels, pa.array(raw, pa.binary()), one, two], names=["vec_id", "label", "raw", "h1", "h2"])
+
+    return run
 
 
-def _by_length(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_length(raw: list[bytes], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     for n in np.unique(size):
         rows = np.flatnonzero(size == n)
-        yield rows, unit([raw[k] for k in rows.tolist()])
+        yield rows, unit([raw[k] for k in rows.tolist()], kind)
 
 
-def _entries(tables: int, blocks: int):
+def _entries(tables: int, blocks: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
-                for rows, x in _by_length(some.column(2).to_pylist()):
+                for rows, x in _by_length(some.column(2).to_pylist(), kind):
                     keys = np.sort(cells(x.shape[1], tables, blocks).keys(x), axis=1)
                     new = np.ones(keys.shape, bool)
                     new[:, 1:] = keys[:, 1:] != keys[:, :-1]
@@ -160,7 +168,7 @@ def _entries(tables: int, blocks: int):
     return run
 
 
-def _links(threshold: float, tables: int, blocks: int):
+def _links(threshold: float, tables: int, blocks: int, kind: str):
     """Verified links of each tile: for every member its linked multiplicity and the least member it is joined to."""
 
     def pairs(x: np.ndarray, side: np.ndarray, tile: tuple[int, int], key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +214,7 @@ def _links(threshold: float, tables: int, blocks: int):
                     rows = np.arange(s, s + n)
                     for width in np.unique(lengths[rows]):
                         few = rows[lengths[rows] == width]
-                        a, b = pairs(unit([raw[k] for k in few.tolist()]), side[few], (ti[s], tj[s]), cell[s])
+                        a, b = pairs(unit([raw[k] for k in few.tolist()], kind), side[few], (ti[s], tj[s]), cell[s])
                         a_all.append(few[a])
                         b_all.append(few[b])
                 continue
@@ -218,13 +226,13 @@ def _links(threshold: float, tables: int, blocks: int):
                 for r in rows[~one]:
                     for width in np.unique(lengths[r]):
                         few = r[lengths[r] == width]
-                        a, b = pairs(unit([raw[k] for k in few.tolist()]), side[few], (ti[r[0]], tj[r[0]]), cell[r[0]])
+                        a, b = pairs(unit([raw[k] for k in few.tolist()], kind), side[few], (ti[r[0]], tj[r[0]]), cell[r[0]])
                         a_all.append(few[a])
                         b_all.append(few[b])
                 rows = rows[one]
                 for width in np.unique(lengths[rows[:, 0]]) if len(rows) else ():
                     some = rows[lengths[rows[:, 0]] == width]
-                    x = unit([raw[k] for k in some.ravel().tolist()])
+                    x = unit([raw[k] for k in some.ravel().tolist()], kind)
                     cube = x.reshape(len(some), n, -1)
                     hit = np.triu(np.matmul(cube, cube.transpose(0, 2, 1)) >= threshold, 1)
                     apart = (ti[some[:, 0]] == tj[some[:, 0]])[:, None, None] | (side[some][:, :, None] != side[some][:, None, :])
@@ -250,24 +258,28 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, n_tables: in
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     spark = table.sparkSession
     scratch = Scratch(spark, "lattice")
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # floats stay floats as they travel; every use is in double precision
+    kind, element = ("f4", "float") if table.schema["embedding"].dataType.simpleString() == "array<float>" else ("f8", "double")
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
     label = rows.schema["label"].dataType.simpleString()
-    packed = scratch.save(rows.mapInArrow(_packed, f"vec_id long, label {label}, raw binary"), "packed")
-    classes = packed.where("raw is not null").groupBy("label", "raw").agg(F.count(F.lit(1)).alias("many"), F.min("vec_id").alias("least"))
+    packed = scratch.save(rows.mapInArrow(_packed(kind), f"vec_id long, label {label}, raw binary, h1 long, h2 long"), "packed")
+    same = ["label", "h1", "h2"]
+    classes = packed.where("raw is not null").groupBy(*same).agg(F.count(F.lit(1)).alias("many"), F.min("vec_id").alias("least"), F.min("raw").alias("raw"))
     # written once, so that the numbers stay
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    entries = scratch.save(classes.select("cid", "label", "raw").mapInArrow(_entries(n_tables, blocks), f"label {label}, cell long, cid long"), "entries")
+    entries = scratch.save(classes.select("cid", "label", "raw").mapInArrow(_entries(n_tables, blocks, kind), f"label {label}, cell long, cid long"), "entries")
     members = tiles(entries, ["label", "cell"], "cid").join(classes.select("cid", "many", "raw"), "cid")
     members = by_tile(members.select("label", "cell", "tile_i", "tile_j", "side", "cid", "many", "raw"), ["label", "cell"])
-    linked = scratch.save(map_runs(members, 4, _links(threshold, n_tables, blocks), "cid long, linked long, root long"), "linked")
+    linked = scratch.save(map_runs(members, 4, _links(threshold, n_tables, blocks, kind), "cid long, linked long, root long"), "linked")
     scratch.drop("entries")
     group = components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")), "lattice-components")
-    counted = classes.join(linked.groupBy("cid").agg(F.sum("linked").alias("linked")), "cid", "left").join(group.withColumnRenamed("node", "cid"), "cid", "left")
-    counted = scratch.save(counted.select("label", "raw", "least", F.coalesce("component", "cid").alias("component"), (F.col("many") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "counted")
-    first = counted.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = counted.join(first, "component").select("label", "raw", "n_links", "component_id")
-    out = packed.join(found, ["label", "raw"], "left")
-    component = F.when(F.col("raw").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    # a component's least id is that of its classes; a class without links has its own
+    first = group.join(classes.select(F.col("cid").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("of_component"))
+    linked = group.join(first, "component").join(linked.groupBy(F.col("cid").alias("node")).agg(F.sum("linked").alias("linked")), "node", "left")
+    found = classes.select("cid", *same, "many", "least").join(linked.withColumnRenamed("node", "cid"), "cid", "left")
+    found = found.select(*same, F.coalesce("of_component", "least").alias("component_id"), (F.col("many") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    out = packed.select("vec_id", *same).join(found, same, "left")
+    component = F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
