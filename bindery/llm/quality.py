@@ -16,7 +16,7 @@ Defined cases: a null text is empty; a document without n-grams has score 0, wei
 repeated ``doc_id`` are scored row by row (rows equal in id and text share their noise and their fate); labels with a
 null id or a null quality are not used, and an id labelled both ways counts as bad; of a repeated id the least text is learned from; without labelled bad
 documents the level is just below the lowest good mean, and without good ones there is no ground to reject: every score is 0 and
-all are kept, whatever k; ties at the k-th key are all kept. An empty table gives an empty result. Extra columns are not looked at.
+all are kept, whatever k; a text of any length is scored whole; ties at the k-th key are all kept. An empty table gives an empty result. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -167,7 +167,8 @@ def best_level(score: np.ndarray, good: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int = LABELLED) -> Model:
     scratch = Scratch(docs.sparkSession, "quality")
     raw = counts(docs, buckets)
-    sample = scratch.save(labelled_sample(docs, labels, bound), "labelled")
+    # a bounded number of rows needs few files
+    sample = scratch.save(labelled_sample(docs, labels, bound).coalesce(16), "labelled")
     half = {h: counts(sample.where(f"good and toxic = 0 and {'' if h else 'not'} half"), buckets) for h in (False, True)}
     if not half[False].sum() or not half[True].sum():
         half = dict.fromkeys(half, half[False] + half[True])
