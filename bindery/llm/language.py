@@ -42,8 +42,8 @@ UNKNOWN = "und"
 REACH, SPREAD, ENOUGH = 3.0, 0.5, 20
 #: How far one word alone may be below its floor; the mean of more words may be by this over the root of their number.
 SLACK = 3.0
-#: Rows labelled at once, and numbers that Viterbi may hold for them: a word has one for each pair of languages.
-SOME, CELLS = 400, 4_000_000
+#: Rows labelled at once, and bytes that Viterbi may take for them: about 20 a word and language, and one a word and pair of languages.
+SOME, WORK = 400, 64_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: First code point of each range, and its script; ranges end where the next begins.
 SCRIPTS = [
@@ -145,7 +145,8 @@ class Labeller:
     def __init__(self, model: Model, table_size: int = 150_000):
         self.model, self.table_size = model, table_size
         # bytes of text to label at once; a word and the gap after it take two bytes at least
-        self.size = max(10_000, 2 * CELLS // max(1, len(model.languages)) ** 2)
+        n = max(1, len(model.languages))
+        self.size = max(10_000, 2 * WORK // (20 * n + n * n))
         self._reset()
 
     def _reset(self) -> None:
