@@ -30,7 +30,7 @@ from bindery.llm.scratch import Scratch
 K = 10
 SCALE = 1024
 #: Queries of a block, candidates of a shard, and scores that a tile may have.
-QUERY_BLOCK, SHARD = 4096, 200_000
+QUERY_BLOCK, SHARD = 4096, 16_384
 TILE_SCORES = 2_000_000
 FAN_IN = 32
 CELL = "shard int, block int, candidate boolean, vec_id long, embedding array<double>"
