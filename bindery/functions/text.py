@@ -109,11 +109,20 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(F.lit(0.0))
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    left, right = F.array_distinct(words(a)), F.array_distinct(words(b))
+    return 2.0 * F.size(F.array_intersect(left, right)) / F.greatest(F.size(left) + F.size(right), F.lit(1))
+
+
+def similarity_bound(a: Column, b: Column) -> Column:
+    """What the text similarity of two normalised texts can't pass, by their lengths and common words; no edit distance is worked out."""
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b), F.lit(1))
+    return F.lit(0.6) * shorter / longer + F.lit(0.4) * _overlap(a, b)
+
+
 def text_similarity(a: Column, b: Column) -> Column:
     """Of normalised texts: 1 if equal, 0 if one is empty, else 0.6 edit similarity + 0.4 Dice overlap of words."""
-    left, right = F.array_distinct(words(a)), F.array_distinct(words(b))
-    overlap = 2.0 * F.size(F.array_intersect(left, right)) / (F.size(left) + F.size(right))
-    mixed = F.lit(0.6) * edit_similarity(a, b) + F.lit(0.4) * overlap
+    mixed = F.lit(0.6) * edit_similarity(a, b) + F.lit(0.4) * _overlap(a, b)
     return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(mixed)
 
 

@@ -17,6 +17,8 @@ LEAST_TITLE, LEAST_CONFIDENCE = 0.35, 0.4
 STRONG_TITLE, STRONG_AUTHOR, STRONG_TOTAL = 0.88, 0.75, 0.85
 WEIGHTS = {"title": 0.7, "author": 0.25, "language": 0.05}
 TOP = 12
+#: Tasks that the pairs of one block are dealt to.
+SPREAD = 16
 MAX_QUERIES, MAX_ISBNS, MAX_TITLES = 8, 2, 3
 
 
@@ -131,33 +133,23 @@ def corroborate(candidates: DataFrame, book: list[str], rank: Column) -> DataFra
     return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*book, "url", "title", "donor", "donor_url")
 
 
-def block_pairs(items: DataFrame, key: str, block: str, text_norm: str) -> DataFrame:
-    """Similar items of one block: key, other, score, both ways.
-
-    Items that share block and text are one class, scores are made once for a pair of classes, and only admitted pairs are spread
-    out to items.
-    """
-    classes = items.select(block, text_norm).distinct()
-    a, b = classes.select(block, F.col(text_norm).alias("_a")), classes.select(block, F.col(text_norm).alias("_b"))
-    scored = a.join(b, block).withColumn("score", tx.text_similarity(F.col("_a"), F.col("_b"))).where(F.col("score") >= LEAST_CONFIDENCE)
-    left = items.select(block, F.col(text_norm).alias("_a"), F.col(key))
-    right = items.select(F.col(block), F.col(text_norm).alias("_b"), F.col(key).alias("other"))
-    return left.join(scored, [block, "_a"]).join(right, [block, "_b"]).where(F.col(key) != F.col("other")).select(block, key, "other", "score")
-
-
 def block_topk(items: DataFrame, key: str, block: str, text_norm: str, k: int) -> DataFrame:
     """The k most similar other items of each item within its block, ties to the smaller key.
 
     An item's best partners lie in its best classes, and of each class only the k + 1 smallest keys can be among them, so at most
-    k + 1 keys of a class are spread out.
+    k + 1 keys of a class are spread out. A block's pairs of classes are dealt to ``SPREAD`` tasks, and only those are scored whose
+    lengths and common words allow the least score.
     """
     # read four times below; what is lost of it is made again
     items = items.select(key, block, text_norm).persist()
     smallest = Window.partitionBy(block, text_norm).orderBy(key)
     few = items.withColumn("_n", F.row_number().over(smallest)).where(F.col("_n") <= k + 1)
     classes = items.select(block, text_norm).distinct()
-    a, b = classes.select(block, F.col(text_norm).alias("_a")), classes.select(block, F.col(text_norm).alias("_b"))
-    scored = a.join(b, block).withColumn("score", tx.text_similarity(F.col("_a"), F.col("_b"))).where(F.col("score") >= LEAST_CONFIDENCE)
+    part = F.pmod(F.xxhash64(text_norm), F.lit(SPREAD)).cast("int")
+    a = classes.select(block, F.col(text_norm).alias("_a"), part.alias("_part"))
+    b = classes.select(block, F.col(text_norm).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
+    met = a.join(b, [block, "_part"]).where(tx.similarity_bound(F.col("_a"), F.col("_b")) >= LEAST_CONFIDENCE - 1e-9)
+    scored = met.withColumn("score", tx.text_similarity(F.col("_a"), F.col("_b"))).where(F.col("score") >= LEAST_CONFIDENCE).drop("_part")
     best = Window.partitionBy(block, "_a").orderBy(F.col("score").desc(), F.col("other"))
     partners = scored.join(few.select(block, F.col(text_norm).alias("_b"), F.col(key).alias("other")), [block, "_b"])
     partners = partners.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)

@@ -61,6 +61,15 @@ def test_similarities_of_random_names(spark):
         assert abs(r.e - plain.edit_similarity(r.a, r.b)) < 1e-9
 
 
+def test_no_similarity_passes_its_bound(spark):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abé1") for _ in range(draw.randint(1, 5)))
+    pairs = [(" ".join(word() for _ in range(draw.randint(0, 4))), " ".join(word() for _ in range(draw.randint(0, 4)))) for _ in range(400)]
+    df = spark.createDataFrame([(normalise(a), normalise(b)) for a, b in pairs], ["a", "b"])
+    for r in df.select(text.text_similarity(F.col("a"), F.col("b")).alias("s"), text.similarity_bound(F.col("a"), F.col("b")).alias("m")).collect():
+        assert r.s <= r.m + 1e-9
+
+
 def test_samples_against_plain_python(spark):
     draw = random.Random(3)
     texts = ["".join(draw.choice("aé中😀 ") for _ in range(draw.randint(0, 40))) for _ in range(200)]
