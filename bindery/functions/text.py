@@ -67,9 +67,13 @@ def ascii_norm(value: Column) -> Column:
     return F.rtrim(F.regexp_extract(plain, f"^(?: ?[^ ]){{0,{NORM_CAP}}}", 0))
 
 
+def beyond_ascii(value: Column) -> Column:
+    return F.coalesce(F.octet_length(value) > F.length(value), F.lit(False))
+
+
 def normalised(value: Column) -> Column:
     """The normalised form of any text; what is ASCII stays in the JVM."""
-    beyond = value.rlike(r"[^\x00-\x7F]")
+    beyond = beyond_ascii(value)
     return F.when(beyond, norm(F.when(beyond, value))).otherwise(ascii_norm(value))
 
 
@@ -80,7 +84,7 @@ def _norm_map(values: pd.Series) -> pd.Series:
 
 def norm_lookup(strings: Column) -> Column:
     """Map of those strings of an array that are not ASCII to their normalised forms, for ``looked_up``."""
-    return _norm_map(F.array_distinct(F.filter(strings, lambda v: v.rlike(r"[^\x00-\x7F]"))))
+    return _norm_map(F.array_distinct(F.filter(strings, lambda v: beyond_ascii(v))))
 
 
 def bound(value: Column, use) -> Column:
@@ -90,7 +94,7 @@ def bound(value: Column, use) -> Column:
 
 def looked_up(value: Column, lookup: Column) -> Column:
     """The normalised form of a string that is ASCII or in the lookup; usable within lambdas."""
-    return bound(value, lambda v: F.coalesce(F.try_element_at(lookup, v), ascii_norm(v)))
+    return bound(value, lambda v: F.when(v == "", v).otherwise(F.coalesce(F.try_element_at(lookup, v), ascii_norm(v))))
 
 
 def norm_dimension(strings: DataFrame, column: str) -> DataFrame:

@@ -88,11 +88,12 @@ def _clean_parts(name: Column) -> Column:
 
 
 def _label_strings(value: Column) -> Column:
-    """Every string whose normalised form classifying a label, or comparing what comes out, may ask for."""
+    """Every string whose normalised form classifying a label, or comparing what comes out, may ask for; none of ASCII text."""
     plain = F.trim(_text(value))
     bare = F.regexp_replace(plain, r"\.+$", "")
     series = F.regexp_replace(F.regexp_extract(plain, labels.NUMBERED, 1), "^[ :-]+|[ :-]+$", "")
-    return F.array(_text(value), plain, series, F.trim(F.regexp_extract(plain, labels.NUMBERED, 3)), F.regexp_extract(bare, labels.BARE, 1), F.trim(F.regexp_extract(bare, labels.BARE, 3)))
+    every = F.array(_text(value), plain, series, F.trim(F.regexp_extract(plain, labels.NUMBERED, 3)), F.regexp_extract(bare, labels.BARE, 1), F.trim(F.regexp_extract(bare, labels.BARE, 3)))
+    return F.when(tx.beyond_ascii(value), every).otherwise(_nothing())
 
 
 def _first(*options: tuple[Column, Column], default: Column) -> Column:
@@ -369,7 +370,7 @@ def proposals(rows: DataFrame) -> DataFrame:
     named = F.concat(series_labels, *map(_label_strings, read), F.array(given("series")))
     rows = rows.withColumns(_roles(rows))
     trimmed = F.transform("own_translators", lambda v: F.trim(v))
-    n = _identified(rows, [named, F.flatten(F.transform(named, _label_strings)), F.array(*(_text(h["value"]) for h in first_of.values())), F.col("all_authors"), F.col("all_translators"), F.col("own_translators"), trimmed])
+    n = _identified(rows, [named, F.flatten(F.transform(named, lambda v: _label_strings(v))), F.array(*(_text(h["value"]) for h in first_of.values())), F.col("all_authors"), F.col("all_translators"), F.col("own_translators"), trimmed])
     _file_label(n)
     # what each field holds now, as a list and as text
     now = [_field(rows, "current", f, True) if f in LISTS else _single(_field(rows, "current", f)) for f in NAMES]
