@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bindery.llm import packing, registry, sharding, tokenfiles, topk
 from bindery.llm.simple8b import BLOCK, Reader, decode, encode, pack_file
@@ -177,6 +178,25 @@ def test_sweeps_equal_best_fit_decreasing():
         assert len(filled) == best_fit_decreasing(lengths.tolist(), most)
 
 
+def test_packing_of_short_sequences_in_rounds(spark, sf_dir):
+    """Many pieces a sequence, over several rounds of gaps: no hole, no overlap, as few sequences as best-fit decreasing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    short = docs.withColumn("text", F.left("text", F.col("doc_id") % 90 + 1))
+    for most, rounds in ((48, 6), (48, 1), (7, 4)):
+        got = packing.pack(short, most=most, rounds=rounds).collect()
+        by_sequence = defaultdict(list)
+        for r in got:
+            by_sequence[r.sequence_id].append((r.offset, r.length))
+        for parts in by_sequence.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= most
+        assert len(by_sequence) == best_fit_decreasing([r.length for r in got], most)
+        assert len({(r.doc_id, r.piece) for r in got}) == len(got)
+
+
 def test_packing_of_odd_rows(spark, odd_docs):
     placed = packing.pack(odd_docs)
     got = placed.collect()
