@@ -13,6 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The key that preferences are stored under, and the keys that held some of them before.
+PREFERENCES, RETIRED = "preferences", ["google_books_api_key", "last_folder"]
+
+
+def with_setting(settings: DataFrame, key: str, value: str) -> DataFrame:
+    """The settings (key, value) with one set; storing the preferences drops the retired keys, in the same version of the table."""
+    gone = [key, *RETIRED] if key == PREFERENCES else [key]
+    new = settings.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("value"))
+    return settings.where(~F.col("key").isin(gone)).select("key", "value").unionByName(new)
+
+
+def setting(settings: DataFrame, key: str) -> DataFrame:
+    """value: that of a setting, empty if it was never stored."""
+    return settings.where(F.col("key") == key).agg(F.coalesce(F.max("value"), F.lit("")).alias("value"))
+
+
 def meaningful(values: Column) -> Column:
     """Null, the empty list and one blank scalar are one value: the empty list; scalars count trimmed."""
     plain = F.coalesce(values, F.array().cast("array<string>"))

@@ -148,3 +148,16 @@ def commit_gate(spark, sf_dir):
     some = state.commit_allowed(state.preflight(fresh.select("path", "fingerprint", "version"), now))
     counted = o.groupBy("chosen").agg(F.lit(every).alias("allowed"), F.count(F.lit(1)).alias("books"))
     return counted.unionByName(fresh.groupBy("chosen").agg(F.lit(some).alias("allowed"), F.count(F.lit(1)).alias("books")))
+
+
+@query("""
+SELECT 'held' AS kind, n_name AS key, n_regionkey::VARCHAR AS value FROM nation UNION ALL SELECT 'held', 'preferences', 'new'
+UNION ALL SELECT 'read', 'preferences', 'new' UNION ALL SELECT 'read', 'last_folder', ''
+""")
+def stored_settings(spark, sf_dir):
+    """Storing the preferences over older ones, with retired keys among the settings, and reading two of them."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    held = n.unionByName(spark.createDataFrame([("last_folder", "/x"), ("google_books_api_key", "k")], ["key", "value"]))
+    held = state.with_setting(state.with_setting(held, "preferences", "old"), "preferences", "new")
+    read = [state.setting(held, k).select(F.lit("read").alias("kind"), F.lit(k).alias("key"), "value") for k in ("preferences", "last_folder")]
+    return held.select(F.lit("held").alias("kind"), "key", "value").unionByName(read[0]).unionByName(read[1])

@@ -55,10 +55,13 @@ class Preferences:
         return [name for name, on in (("Google Books", self.google_books), ("Open Library", self.open_library), ("Internet Archive", self.internet_archive)) if on]
 
 
-def load(stored: str | None) -> Preferences:
-    """Stored fields over the defaults; fields of no meaning now are passed over."""
+def load(stored: str | None, older: dict[str, str] | None = None) -> Preferences:
+    """Stored fields over the defaults; fields of no meaning now are passed over. Before any are stored, those that ``older``
+    settings hold under their own keys count."""
+    if not stored:
+        return Preferences().changed({k: v for k, v in (older or {}).items() if k in ("google_books_api_key", "last_folder") and v})
     known = {f.name for f in fields(Preferences)}
-    return Preferences().changed({k: v for k, v in json.loads(stored or "{}").items() if k in known})
+    return Preferences().changed({k: v for k, v in json.loads(stored).items() if k in known})
 
 
 def dump(preferences: Preferences) -> str:

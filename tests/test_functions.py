@@ -201,6 +201,7 @@ def test_preferences():
     p = settings.load('{"cache_days": 3, "gone": 1}')
     assert p.cache_days == 3 and p.sources() == ["Google Books", "Open Library", "Internet Archive"]
     assert settings.load(settings.dump(p.changed({"google_books": False}))).sources() == ["Open Library", "Internet Archive"]
+    assert settings.load("", {"last_folder": "/x", "other": "y"}).last_folder == "/x" and settings.load(settings.dump(p), {"last_folder": "/x"}).last_folder == p.last_folder
     assert p.changed({"google_books_api_key": "k"}).shown()["google_books_api_key"] == "set"
     for bad in ({"max_candidates": 51}, {"cache_days": -1}, {"background_delay_seconds": 0}, {"log_level": "loud"}, {"other": 1}, {"google_books_api_key": "a\nb"}):
         with pytest.raises(ValueError):
