@@ -1,13 +1,16 @@
 """Background matching of a library as a stream of book rows: incremental, resumable, with progress.
 
 A job reads new rows of a stream, applies the work to each micro-batch and appends the outcome; the checkpoint folder remembers
-what is done, so a job that stops or fails goes on where it was. Progress is counted from the outcomes.
+what is done, so a job that stops or fails goes on where it was. Progress is counted from the outcomes. Between batches a job can pause,
+and it waits while someone searches by hand.
 """
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +21,10 @@ from pyspark.sql.streaming import StreamingQuery
 class Job:
     query: StreamingQuery
     outcome: str
+    stopping: threading.Event = field(default_factory=threading.Event)
 
     def stop(self) -> None:
+        self.stopping.set()
         self.query.stop()
 
     def join(self) -> None:
@@ -31,19 +36,26 @@ class Job:
         return "running" if self.query.isActive else "completed"
 
 
-def start(rows: DataFrame, work: Callable[[DataFrame], DataFrame], outcome: str, checkpoint: str, interval: str | None = None) -> Job:
+def start(rows: DataFrame, work: Callable[[DataFrame], DataFrame], outcome: str, checkpoint: str, interval: str | None = None, delay: float = 0.0, busy: Callable[[], bool] | None = None) -> Job:
     """Run ``work`` on every new batch of the stream ``rows``; it returns the batch's outcome with a boolean ``failed``.
 
     Without an interval the job ends when all that is there now is done. A batch that is run again after a
-    failure overwrites its own outcome, under its own number.
+    failure overwrites its own outcome, under its own number. A batch begins ``delay`` seconds after the one before it, and not while
+    ``busy()`` says that a search by hand is on; a job that is stopped meanwhile leaves the batch for its next run.
     """
+    stopping, ended = threading.Event(), [0.0]
 
     def batch(df: DataFrame, number: int) -> None:
+        while not stopping.is_set() and (time.monotonic() < ended[0] + delay or busy is not None and busy()):
+            stopping.wait(0.05)
+        if stopping.is_set():
+            raise InterruptedError("stopped before the batch began")
         work(df).write.mode("overwrite").parquet(f"{outcome}/batch={number}")
+        ended[0] = time.monotonic()
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
-    return Job(writer.start(), outcome)
+    return Job(writer.start(), outcome, stopping)
 
 
 def progress(outcomes: DataFrame, *by: str) -> DataFrame:

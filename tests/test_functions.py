@@ -241,3 +241,29 @@ def test_only_book_files_are_read(spark, tmp_path):
     assert sorted(r.name for r in books.list_books(spark, f"file://{tmp_path}").collect()) == ["a.EPUB", "b.pdf", "e.Cbz"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", books._named(books.TEXTS)).load(f"file://{tmp_path}")
     assert sorted(r.path.rsplit("/", 1)[1] for r in files.collect()) == ["a.EPUB", "c.txt"]
+
+
+def test_jobs_wait_for_searches_by_hand_and_between_batches(spark, tmp_path):
+    import threading
+    import time
+
+    from bindery.streaming import jobs
+
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).write.parquet(f"file://{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 50).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+    searching = threading.Event()
+    searching.set()
+    work = lambda df: df.select("id", (F.col("id") % 2 == 0).alias("failed"))
+    at = (f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
+    job = jobs.start(stream, work, *at, busy=searching.is_set)
+    time.sleep(3)
+    assert job.status() == "running" and not (tmp_path / "out").exists()
+    job.stop()
+    assert not (tmp_path / "out").exists()
+    # the next run takes up the batch once the search is over
+    job = jobs.start(stream, work, *at, delay=0.2, busy=searching.is_set)
+    searching.clear()
+    job.join()
+    done = jobs.progress(spark.read.schema("id long, failed boolean").parquet(at[0])).first()
+    assert (done.completed, done.failures, job.status()) == (30, 15, "completed")
