@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import jaccard, language, lattice, licenses, mixing, packing, quality, sharding, tokenfiles, topk
+from bindery.llm import audit, clusters, htmltext, jaccard, language, lattice, licenses, mixing, packing, quality, sharding, tokenfiles, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, docs.select("doc_id", F.col("lang").alias("label")))
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_walsh_hadamard_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_host_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 ORACLES = {
     "op9_exact_topk": """
 WITH v AS (
@@ -86,9 +98,13 @@ def queries() -> dict:
         "op8_language_spans": op8_language_spans,
         "op9_exact_topk": op9_exact_topk,
         "op10_soft_mixing": op10_soft_mixing,
+        "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
+        "op12_walsh_hadamard_audit": op12_walsh_hadamard_audit,
+        "op13_host_consensus_html": op13_host_consensus_html,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | {"op1_lattice_near_dedup": lattice.oracle(), "op2_license_scan": licenses.oracle(), "op6_minhash_forest": jaccard.oracle()}
+    new = {"op11_dual_tree_lloyd": clusters.oracle(), "op12_walsh_hadamard_audit": audit.oracle()}
+    return ORACLES | new | {"op1_lattice_near_dedup": lattice.oracle(), "op2_license_scan": licenses.oracle(), "op6_minhash_forest": jaccard.oracle()}
