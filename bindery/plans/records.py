@@ -13,6 +13,7 @@ from bindery.plans.catalog import query, table
 from bindery.schema import NAMES
 from bindery.sources import properties
 from bindery.streaming import jobs
+from bindery.streaming import state as streams
 
 
 def _books(spark, sf_dir) -> DataFrame:
@@ -87,16 +88,77 @@ def reconcile_flags(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS completed, count(*) FILTER (event_type = 'error' OR value < 5) AS failures FROM events GROUP BY event_type")
 def job_progress(spark, sf_dir):
+    at = _job_folder(spark)
+    job = jobs.start(_event_stream(spark, sf_dir), lambda df: df.select("event_type", ((F.col("event_type") == "error") | (F.col("value") < 5)).alias("failed")), f"{at}/outcome", f"{at}/checkpoint")
+    job.join()
+    return jobs.progress(spark.read.schema("event_type string, failed boolean").parquet(f"{at}/outcome"), "event_type")
+
+
+def _job_folder(spark) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local["):
+    if not root and not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    at = f"{(root or f'file://{tempfile.gettempdir()}').rstrip('/')}/job-{uuid.uuid4().hex}"
-    batch = table(spark, sf_dir, "events")
+    return f"{(root or f'file://{tempfile.gettempdir()}').rstrip('/')}/job-{uuid.uuid4().hex}"
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
     # a pattern that fits this one name: a stream's source takes a folder or a pattern, and the table may be a file
-    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
-    job = jobs.start(stream, lambda df: df.select("event_type", ((F.col("event_type") == "error") | (F.col("value") < 5)).alias("failed")), f"{at}/outcome", f"{at}/checkpoint")
-    job.join()
-    return jobs.progress(spark.read.schema("event_type string, failed boolean").parquet(f"{at}/outcome"), "event_type")
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
+
+
+def _drained(rows: DataFrame, at: str) -> DataFrame:
+    """All that a stream says of what is there now."""
+    streams.drain(rows, f"{at}/said", f"{at}/checkpoint")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/said")
+
+
+#: Users whose lookups go to one cache, entries of a cache, and the seconds that a lookup accepts.
+CACHE_USERS, CACHE_KEEP, CACHE_AGE = 8, 12, 100_000
+
+
+@query(f"""
+WITH o AS (
+  SELECT 'c' || user_id // {CACHE_USERS} AS cache, event_id AS seq, floor(epoch(ts))::BIGINT AS sec, event_type IN ('purchase', 'signup') AS put, 'q' || event_id % 40 AS cache_key, props FROM events
+), g AS (
+  SELECT g.cache, g.seq, g.cache_key, g.sec, p.cache_key AS other, arg_max(p.sec, (p.sec, p.seq)) AS put_sec, arg_max(p.props, (p.sec, p.seq)) AS props
+  FROM o g LEFT JOIN o p ON p.put AND p.cache = g.cache AND (p.sec, p.seq) < (g.sec, g.seq) WHERE NOT g.put GROUP BY ALL
+), m AS (SELECT cache, seq, put_sec, props FROM g WHERE other = cache_key),
+n AS (
+  SELECT g.cache, g.seq, any_value(g.cache_key) AS cache_key, any_value(g.sec) AS sec, any_value(m.put_sec) AS put_sec, any_value(m.props) AS props, count(*) FILTER (g.put_sec > m.put_sec OR g.put_sec = m.put_sec AND g.other < g.cache_key) AS newer
+  FROM g LEFT JOIN m ON m.cache = g.cache AND m.seq = g.seq GROUP BY g.cache, g.seq
+), h AS (SELECT *, coalesce(put_sec >= sec - {CACHE_AGE} AND newer < {CACHE_KEEP}, false) AS hit FROM n)
+SELECT cache, seq, cache_key, CASE WHEN hit THEN 'hit' ELSE 'miss' END AS kind, CASE WHEN hit THEN props END AS result_json FROM h
+""")
+def cache_stream(spark, sf_dir):
+    """Every event as an operation of a cache that some users share: purchases and signups put, the others ask."""
+    e = _event_stream(spark, sf_dir)
+    put = F.col("event_type").isin("purchase", "signup")
+    operations = e.select(
+        F.concat(F.lit("c"), F.expr(f"user_id div {CACHE_USERS}").cast("string")).alias("cache"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), put.alias("put"),
+        F.concat(F.lit("q"), (F.col("event_id") % 40).cast("string")).alias("cache_key"), F.when(put, F.col("props")).alias("result_json"), F.lit(CACHE_AGE).alias("max_age"),
+    )
+    said = _drained(streams.cache_answers(operations, CACHE_KEEP), _job_folder(spark))
+    return said.where("kind <> 'expired'").select("cache", "seq", "cache_key", "kind", "result_json")
+
+
+@query("""
+WITH e AS (
+  SELECT event_id, user_id, event_type = 'click' AS fallback, event_type = 'error' AS failed, event_type = 'purchase' AS exact, event_type IN ('purchase', 'signup') AS strong,
+    (event_id // 2000 + 1)::INTEGER AS pos, event_id % 2000 AS search FROM events
+), w AS (
+  SELECT *, coalesce(bool_or(failed OR exact) OVER b, false) AS ended, coalesce(bool_or(strong) OVER b, false) AS firm FROM e
+  WINDOW b AS (PARTITION BY search ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT search, pos, NOT ended AND NOT (fallback AND firm) AS do FROM w
+""")
+def staged_stream(spark, sf_dir):
+    """Every 2000th event is an outcome of one search: position by position what was still to be looked up."""
+    kind = F.col("event_type")
+    outcomes = _event_stream(spark, sf_dir).select(
+        (F.col("event_id") % 2000).alias("search"), F.expr("cast(event_id div 2000 + 1 as int)").alias("pos"), "ts",
+        (kind == "click").alias("fallback"), (kind == "error").alias("failed"), (kind == "purchase").alias("exact"), kind.isin("purchase", "signup").alias("strong"),
+    )
+    return _drained(streams.staged_decisions(outcomes, ["search"], F.col("ts")), _job_folder(spark))
 
 
 @query("""
