@@ -69,15 +69,14 @@ def _names(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""
-WITH n AS (SELECT p_partkey, {SQL_PLAIN.format('p_name')} AS t FROM part)
-SELECT x.p_partkey AS p_partkey, x.t AS a, y.t AS b, round({sql_similarity('x.t', 'y.t')}, 6) AS score, round({SQL_EDIT.format('x.t', 'y.t')}, 6) AS edit
-FROM n x JOIN n y ON y.p_partkey = x.p_partkey + 1
+WITH n AS (SELECT DISTINCT p_brand, {SQL_PLAIN.format('p_name')} AS t FROM part),
+s AS (SELECT x.p_brand AS p_brand, x.t AS a, y.t AS b, {sql_similarity('x.t', 'y.t')} AS score, {SQL_EDIT.format('x.t', 'y.t')} AS edit FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.t < y.t)
+SELECT p_brand, a, b, round(score, 6) AS score, round(edit, 6) AS edit FROM s WHERE score >= 0.4
 """)
 def text_similarity(spark, sf_dir):
-    """Every part's name and the next one's."""
-    n = _names(spark, sf_dir)
-    a, b = n.select("p_partkey", F.col("p_name_norm").alias("a")), n.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name_norm").alias("b"))
-    return a.join(b, "p_partkey").select("p_partkey", "a", "b", F.round(tx.text_similarity(F.col("a"), F.col("b")), 6).alias("score"), F.round(tx.edit_similarity(F.col("a"), F.col("b")), 6).alias("edit"))
+    """All pairs of different names of a brand that are similar at all."""
+    found = match.similar_texts(_names(spark, sf_dir), "p_brand", "p_name_norm").where("_a < _b")
+    return found.select("p_brand", F.col("_a").alias("a"), F.col("_b").alias("b"), F.round("score", 6).alias("score"), F.round(tx.edit_similarity(F.col("_a"), F.col("_b")), 6).alias("edit"))
 
 
 @query(f"""
@@ -91,6 +90,8 @@ def fuzzy_topk(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+#: Parts of consecutive keys that stand on one shelf, where those of a brand are each other's candidates.
+SHELF = 800
 _SQL_NUMBER = "CASE WHEN s_suppkey % 2 = 0 THEN 8.0 / 9 ELSE 1 END"
 
 
@@ -113,11 +114,11 @@ def author_greedy(spark, sf_dir):
 
 @query(f"""
 WITH b AS (
-  SELECT p_partkey AS k, {SQL_PLAIN.format('p_name')} || CASE WHEN p_partkey % 4 = 0 THEN ' ' || p_size ELSE '' END AS t, 'brand ' || lower(p_type) AS author, p_size FROM part
+  SELECT p_partkey AS k, {SQL_PLAIN.format('p_name')} || CASE WHEN p_partkey % 4 = 0 THEN ' ' || p_size ELSE '' END AS t, 'brand ' || lower(p_type) AS author, p_size, p_brand, p_partkey // {SHELF} AS shelf FROM part
 ), p AS (
   SELECT x.k AS book, y.k AS candidate, x.t AS lt, y.t AS rt, x.author AS la, y.author AS ra, x.p_size % 3 = y.p_size % 3 AS language, x.k % 5 <> 0 AS has_authors, x.k % 3 <> 0 AS has_languages,
     y.k % 7 <> 0 AS remote_authors, x.k % 4 = 0 AND y.k % 4 = 0 AND x.p_size <> y.p_size AS numbers, x.k % 6 = 0 AND x.p_size <> y.p_size AS volumes, (x.k + y.k) % 11 = 0 AS isbn
-  FROM b x JOIN (SELECT *, k - unnest([1, 2, 4]) AS book FROM b) y ON y.book = x.k
+  FROM b x JOIN b y ON x.p_brand = y.p_brand AND x.shelf = y.shelf AND x.k <> y.k
 ), q AS (SELECT *, {sql_similarity('lt', 'rt')} AS title, {sql_similarity('la', 'ra')} AS author FROM p),
 w AS (
   SELECT *, (0.7 * title + CASE WHEN has_authors THEN 0.25 * author ELSE 0 END + CASE WHEN has_languages AND language THEN 0.05 ELSE 0 END)
@@ -127,24 +128,24 @@ z AS (
   SELECT *, raw * CASE WHEN has_authors AND remote_authors AND author < 0.35 THEN 0.65 ELSE 1 END * CASE WHEN numbers THEN 0.75 ELSE 1 END * CASE WHEN volumes THEN 0.75 ELSE 1 END AS cut FROM w
 ),
 f AS (SELECT *, least(1.0, CASE WHEN isbn THEN 0.95 + 0.05 * cut ELSE cut END) AS total FROM z)
-SELECT book, candidate, round(title, 6) AS title, round(author, 6) AS author, round(total, 6) AS total,
+SELECT book, candidate, round(title, 6) AS title, round(author, 6) AS author, round(total + 1e-9, 6) AS total,
   isbn OR title >= 0.88 AND (NOT has_authors OR author >= 0.75) AND total >= 0.85 AS strong, isbn OR title >= 0.35 AND total >= 0.4 AS passes FROM f
 """)
 def rank_full(spark, sf_dir):
-    """Every part as a book against three others as its candidates, with all that a score takes in."""
+    """Every part as a book against all others of its brand on its shelf as its candidates, with all that a score takes in."""
     k = F.col("p_partkey")
     named = _names(spark, sf_dir).withColumn("t", F.when(k % 4 == 0, F.concat_ws(" ", "p_name_norm", F.col("p_size").cast("string"))).otherwise(F.col("p_name_norm")))
-    b = named.select(k.alias("k"), "p_size", "t", F.concat(F.lit("brand "), F.lower("p_type")).alias("author"))
-    left = b.select(F.col("k").alias("book"), F.col("t").alias("lt"), F.col("author").alias("la"), F.col("p_size").alias("ls"))
-    right = b.select(F.col("k").alias("candidate"), F.explode(F.array(*(F.col("k") - n for n in (1, 2, 4)))).alias("book"), F.col("t").alias("rt"), F.col("author").alias("ra"), F.col("p_size").alias("rs"))
+    b = named.select(k.alias("k"), "p_brand", F.floor(k / SHELF).alias("shelf"), "p_size", "t", F.concat(F.lit("brand "), F.lower("p_type")).alias("author"))
+    left = b.select("p_brand", "shelf", F.col("k").alias("book"), F.col("t").alias("lt"), F.col("author").alias("la"), F.col("p_size").alias("ls"))
+    right = b.select("p_brand", "shelf", F.col("k").alias("candidate"), F.col("t").alias("rt"), F.col("author").alias("ra"), F.col("p_size").alias("rs"))
     x, y = F.col("book"), F.col("candidate")
-    scored = left.join(right, "book").withColumn("title", tx.text_similarity(F.col("lt"), F.col("rt"))).withColumn("author", tx.text_similarity(F.col("la"), F.col("ra")))
+    scored = left.join(right, ["p_brand", "shelf"]).where(x != y).withColumn("title", tx.text_similarity(F.col("lt"), F.col("rt"))).withColumn("author", tx.text_similarity(F.col("la"), F.col("ra")))
     scored = scored.withColumns({"has_authors": x % 5 != 0, "isbn": (x + y) % 11 == 0, "numbers": tx.different_numbers(F.col("lt"), F.col("rt")), "volumes": (x % 6 == 0) & (F.col("ls") != F.col("rs"))})
     total = match.total_score(F.col("title"), F.col("author"), F.col("has_authors"), F.col("ls") % 3 == F.col("rs") % 3, x % 3 != 0, y % 7 != 0, F.col("numbers"), F.col("volumes"), F.col("isbn"))
     scored = scored.withColumn("total", total)
     strong = match.strong(F.col("isbn"), F.col("title"), F.col("author"), F.col("has_authors"), F.col("total"))
     passes = match.passes(F.col("isbn"), F.col("title"), F.col("total"))
-    return scored.select("book", "candidate", F.round("title", 6).alias("title"), F.round("author", 6).alias("author"), F.round("total", 6).alias("total"), strong.alias("strong"), passes.alias("passes"))
+    return scored.select("book", "candidate", F.round("title", 6).alias("title"), F.round("author", 6).alias("author"), F.round(F.col("total") + 1e-9, 6).alias("total"), strong.alias("strong"), passes.alias("passes"))
 
 
 #: SQL of an ISBN-10 and an ISBN-13 made of a number below 10**9, right or with a wrong last digit.
@@ -263,13 +264,14 @@ def filename_label(spark, sf_dir):
 
 @query("""
 SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_partkey % 4 <> 0 AND y.p_partkey % 4 <> 0 AND floor(x.p_retailprice) <> floor(y.p_retailprice) AS differ
-FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1
+FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_name = y.p_name AND x.p_partkey < y.p_partkey
 """)
 def different_numbers(spark, sf_dir):
+    """All pairs of parts of one brand and name."""
     value = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.concat_ws(" #", "p_name", F.floor("p_retailprice").cast("string")))
-    n = table(spark, sf_dir, "part").select("p_partkey", plain_norm(value).alias("t"))
-    a, b = n.select(F.col("p_partkey").alias("a"), F.col("t").alias("ta")), n.select((F.col("p_partkey") - 1).alias("a"), F.col("p_partkey").alias("b"), F.col("t").alias("tb"))
-    return a.join(b, "a").select("a", "b", tx.different_numbers(F.col("ta"), F.col("tb")).alias("differ"))
+    n = table(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey", plain_norm(value).alias("t"))
+    a, b = (n.select("p_brand", "p_name", F.col("p_partkey").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
+    return a.join(b, ["p_brand", "p_name"]).where("a < b").select("a", "b", tx.different_numbers(F.col("ta"), F.col("tb")).alias("differ"))
 
 
 @query("""

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.operators import library, match, proposals, reconcile, state
+from bindery.operators import held, library, match, proposals, reconcile, state
 from bindery.plans.catalog import query, table
 from bindery.schema import NAMES
 from bindery.sources import properties
@@ -88,19 +85,12 @@ def reconcile_flags(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS completed, count(*) FILTER (event_type = 'error' OR value < 5) AS failures FROM events GROUP BY event_type")
 def job_progress(spark, sf_dir):
-    at = _job_folder(spark)
+    at = held.folder(spark, "job")
     job = jobs.start(_event_stream(spark, sf_dir), lambda df: df.select("event_type", ((F.col("event_type") == "error") | (F.col("value") < 5)).alias("failed")), f"{at}/outcome", f"{at}/checkpoint")
     job.join()
     return jobs.progress(spark.read.schema("event_type string, failed boolean").parquet(f"{at}/outcome"), "event_type")
 
 
-def _job_folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(root or f'file://{tempfile.gettempdir()}').rstrip('/')}/job-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark, sf_dir) -> DataFrame:
     # a pattern that fits this one name: a stream's source takes a folder or a pattern, and the table may be a file
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
@@ -137,7 +127,7 @@ def cache_stream(spark, sf_dir):
         F.concat(F.lit("c"), F.expr(f"user_id div {CACHE_USERS}").cast("string")).alias("cache"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), put.alias("put"),
         F.concat(F.lit("q"), (F.col("event_id") % 40).cast("string")).alias("cache_key"), F.when(put, F.col("props")).alias("result_json"), F.lit(CACHE_AGE).alias("max_age"),
     )
-    said = _drained(streams.cache_answers(operations, CACHE_KEEP), _job_folder(spark))
+    said = _drained(streams.cache_answers(operations, CACHE_KEEP), held.folder(spark, "job"))
     return said.where("kind <> 'expired'").select("cache", "seq", "cache_key", "kind", "result_json")
 
 
@@ -158,7 +148,7 @@ def staged_stream(spark, sf_dir):
         (F.col("event_id") % 2000).alias("search"), F.expr("cast(event_id div 2000 + 1 as int)").alias("pos"), "ts",
         (kind == "click").alias("fallback"), (kind == "error").alias("failed"), (kind == "purchase").alias("exact"), kind.isin("purchase", "signup").alias("strong"),
     )
-    return _drained(streams.staged_decisions(outcomes, ["search"], F.col("ts")), _job_folder(spark))
+    return _drained(streams.staged_decisions(outcomes, ["search"], F.col("ts")), held.folder(spark, "job"))
 
 
 @query("""
