@@ -1,26 +1,31 @@
 """Writing patches back into EPUB, FB2 and CBZ files: given fields change, an empty value clears, all else stays.
 
-A patched file is made whole beside the old one and moved over it. Patches are checked against what the format keeps
-before a file is opened.
+A patched file is made whole beside the old one and moved over it; patches of many books are a data source writer, whose commit does
+the moving. Patches are checked against what the format keeps before a file is opened.
 """
 
 from __future__ import annotations
 
 import copy
 import io
+import json
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from bindery.operators.held import folder
 from bindery.schema import CBZ_FIELDS, LISTS, NAMES
 from bindery.sources.formats import COMIC_LISTS, COMIC_TEXT, EPUB_META, child, contributors, epub_package, local, read_record, read_xml
+from bindery.sources.listing import local_path
 
 OPF, DC, FB2 = "http://www.idpf.org/2007/opf", "http://purl.org/dc/elements/1.1/", "http://www.gribuser.ru/xml/fictionbook/2.0"
 for prefix, uri in (("opf", OPF), ("dc", DC), ("xlink", "http://www.w3.org/1999/xlink")):
@@ -190,53 +195,127 @@ def patch_cbz(raw: bytes, patch: dict) -> bytes:
 WRITERS = {"epub": patch_epub, "fb2": patch_fb2, "cbz": patch_cbz}
 
 
-def replace_file(path: str, data: bytes) -> None:
-    """Write beside the file with its mode, sync, and move over it."""
-    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path) or ".", prefix=".patch-")
+def beside(path: str, data: bytes, mark: str = "") -> str:
+    """Write a file's new bytes beside it, with its mode, and sync; returns where."""
+    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path) or ".", prefix=f".patch-{mark}")
     try:
         with os.fdopen(handle, "wb") as out:
             out.write(data)
             out.flush()
             os.fsync(out.fileno())
         os.chmod(temporary, os.stat(path).st_mode)
+    except BaseException:
+        os.unlink(temporary)
+        raise
+    return temporary
+
+
+def replace_file(path: str, data: bytes) -> None:
+    """Write beside the file and move over it."""
+    temporary = beside(path, data)
+    try:
         os.replace(temporary, path)
     except BaseException:
         os.unlink(temporary)
         raise
 
 
-def write(path: str, patch: dict) -> dict:
-    """Patch a file and return the record that it then holds."""
+def patched(path: str, patch: dict) -> bytes:
+    """The bytes of a file with a patch applied; the file stays."""
     check(path, patch)
     extension = path.rpartition(".")[2].lower()
     if extension not in WRITERS:
         raise ValueError(f"{extension} files are not written")
     with open(path, "rb") as f:
-        raw = f.read()
-    replace_file(path, WRITERS[extension](raw, patch))
+        return WRITERS[extension](f.read(), patch)
+
+
+def write(path: str, patch: dict) -> dict:
+    """Patch a file and return the record that it then holds."""
+    replace_file(path, patched(path, patch))
     with open(path, "rb") as f:
         return read_record(f.read(), path)[0]
 
 
-def write_patches(patches: DataFrame) -> DataFrame:
-    """path, saved, error: each book of a long patch (path, field, values) is written where its row is, failures are rows.
+@dataclass
+class Prepared(WriterCommitMessage):
+    """What a task has made ready: path, the new file beside it, and the error where there is none."""
 
-    Files must be on a file system that executors share.
+    files: list[tuple[str, str, str]]
+
+
+class PatchWriter(DataSourceWriter):
+    """Tasks write new files beside the old ones; only the commit, once all tasks have ended, moves them over.
+
+    A task that is run again, or twice at the same time, makes files of its own, and only the attempt that Spark accepts is moved: every book is
+    patched once. What other attempts have left goes with the commit or the abort.
     """
-    # a book has at most as many rows as there are fields
-    books = patches.groupBy("path").agg(F.collect_list(F.struct("field", "values")).alias("fields"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            errors = []
-            for path, fields in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                patch = {f["field"]: f["values"] if f["field"] in LISTS else "".join(f["values"] or []) for f in fields}
+
+    def __init__(self, outcome: str):
+        self.outcome, self.mark = outcome, f"{uuid.uuid4().hex}-"
+
+    def write(self, iterator: Iterator[Row]) -> Prepared:
+        files = []
+        try:
+            for row in iterator:
+                path = row["path"].removeprefix("file:")
+                patch = {f["field"]: f["values"] if f["field"] in LISTS else "".join(f["values"] or []) for f in row["fields"]}
                 try:
-                    write(path.removeprefix("file:"), patch)
-                    errors.append("")
+                    files.append((row["path"], beside(path, patched(path, patch), self.mark), ""))
                 except (OSError, ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as error:
-                    errors.append(f"{type(error).__name__}: {error}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([not e for e in errors], pa.bool_()), pa.array(errors, pa.string())], names=["path", "saved", "error"])
+                    files.append((row["path"], "", f"{type(error).__name__}: {error}"))
+        except BaseException:
+            for _, new, _ in files:
+                if new:
+                    os.unlink(new)
+            raise
+        return Prepared(files)
+
+    def _forget(self, messages: list[Prepared | None]) -> None:
+        for folder in {os.path.dirname(p.removeprefix("file:")) or "." for m in messages if m for p, _, _ in m.files}:
+            for name in os.listdir(folder):
+                if name.startswith(f".patch-{self.mark}"):
+                    os.unlink(os.path.join(folder, name))
+
+    def commit(self, messages: list[Prepared | None]) -> None:
+        done = []
+        for path, new, error in (f for m in messages if m for f in m.files):
+            if new:
+                try:
+                    os.replace(new, path.removeprefix("file:"))
+                except OSError as failed:
+                    error = f"{type(failed).__name__}: {failed}"
+            done.append({"path": path, "saved": not error, "error": error})
+        self._forget(messages)
+        os.makedirs(self.outcome, exist_ok=True)
+        with open(os.path.join(self.outcome, "outcome.json"), "w") as out:
+            out.writelines(f"{json.dumps(d)}\n" for d in done)
+
+    def abort(self, messages: list[Prepared | None]) -> None:
+        self._forget(messages)
 
-    return books.select("path", "fields").mapInArrow(run, "path string, saved boolean, error string")
 
+class PatchSink(DataSource):
+    """Rows of path and fields, written into the files that the paths name; option ``outcome``: a folder for what became of each."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "book_patches"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return PatchWriter(self.options["outcome"])
+
+
+def write_patches(patches: DataFrame, outcome: str | None = None) -> DataFrame:
+    """Write each book of a long patch (path, field, values) into its file, now; path, saved, error of what became of them.
+
+    The files are written by this call, once: reading the rows it returns writes nothing. Files, and the folder for the outcome, must be on a file
+    system that the driver and all executors share. A book has at most as many rows as there are fields; two patches of one field
+    are joined by the order of their values. A commit is what a user selected.
+    """
+    spark = patches.sparkSession
+    spark.dataSource.register(PatchSink)
+    at = local_path(outcome or folder(spark, "patched"))
+    books = patches.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("field", "values"))).alias("fields"))
+    books.write.format("book_patches").option("outcome", at).mode("append").save()
+    return spark.read.schema("path string, saved boolean, error string").json(f"file://{at}")
