@@ -96,10 +96,19 @@ def preflight(selection: DataFrame, state: DataFrame) -> DataFrame:
     return found.select("path", "fingerprint", "version", why.alias("reason"))
 
 
-def commit_allowed(checked: DataFrame) -> bool:
-    """A commit goes ahead if something is selected and nothing is wrong with any of it."""
-    row = checked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason") != "").alias("bad")).first()
-    return row["n"] > 0 and row["bad"] == 0
+def allowed(checked: DataFrame) -> Column:
+    """Whether a commit goes ahead, as a scalar subquery: something is selected and nothing is wrong with any of it."""
+    return checked.agg(((F.count(F.lit(1)) > 0) & (F.count_if(F.col("reason") != "") == 0)).alias("ok")).scalar()
+
+
+def gated(checked: DataFrame) -> DataFrame:
+    """The rows of a checked selection if nothing is wrong with any; else reading any of them fails, with how many are refused.
+
+    The whole batch is decided in the plan, before its first row comes out; nothing runs until the rows are read. An empty selection has no rows.
+    """
+    refused = checked.agg(F.count_if(F.col("reason") != "").alias("n")).scalar()
+    why = F.concat(F.lit("the commit is refused: "), refused.cast("string"), F.lit(" of its books are repeated, missing or stale"))
+    return checked.where(F.when(refused == 0, F.lit(True)).otherwise(F.raise_error(why).cast("boolean")))
 
 
 def discard(state: DataFrame, selected: DataFrame) -> DataFrame:
@@ -109,6 +118,11 @@ def discard(state: DataFrame, selected: DataFrame) -> DataFrame:
     return state.join(chosen, "path", "left").withColumn("staged", F.when(F.col("_gone"), F.lit(None).cast(kinds["staged"])).otherwise(F.col("staged"))).drop("_gone").select(*state.columns)
 
 
+def staged_count(state: DataFrame) -> DataFrame:
+    """staged: how many books have a draft."""
+    return state.agg(F.count("staged").alias("staged"))
+
+
 def row_of(state: DataFrame, path: Column | str) -> DataFrame:
     """The state row of one path; reading it fails where there is none."""
     asked = state.sparkSession.range(1).select((F.lit(path) if isinstance(path, str) else path).alias("path"))

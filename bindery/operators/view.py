@@ -70,3 +70,9 @@ def browse(paths: DataFrame, folder: str, hidden: bool = False) -> DataFrame:
     found = paths.where(F.startswith(F.col("path"), F.lit(base)) & (F.size(child) > 1)).select(child[0].alias("name")).distinct()
     found = found if hidden else found.where(~F.startswith("name", F.lit(".")))
     return found.select("name", F.concat(F.lit(base), F.col("name")).alias("path")).orderBy(F.lower("name"))
+
+
+def parent(folder: Column) -> Column:
+    """The folder above, or the empty string at the root."""
+    above = F.regexp_replace(F.regexp_replace(folder, "/+$", ""), "/[^/]*$", "")
+    return F.when(folder.rlike("^/+$"), F.lit("")).when(above == "", F.lit("/")).otherwise(above)

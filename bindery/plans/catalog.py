@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from bindery.plans import records, shelves  # noqa: F401  (they register their queries)
+    from bindery.plans import records, shelves, sources  # noqa: F401  (they register their queries)
 
     return dict(QUERIES)
 

@@ -143,11 +143,13 @@ def commit_gate(spark, sf_dir):
     """Whether a commit may go ahead: of all books, of which some are stale, no; of the fresh ones, yes."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderstatus").alias("fingerprint"), F.lit("v").alias("version"), (F.col("o_orderkey") % 2 == 0).alias("chosen"))
     now = o.select("path", "fingerprint", F.when(F.col("chosen"), F.lit("v")).otherwise(F.lit("w")).alias("version"))
-    every = state.commit_allowed(state.preflight(o.select("path", "fingerprint", "version"), now))
+    every = state.allowed(state.preflight(o.select("path", "fingerprint", "version"), now))
     fresh = o.where("chosen")
-    some = state.commit_allowed(state.preflight(fresh.select("path", "fingerprint", "version"), now))
-    counted = o.groupBy("chosen").agg(F.lit(every).alias("allowed"), F.count(F.lit(1)).alias("books"))
-    return counted.unionByName(fresh.groupBy("chosen").agg(F.lit(some).alias("allowed"), F.count(F.lit(1)).alias("books")))
+    some = state.preflight(fresh.select("path", "fingerprint", "version"), now)
+    counted = o.groupBy("chosen").agg(F.count(F.lit(1)).alias("books")).withColumn("allowed", every)
+    # what the gate lets through
+    passed = state.gated(some).agg(F.lit(True).alias("chosen"), F.count(F.lit(1)).alias("books")).withColumn("allowed", state.allowed(some))
+    return counted.unionByName(passed).select("chosen", "allowed", "books")
 
 
 @query("""

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery.functions import fb2
 from bindery.functions.identifiers import path_id
 from bindery.schema import LISTS, NAMES
 from bindery.sources.formats import epub_images, read_record, read_text
@@ -98,6 +99,13 @@ def read_images(spark: SparkSession, root: str, recursive: bool = True) -> DataF
     return files.mapInArrow(run, "path string, position int, image string")
 
 
+def read_fb2(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """path, record, text, damaged of the FB2 files under a folder, read by built-in XML functions."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _named(["fb2"])).load(root)
+    books = files.select("path", fb2.parsed(fb2.decoded(F.col("content"))).alias("book"))
+    return books.select("path", fb2.record(F.col("book"), F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("record"), fb2.body_text(F.col("book")).alias("text"), F.col("book._damage").isNotNull().alias("damaged"))
+
+
 def read_texts(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path and text to match by, of EPUB, FB2, text and HTML files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _named(TEXTS)).load(root).select("path", "content")

@@ -11,8 +11,6 @@ from bindery.functions.identifiers import canonical_isbn
 GOOGLE = "struct<items:array<struct<id:string,volumeInfo:struct<title:string,subtitle:string,authors:array<string>,publisher:string,publishedDate:string,description:string,industryIdentifiers:array<struct<type:string,identifier:string>>,imageLinks:map<string,string>,language:string,categories:array<string>>>>>"
 OPEN_LIBRARY = "struct<docs:array<struct<key:string,title:string,author_name:array<string>,first_publish_year:int,language:array<string>,isbn:array<string>,publisher:array<string>,cover_i:int,subject:array<string>>>>"
 EDITION = "struct<key:string,title:string,subtitle:string,publishers:array<string>,publish_date:string,isbn_10:array<string>,isbn_13:array<string>,series:array<string>,covers:array<int>,by_statement:string,languages:array<struct<key:string>>,contributors:array<struct<name:string,role:string>>>"
-#: Fields of an Internet Archive record hold a string or a list of strings, so each is read as it stands.
-ARCHIVE = "struct<response:struct<docs:array<map<string,string>>>>"
 #: The catalogs in their order of arrival.
 ARRIVAL = ["Google Books", "Open Library", "Internet Archive"]
 #: Roles of translators, and how a statement names one.
@@ -89,23 +87,24 @@ def open_library_edition(responses: DataFrame, keep: list[str], isbn: str, works
     return rows.select(*keep, *_row(title=F.col("r.title"), subtitle=F.col("r.subtitle"), authors=F.col("_authors"), translators=translators, publisher=_first(F.col("r.publishers")), pubdate=F.col("r.publish_date"), isbn=F.when(confirmed, F.col("_asked")).otherwise(_first(isbns)), isbns=isbns, language=_first(languages), languages=languages, series_labels=F.col("r.series"), cover=cover, url=url, catalog_url=url, source=F.lit(ARRIVAL[1])))
 
 
-def _strings(raw: Column) -> Column:
-    """A JSON list's trimmed nonblank items, or a nonblank scalar as a list of one."""
-    listed = F.filter(F.transform(F.from_json(raw, "array<string>"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.startswith(raw, F.lit("[")), listed).when(F.trim(raw) != "", F.array(raw)).otherwise(F.array().cast("array<string>"))
+def _strings(value: Column) -> Column:
+    """A JSON list's trimmed nonblank items, or a nonblank scalar as a list of one: what a variant holds decides."""
+    listed, scalar = F.try_variant_get(value, "$", "array<string>"), F.try_variant_get(value, "$", "string")
+    items = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(listed.isNotNull(), items).when(F.trim(scalar) != "", F.array(scalar)).otherwise(F.array().cast("array<string>"))
 
 
 def internet_archive(responses: DataFrame, keep: list[str]) -> DataFrame:
-    """responses: keep, body; records without an id or title are left out."""
-    docs = responses.select(*keep, F.explode(F.from_json("body", ARCHIVE)["response"]["docs"]).alias("r"))
+    """responses: keep, body; records without an id or title are left out, and so is a body that is no JSON.
 
-    def get(name: str) -> Column:
-        return F.coalesce(F.try_element_at(F.col("r"), F.lit(name)), F.lit(""))
-
-    docs = docs.where((get("identifier") != "") & (get("title") != ""))
-    isbns, languages = _strings(get("isbn")), _strings(get("language"))
-    url = F.concat(F.lit("https://archive.org/details/"), F.replace(F.url_encode(get("identifier")), F.lit("+"), F.lit("%20")))
-    return docs.select(*keep, *_row(title=get("title"), authors=_strings(get("creator")), isbn=_first(isbns), isbns=isbns, languages=languages, language=_first(languages), pubdate=get("year"), description=F.array_join(_strings(get("description")), ", "), url=url, catalog_url=url, source=F.lit(ARRIVAL[2])))
+    A field may be a string or a list of strings; a string stays one, whatever it begins with.
+    """
+    docs = F.try_variant_get(F.try_parse_json("body"), "$.response.docs", "array<variant>")
+    docs = responses.select(*keep, F.explode(docs).alias("r"))
+    docs = docs.select(*keep, *(F.coalesce(F.try_variant_get("r", f"$.{n}", "string"), F.lit("")).alias(f"_{n}") for n in ("identifier", "title", "year")), *(_strings(F.try_variant_get("r", f"$.{n}", "variant")).alias(f"_{n}") for n in ("creator", "isbn", "language", "description")))
+    docs = docs.where("_identifier <> '' and _title <> ''")
+    url = F.concat(F.lit("https://archive.org/details/"), F.replace(F.url_encode("_identifier"), F.lit("+"), F.lit("%20")))
+    return docs.select(*keep, *_row(title=F.col("_title"), authors=F.col("_creator"), isbn=_first(F.col("_isbn")), isbns=F.col("_isbn"), languages=F.col("_language"), language=_first(F.col("_language")), pubdate=F.col("_year"), description=F.array_join("_description", ", "), url=url, catalog_url=url, source=F.lit(ARRIVAL[2])))
 
 
 def all_candidates(parts: list[DataFrame]) -> DataFrame:
