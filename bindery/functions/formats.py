@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import csv
+import html.entities
 import io
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from bindery.functions.text import bound
 
 
 def partial_date(value: Column) -> Column:
@@ -46,6 +47,10 @@ def comic_list(value: Column) -> Column:
     return F.transform(F.split(value, ","), lambda x: F.trim(x))
 
 
+#: A quoted item of a list with the blanks before it, which a separator or an end must follow.
+_QUOTED = r'(?:^|(?<=[,\n\r])) *"[^"]*+(?:""[^"]*+)*+"(?=$|[,\n\r])'
+
+
 def parse_list(text: str | None) -> list[str] | None:
     """Items of comma-separated text with quotes, trimmed, without blanks; None if a quote is left open or misplaced."""
     if text is None or not text.strip():
@@ -54,14 +59,26 @@ def parse_list(text: str | None) -> list[str] | None:
         rows = list(csv.reader(io.StringIO(text.strip()), strict=True, skipinitialspace=True))
     except csv.Error:
         return None
-    if '"' in re.sub(r'"(?:[^"]|"")*"', "", text):
+    if '"' in re.sub(_QUOTED, "", text.strip()):
         return None
     return [item.strip() for row in rows for item in row if item.strip()]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def list_items(values: pd.Series) -> pd.Series:
-    return values.map(parse_list)
+#: White space that is trimmed.
+_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _stripped(value: Column) -> Column:
+    return F.regexp_replace(value, f"^{_SPACE}|{_SPACE}$", "")
+
+
+def list_items(value: Column) -> Column:
+    """Items of comma-separated text with quotes, trimmed, without blanks; null if a quote is left open or misplaced. Null text has none."""
+    text = _stripped(F.coalesce(value, F.lit("")))
+    found = F.regexp_extract_all(text, F.lit(f'{_QUOTED}|[^",\\n\\r]+'), F.lit(0))
+    bare = F.transform(found, lambda x: F.when(x.rlike('^ *"'), F.replace(F.regexp_replace(x, '^ *"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+    items = F.filter(F.transform(bare, _stripped), lambda x: x != "")
+    return F.when(~F.contains(F.regexp_replace(text, _QUOTED, ""), F.lit('"')), items)
 
 
 def list_text(items: Column) -> Column:
@@ -115,9 +132,59 @@ def text_of_html(html: str | None) -> str | None:
     return " ".join(" ".join(parser.found).split())
 
 
-@F.pandas_udf(T.StringType())
-def html_text(values: pd.Series) -> pd.Series:
-    return values.map(text_of_html)
+#: What is no text of a page, and tags; an attribute may hold a closing bracket in quotes.
+_NO_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_TAG = r"""(?s)</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[A-Za-z][^>]*(?:>|\z)|<[!?][^>]*(?:>|\z)"""
+#: Names of characters, from Python's own table; those that need no semicolon, longest first.
+_NAMED = {k.removesuffix(";"): v for k, v in html.entities.html5.items() if k.endswith(";")}
+_LOOSE = "|".join(sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+
+
+def _character(code: Column) -> Column:
+    """The character of a number; the replacement character for what is none."""
+    fine = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code)), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its character references resolved, as browsers do, those without a semicolon too."""
+    # a map is searched from its beginning, so names are kept by their first letter
+    letters = sorted({k[0] for k in _NAMED})
+    names = F.create_map(*(c for x in letters for c in (F.lit(x), F.create_map(*(F.lit(v) for kv in _NAMED.items() if kv[0][0] == x for v in kv)))))
+
+    def character(name: Column) -> Column:
+        return F.when(name == "amp", F.lit("&")).otherwise(F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name))
+
+    def resolved(piece: Column) -> Column:
+        # a piece begins behind an ampersand
+        rest = lambda n: F.substring(piece, n + 1, F.length(piece))
+
+        def by_number(number: Column) -> Column:
+            code = F.when(F.lower(F.left(number, F.lit(1))) == "x", F.conv(F.substring(number, F.lit(2), F.length(number)), 16, 10)).otherwise(number).try_cast("long")
+            return F.when(number == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(_character(code), F.regexp_replace(rest(F.length(number) + 1), "^;", "")))
+
+        def by_name(name: Column) -> Column:
+            return bound(F.when(name != "", character(name)), lambda c: F.when(c.isNotNull(), F.concat(c, rest(F.length(name) + 1))).otherwise(bound(F.regexp_extract(piece, f"^({_LOOSE})", 1), by_start)))
+
+        def by_start(name: Column) -> Column:
+            return F.when(name == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(character(name), rest(F.length(name))))
+
+        return (
+            F.when(F.startswith(piece, F.lit("amp;")), F.concat(F.lit("&"), rest(F.lit(4))))
+            .when(F.startswith(piece, F.lit("#")), bound(F.regexp_extract(piece, "^#([0-9]{1,9}|[xX][0-9A-Fa-f]{1,8})", 1), by_number))
+            .otherwise(bound(F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1), by_name))
+        )
+
+    def joined(pieces: Column) -> Column:
+        return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), resolved), ""))
+
+    return bound(F.split(text, "&"), joined)
+
+
+def html_text(page: Column) -> Column:
+    """Text nodes joined by blanks, scripts and styles left out, references resolved, white space collapsed."""
+    bare = F.regexp_replace(F.regexp_replace(page, _NO_TEXT, " "), _TAG, " ")
+    return _stripped(F.regexp_replace(unescaped(bare), _SPACE, " "))
 
 
 #: How a chapter begins, words of front matter, and where one sentence ends and the next begins.

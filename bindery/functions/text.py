@@ -7,9 +7,7 @@ Everything else, and everything on normalised text, is built-in expressions.
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,47 +16,63 @@ from pyspark.sql import types as T
 
 #: Letters and digits that a normalised text keeps at most.
 NORM_CAP = 512
-_ASCII_RUN = re.compile(r"[a-z0-9]+")
 
 #: Titles that say nothing, in normalised form.
 PLACEHOLDER_TITLES = ["", "unknown", "untitled", "unknown title", "sans titre", "book", "ebook", "title", "titre"]
 
 
+class _Letters(dict):
+    """What each character becomes: its letters and digits decomposed, without marks, in lower case; a blank for what is neither."""
+
+    def __missing__(self, code: int) -> str:
+        out = ""
+        for char in unicodedata.normalize("NFKD", chr(code)):
+            kind = unicodedata.category(char)
+            if kind[0] != "M":
+                out += char.lower() if kind[0] == "L" or kind == "Nd" else " "
+        self[code] = out
+        return out
+
+
+_LETTERS = _Letters({0: "\0"})
+#: Characters of each string that are looked at first: enough for nearly all.
+_HEAD = 2 * NORM_CAP
+
+
+def _capped(spaced: str) -> str:
+    """Words with one blank between them, as far as the cap goes."""
+    text = " ".join(spaced.split())
+    if len(text) <= NORM_CAP or len(text) - text.count(" ") <= NORM_CAP:
+        return text
+    room, kept = NORM_CAP, []
+    for word in text.split(" "):
+        kept.append(word[:room])
+        room -= len(kept[-1])
+        if not room:
+            break
+    return " ".join(kept)
+
+
 def normalise(value: str | None) -> str:
     """Decomposed, without marks, lower case; runs of other than letters and decimal digits are one space."""
-    if not value:
-        return ""
-    if value.isascii():
-        found, room = [], NORM_CAP
-        for m in _ASCII_RUN.finditer(value.lower()):
-            found.append(m[0][:room])
-            room -= len(found[-1])
-            if not room:
-                break
-        return " ".join(found)
-    out: list[str] = []
-    gap, kept = False, 0
-    # decomposed some characters at a time: marks go anyway, so their order across a cut is of no matter
-    pieces = (unicodedata.normalize("NFKD", value[at : at + 1024]) for at in range(0, len(value), 1024))
-    for char in chain.from_iterable(pieces):
-        kind = unicodedata.category(char)
-        if kind[0] == "M":
-            continue
-        if kept >= NORM_CAP:
-            break
-        if kind[0] == "L" or kind == "Nd":
-            if gap and out:
-                out.append(" ")
-            out.append(char.lower())
-            gap, kept = False, kept + 1
-        else:
-            gap = True
-    return "".join(out)
+    return normalise_all([value])[0]
+
+
+def normalise_all(values: list[str | None]) -> list[str]:
+    """The normalised forms of many strings: each distinct character is looked up once, and all strings are translated as one."""
+    texts = [(v or "").replace("\0", " ") for v in values]
+    found = "\0".join(t[:_HEAD] for t in texts).translate(_LETTERS).split("\0") if texts else []
+    for k, t in enumerate(texts):
+        at = _HEAD
+        while at < len(t) and len(found[k]) - found[k].count(" ") < NORM_CAP:
+            found[k] += t[at : 4 * at].translate(_LETTERS)
+            at *= 4
+    return [_capped(f) for f in found]
 
 
 @F.pandas_udf(T.StringType())
 def norm(values: pd.Series) -> pd.Series:
-    return values.map(normalise)
+    return pd.Series(normalise_all(values.tolist()), dtype=object)
 
 
 def ascii_norm(value: Column) -> Column:
@@ -79,7 +93,9 @@ def normalised(value: Column) -> Column:
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def _norm_map(values: pd.Series) -> pd.Series:
-    return values.map(lambda found: {} if found is None else {v: normalise(v) for v in found})
+    every = list(dict.fromkeys(v for found in values if found is not None for v in found))
+    known = dict(zip(every, normalise_all(every), strict=True))
+    return pd.Series([{} if found is None else {v: known[v] for v in found} for found in values], dtype=object)
 
 
 def norm_lookup(strings: Column) -> Column:

@@ -532,7 +532,8 @@ def front_back(spark, sf_dir):
 
 _SQL_ENTITIES = "text"
 for _name, _sign in (("nbsp", "\u00a0"), ("middot", "\u00b7"), ("copy", "\u00a9"), ("quot", '"'), ("apos", "\'\'"), ("#39", "\'\'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-    _SQL_ENTITIES = f"replace({_SQL_ENTITIES}, '&{_name};', '{_sign}')"
+    # the oldest names count without a semicolon, too
+    _SQL_ENTITIES = f"regexp_replace({_SQL_ENTITIES}, '&{_name};{'' if _name in ('apos', '#39') else '?'}', '{_sign}', 'g')"
 
 
 @query(rf"""
@@ -541,7 +542,7 @@ e AS (SELECT page_id, {_SQL_ENTITIES} AS text FROM p)
 SELECT page_id, trim(regexp_replace(text, '[\x01\s\x{{a0}}\x{{85}}\x{{2028}}\x{{2029}}\x{{3000}}]+', ' ', 'g')) AS text FROM e
 """)
 def html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", formats.html_text("html").alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", formats.html_text(F.col("html")).alias("text"))
 
 
 @query(r"""

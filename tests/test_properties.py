@@ -84,3 +84,55 @@ def test_samples_against_plain_python(spark):
         while b < len(data) and data[b] & 0xC0 == 0x80:
             b += 1
         assert r.s == data[:a].decode() + "\n" + data[b:].decode()
+
+
+def slow_normalise(value):
+    """Character by character."""
+    import unicodedata
+
+    out, gap, kept = "", False, 0
+    for char in unicodedata.normalize("NFKD", value):
+        kind = unicodedata.category(char)
+        if kind[0] == "M":
+            continue
+        if kept == 512:
+            break
+        if kind[0] == "L" or kind == "Nd":
+            out += (" " if gap and out else "") + char.lower()
+            gap, kept = False, kept + 1
+        else:
+            gap = True
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.text(alphabet="aÉ́ßﬁ٣Ⅷ한 -\0İς", min_size=0, max_size=40).map(lambda t: t * 60)), max_size=6))
+def test_strings_are_normalised_together_as_alone(values):
+    assert text.normalise_all(values) == [slow_normalise(v) for v in values]
+
+
+def test_long_strings_are_read_until_the_cap():
+    for value in ("-" * 5000 + "é" * 700, ("é" + "-" * 40) * 600, "a" * 511 + " bc", "\0" * 3000 + "x"):
+        assert normalise(value) == slow_normalise(value)
+
+
+LISTS = [None, "", " ", "a", "a,b", ' a , "b, c", ', '"a ""q"" b",c', '"open', 'a"b', '"a"b', '"a" ,b', "a\nb,c\r\nd", '"a\nb",c', ",,", '" "', '""', "é ,  x", 'x,"y', '"a","b","c"', ' "a"', 'a, "b"', "'a,b'"]
+
+
+def test_lists_as_the_csv_reader_reads_them(spark):
+    draw = random.Random(5)
+    texts = LISTS + ["".join(draw.choice('ab ",\n') for _ in range(draw.randint(0, 14))) for _ in range(1500)]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", formats.list_items(F.col("t")).alias("l")).collect():
+        assert r.l == formats.parse_list(r.t), repr(r.t)
+
+
+PAGES = [
+    "<p>a<b>b</b> c</p><script>if (a < b) x('</p>')</script><style>p{}</style>d", "a &amp; b &lt;c&gt; &eacute;&#233;&#xE9;&#x1F600; &nbsp;x &copy y &ampz &unknown; &", "<p title='a > b'>t</p><!-- <p>no</p> -->u", "x < y and 3 > 2",
+    "<script>never closed <p>x</p>", "<SCRIPT src=x></SCRIPT >t", "<!DOCTYPE html><html><body>t</body></html>", "", "<p>one two\n\n three</p>", "&notin; &notit; &not; &#0; &#xD800; &#128512 z", "a<br/>b<br>c", "<a href=x>l</a>m",
+]
+
+
+def test_text_of_pages_as_the_parser_gives_it(spark):
+    for r in spark.createDataFrame([(p,) for p in PAGES], "p string").select("p", formats.html_text(F.col("p")).alias("t")).collect():
+        assert r.t == formats.text_of_html(r.p), repr(r.p)
+    assert spark.createDataFrame([(None,)], "p string").select(formats.html_text(F.col("p")).alias("t")).first().t is None
