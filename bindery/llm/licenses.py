@@ -2,16 +2,17 @@
 
 A block is a line, one of the overlapping windows of a long line, or one of the overlapping windows of the whole text's words
 across line ends, as notices are often wrapped. Windows are sized by the template: at least twice its words, half of which
-the next window shares, so a notice lies whole in one of them however it is wrapped. A template is found in a block if at
-least ``THRESHOLD`` of the template's distinct words are among the block's. Notices of different licenses may share that many words; so of
-a template that another one with another label holds to the threshold, the words that the other lacks must all be there, and if it lacks
+the next window shares, so a notice lies whole in one of them however it is wrapped. The tokens of a notice are its words; those of a short
+statement (fewer than ``SHORT`` words), whose words may well stand near each other by chance, are its pairs of consecutive words, and its windows are small. A template is
+found in a block if at least ``THRESHOLD`` of the template's distinct tokens are among the block's. Notices of different licenses may share that many; so of
+a template that another one with another label holds to the threshold, the tokens that the other lacks must all be there, and if it lacks
 none, the other one is taken where a block meets both. A window of the whole text names a template only where
 it holds more of it than every line block within.
 
-Words are ordered by how often they occur in the whole
-corpus, rarest first. A template is indexed by the prefix of its rarest words that any block meeting the
-threshold must share (prefix filter); blocks with too few words are passed over (length filter), and so are pairs whose
-words left after a match, in that order, can't reach the threshold (positional filter). What remains is compared
+Tokens are ordered by how often they occur in the whole
+corpus, rarest first. A template is indexed by the prefix of its rarest tokens that any block meeting the
+threshold must share (prefix filter); blocks with too few tokens are passed over (length filter), and so are pairs whose
+tokens left after a match, in that order, can't reach the threshold (positional filter). What remains is compared
 exactly, so no block that meets the threshold is missed. Templates are a parameter of fixed size and go to every task.
 
 Words: A-Z lower-cased, then runs of ASCII letters and digits and of any character beyond ASCII. Defined cases: a null
@@ -44,9 +45,15 @@ TEMPLATES = [
     ("licensed under cc by 4 0", "cc-by-4.0"),
     ("licensed under cc by sa 4 0", "cc-by-sa-4.0"),
     ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
+    ("licensed under cc by nd 4 0", "cc-by-nd-4.0"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa-4.0"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd-4.0"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
     ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0"),
     ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc-4.0"),
+    ("this work is licensed under a creative commons attribution noderivatives 4 0 international license", "cc-by-nd-4.0"),
+    ("this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "cc-by-nc-sa-4.0"),
+    ("this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", "cc-by-nc-nd-4.0"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
@@ -118,19 +125,33 @@ TEMPLATES = [
         "unlicense",
     ),
 ]
-#: Words of a window at least; a window is a power of two, twice a template's words or more, and the next begins half of it further on.
-WINDOW = 128
+#: Words of a window at least, for statements of fewer than SHORT words and for notices; a window is a power of two, twice a template's words
+#: or more, and the next begins half of it further on.
+SHORT, SMALL_WINDOW, WINDOW = 16, 32, 128
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long"
 BLOCKS = "doc_id long, first_word long, n_words long, label string, template int, containment double, text string"
 
 
+def pairs(found: list[bytes]) -> list[bytes]:
+    """Consecutive words, two by two."""
+    return [a + b" " + b for a, b in zip(found, found[1:], strict=False)]
+
+
 def template_sets(templates: list[tuple[str, str]]) -> list[frozenset[bytes]]:
-    return [frozenset(WORD.findall(t.encode().lower())) for t, _ in templates]
+    """The tokens of each template: pairs of words of a short one, words of others. A pair holds a blank, so the two are never the same."""
+    found = [WORD.findall(t.encode().lower()) for t, _ in templates]
+    return [frozenset(pairs(f) if 1 < len(f) < SHORT else f) for f in found]
 
 
 def windows(templates: list[tuple[str, str]] = TEMPLATES) -> list[int]:
-    """Size of each template's windows."""
-    return [max(WINDOW, 1 << (2 * len(WORD.findall(t.encode())) - 1).bit_length()) for t, _ in templates]
+    """Size of each template's windows; those of short ones are smaller than all others."""
+    sizes = [len(WORD.findall(t.encode())) for t, _ in templates]
+    return [max(SMALL_WINDOW if n < SHORT else WINDOW, 1 << (2 * n - 1).bit_length()) for n in sizes]
+
+
+def tokens(block: list[bytes], window: int) -> set[bytes]:
+    """What a block is compared by: in small windows its words and its pairs of words."""
+    return {*block, *pairs(block)} if window < WINDOW else set(block)
 
 
 def rivals(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[frozenset[bytes]], set[tuple[int, int]]]:
@@ -152,12 +173,17 @@ def cuts(n: int, window: int) -> range:
 def corpus_order(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> dict[bytes, int]:
     """Place of each template word by its count over all texts, rarest first; one row a template word reaches the driver."""
     vocabulary = frozenset().union(*template_sets(templates))
+    # a pair is only put together where its first word begins one of the templates'
+    heads = {w.partition(b" ")[0] for w in vocabulary if b" " in w}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = dict.fromkeys(vocabulary, 0)
         for batch in batches:
             for text in (t for some in slices(batch, 0) for t in some.column(0).to_pylist()):
-                for w in filter(vocabulary.__contains__, WORD.findall((text or "").encode().lower())):
+                found = WORD.findall((text or "").encode().lower())
+                for w in filter(vocabulary.__contains__, found):
+                    count[w] += 1
+                for w in filter(vocabulary.__contains__, (a + b" " + b for a, b in zip(found, found[1:], strict=False) if a in heads)):
                     count[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in count]), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
@@ -183,15 +209,17 @@ class Scanner:
         """(word number, label) of every place where a phrase stands."""
         joined, places = b" " + b" ".join(found) + b" ", []
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            at, number, counted = joined.find(phrase), 0, 0
             while at >= 0:
-                places.append((joined.count(b" ", 0, at), label))
+                # words are counted on from the last place
+                number, counted = number + joined.count(b" ", counted, at), at
+                places.append((number, label))
                 at = joined.find(phrase, at + 1)
         return places
 
     def block(self, found: list[bytes], window: int) -> list[tuple[int, float]]:
         """(template, containment) of the templates of a window size that a block meets."""
-        index, own = self.index[window], set(found)
+        index, own = self.index[window], tokens(found, window)
         if own.isdisjoint(index):
             return []
         ordered = sorted(own.intersection(self.order), key=self.order.__getitem__)
@@ -222,7 +250,7 @@ class Scanner:
         """(first word, words, template, containment) of every block and template that it meets; ``found``: the text's words."""
         out, split = [], None
         for window, index in self.index.items():
-            if index.keys().isdisjoint(found):
+            if index.keys().isdisjoint(found) and (window >= WINDOW or index.keys().isdisjoint(pairs(found))):
                 continue
             split = [WORD.findall(line) for line in text.encode().lower().split(b"\n")] if split is None else split
             lines = [(a, b, *hit) for a, b in self.blocks(split, window) for hit in self.block(b, window)]
@@ -283,7 +311,8 @@ def oracle() -> str:
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES)
     must, instead = rivals()
     names = [sorted(w.decode() for w in s) for s in must]
-    templates = ", ".join(f"({k}, {sorted(set(t.split()))!r}, {names[k]!r}::VARCHAR[], '{label}', {window})" for k, ((t, label), window) in enumerate(zip(TEMPLATES, windows(), strict=True)))
+    sets = [sorted(w.decode() for w in s) for s in template_sets(TEMPLATES)]
+    templates = ", ".join(f"({k}, {sets[k]!r}, {names[k]!r}::VARCHAR[], '{label}', {window})" for k, ((_, label), window) in enumerate(zip(TEMPLATES, windows(), strict=True)))
     others = ", ".join(str(x) for x in sorted(instead))
     return f"""
 WITH p(phrase, label) AS (VALUES {phrases}),
@@ -304,7 +333,10 @@ k AS (
   UNION ALL
   SELECT r, size, words[a + 1 : a + size] FROM (SELECT r, size, words, unnest(range(0, greatest(1, len(words) - size // 2), size // 2)) AS a FROM w, z)
 ),
-n AS (SELECT row_number() OVER () AS id, r, size, list_distinct(block) AS block FROM k),
+n AS (
+  SELECT row_number() OVER () AS id, r, size,
+    list_distinct(CASE WHEN size < {WINDOW} THEN list_concat(block, list_transform(range(1, len(block)), lambda i: block[i] || ' ' || block[i + 1])) ELSE block END) AS block FROM k
+),
 m AS (
   SELECT id, r, template, label, len(list_intersect(words, block)) / len(words) AS c FROM n JOIN t USING (size)
   WHERE len(list_intersect(words, block)) >= ceil({THRESHOLD} * len(words) - 1e-9) AND list_has_all(block, must)
