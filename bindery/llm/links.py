@@ -16,21 +16,23 @@ CHUNK = 512
 SALTS = 8
 
 
-def tiles(entries: DataFrame, bucket: list[str], member: str, chunk: int = CHUNK, salts: int = SALTS) -> DataFrame:
+def tiles(entries: DataFrame, bucket: list[str], member: str, chunk: int = CHUNK, salts: int = SALTS, weight: str | None = None, most: int = 0) -> DataFrame:
     """Members of every bucket of two or more, once for each tile they take part in: bucket, tile_i, tile_j, side.
 
     A bucket of up to ``chunk`` members is one tile. A larger one is dealt into chunks by hash, and every pair of chunks is
-    a tile of its own, so no task holds a bucket: a tile has at most about two chunks. Bucket sizes are
+    a tile of its own, so no task holds a bucket: a tile has at most about two chunks. With a ``weight`` column, a chunk also
+    holds about ``most`` of it, or one member. Bucket sizes are
     counted with partial sums and joined to salted entries, so a hot bucket's rows are spread before its size is known.
     """
-    sizes = entries.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    weighs = F.sum(weight) / most if weight else F.lit(0.0)
+    sizes = entries.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_size"), weighs.alias("_weighs")).where("_size > 1")
     salted = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     own = F.pmod(F.xxhash64(member), F.lit(salts)).cast("int")
     found = entries.withColumn("_salt", own).join(salted, [*bucket, "_salt"]).drop("_salt")
-    n = F.ceil(F.col("_size") / chunk).cast("int")
+    n = F.greatest(F.ceil(F.col("_size") / chunk), F.least(F.ceil("_weighs"), F.col("_size"))).cast("int")
     found = found.withColumn("_n", n).withColumn("side", F.pmod(F.xxhash64(member, F.lit(1)), F.col("_n")).cast("int"))
     found = found.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return found.withColumn("tile_i", F.least("side", "_other")).withColumn("tile_j", F.greatest("side", "_other")).drop("_size", "_n", "_other")
+    return found.withColumn("tile_i", F.least("side", "_other")).withColumn("tile_j", F.greatest("side", "_other")).drop("_size", "_weighs", "_n", "_other")
 
 
 TILE = ["tile_i", "tile_j"]

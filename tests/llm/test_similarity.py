@@ -70,7 +70,7 @@ def vectors():
 
 @pytest.mark.parametrize("chunk", [512, 8])
 def test_near_duplicate_vectors(spark, vectors, chunk, monkeypatch):
-    monkeypatch.setattr(links.tiles, "__defaults__", (chunk, links.SALTS))
+    monkeypatch.setattr(links.tiles, "__defaults__", (chunk, links.SALTS, None, 0))
     rows = [(k, [float(c) for c in x], k % 2 if k < 60 else 0, "e") for k, x in enumerate(vectors)]
     got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept string")).collect()}
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -101,18 +101,48 @@ def brute_pairs(texts):
     return [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
 
 
-def test_prefix_lengths_meet_the_recall():
-    """Each set is matched by the longest prefix that finds the least similar of its possible partners, and lengths differ."""
-    lengths = jaccard.depths()
-    for n, depth in enumerate(lengths.tolist()):
-        if not n:
-            continue
+def test_least_similarities_of_sets():
+    forest = jaccard.Forest()
+    for n in range(1, 60):
         possible = [k / (n + m - k) for m in range(1, 2 * n + 3) for k in range(1, min(n, m) + 1) if 2 * k < n + m and k / (n + m - k) >= 0.8 - 1e-9]
-        least = min(possible, default=1.0) if n < 60 else 0.8
-        assert abs(jaccard.least_similarity(n) - least) < 1e-9 or n >= 60
-        found = lambda d: 1 - (1 - least**d) ** jaccard.TREES
-        assert found(depth) >= jaccard.RECALL and (depth == jaccard.DEPTH or found(depth + 1) < jaccard.RECALL)
-    assert len(set(lengths.tolist())) > 2 and lengths[3] == jaccard.DEPTH and lengths[6] == 5 and lengths[-1] == jaccard.shorten() == 4
+        assert abs(forest.least_of(np.array([n]))[0] - min(possible, default=1.0)) < 1e-9
+    assert forest.least_of(np.array([3, 4, 10_000])).tolist() == [1.0, 0.8, 0.8]
+
+
+def test_prefixes_are_shortened_until_the_recall_is_met():
+    rng = np.random.default_rng(1)
+    begun = rng.integers(jaccard.LEAST, jaccard.DEPTH + 1, (300, jaccard.TREES))
+    least = rng.choice([0.8, 5 / 6, 0.9], 300)
+    got = jaccard.shortened(least, begun)
+    found = jaccard.recall_of(least, got)
+    assert (found >= jaccard.RECALL).all() and (got <= begun).all() and (got >= jaccard.LEAST).all()
+    for s, a, b in zip(least, begun, got, strict=True):
+        # no more than is needed: with its cut prefixes one longer, the recall is not met
+        if (b < a).any():
+            longer = np.minimum(a, b.max() + 1)
+            assert 1 - np.prod(1 - s**longer) < jaccard.RECALL
+    assert len({tuple(sorted(r)) for r in got.tolist()}) > 50
+
+
+def test_lengths_of_large_sets_differ_where_texts_crowd(spark):
+    """A thousand near copies crowd in every tree and are met by longer prefixes than texts that stand alone; each meets the recall."""
+    rng = np.random.default_rng(7)
+    forest = jaccard.Forest()
+    base = rng.integers(1, 2**62, 300).astype(np.uint64)
+    rows = []
+    for k in range(1000):
+        near = base.copy()
+        near[rng.choice(300, 3, replace=False)] = rng.integers(1, 2**62, 3).astype(np.uint64)
+        rows.append((k, 300, bytearray(forest.sequences(np.unique(near)))))
+    rows += [(2000 + k, 300, bytearray(forest.sequences(np.unique(rng.integers(1, 2**62, 300).astype(np.uint64))))) for k in range(500)]
+    reps = spark.createDataFrame(rows, "uid long, n int, sequences binary").repartition(3)
+    got = {r.uid: np.frombuffer(bytes(r.lengths), np.uint8) for r in jaccard.prefix_lengths(reps, forest, crowd=64).collect()}
+    assert set(got) <= set(range(1000)) and len(got) > 900  # texts that stand alone stay at the least length
+    lengths = np.array(list(got.values())).astype(int)
+    assert (jaccard.recall_of(np.full(len(lengths), 0.8), lengths) >= jaccard.RECALL).all()
+    assert len({tuple(sorted(x)) for x in lengths.tolist()}) > 1 and lengths.max() > jaccard.LEAST
+    mean = {crowd: np.mean([np.frombuffer(bytes(r.lengths), np.uint8).mean() for r in jaccard.prefix_lengths(reps, forest, crowd=crowd).collect()] or [jaccard.LEAST]) for crowd in (64, 5000)}
+    assert mean[64] > mean[5000] == jaccard.LEAST
 
 
 def test_pairs_match_by_their_longest_common_prefix():
@@ -120,30 +150,45 @@ def test_pairs_match_by_their_longest_common_prefix():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(1, 2**62, n).astype(np.uint64)) for n in (6, 6, 7, 40)]
     sets += [np.unique(np.append(sets[0], np.uint64(5))), sets[3][1:], sets[3][2:]]
+    m, trees, further = len(sets), forest.trees, forest.further
+    lengths = rng.integers(jaccard.LEAST, jaccard.DEPTH + 1, (m, trees)).astype(np.uint8)
     raw = [forest.sequences(x) for x in sets]
-    top = [np.frombuffer(x[: 8 * forest.trees], np.uint64) for x in raw]
-    rest = [np.frombuffer(x[8 * forest.trees :], np.uint32) for x in raw]
     import pyarrow as pa
 
-    for t in range(forest.trees):
-        m = len(sets)
-        batch = pa.RecordBatch.from_pydict({"tree": [t] * m, "prefix": [0] * m, "tile_i": [0] * m, "tile_j": [0] * m, "side": [0] * m, "uid": list(range(m)), "n": [len(x) for x in sets], "sequences": raw})
-        _, a, b = jaccard.Tries(forest, batch).pairs(np.arange(m)[None, :])
-
-        def common(i, j, k):
-            """Hashes that begin both sequences of a tree."""
-            if top[i][k] != top[j][k]:
-                return 0
-            x = int(rest[i][k] ^ rest[j][k])
-            return forest.least + next((d for d in range(4) if x >> (8 * (3 - d))), 4)
+    def common(i, j, k):
+        """Hashes that begin both sequences of a tree."""
+        if raw[i][4 * k : 4 * k + 4] != raw[j][4 * k : 4 * k + 4]:
+            return 0
+        a, b = (raw[x][4 * trees + further * k : 4 * trees + further * (k + 1)] for x in (i, j))
+        return forest.least + next((d for d in range(further) if a[d] != b[d]), further)
 
+    seen = 0
+    for t in range(trees):
+        batch = pa.RecordBatch.from_pydict({"tree": [t] * m, "prefix": [0] * m, "tile_i": [0] * m, "tile_j": [0] * m, "side": [0] * m, "uid": list(range(m)), "n": [len(x) for x in sets], "sequences": [x + y.tobytes() for x, y in zip(raw, lengths, strict=True)]})
+        _, a, b = jaccard.Tries(forest, batch).pairs(np.arange(m)[None, :])
         want = []
         for i, j in itertools.combinations(range(m), 2):
-            need = max(forest.depths[len(sets[i])], forest.depths[len(sets[j])])
-            first = next((k for k in range(forest.trees) if common(i, j, k) >= need), None)
+            first = next((k for k in range(trees) if common(i, j, k) >= min(lengths[i, k], lengths[j, k])), None)
             if first == t and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])):
                 want.append((i, j))
         assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == want
+        seen += len(want)
+    assert seen >= 3
+
+
+def test_tiles_are_bounded_by_bytes(spark, texts, monkeypatch):
+    entries = spark.createDataFrame([(1, k, 100 if k else 5000) for k in range(40)], "bucket int, member long, bytes long")
+    got = links.tiles(entries, ["bucket"], "member", weight="bytes", most=1000).collect()
+    met, chunks = set(), {}
+    for r in got:
+        chunks.setdefault(r.side, set()).add(r.member)
+        met.add((r.tile_i, r.tile_j))
+    assert len(chunks) == 9 and len(met) == 45
+    # verified in parts of few bytes, the result is the same
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 3000)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(jaccard.near_duplicates(docs).collect(), key=lambda r: r.doc_id)
+    check_links([(r.doc_id, r.n_links, r.class_id, r.kept) for r in got], brute_pairs(texts), list(range(len(texts))))
 
 
 def test_shingles_of_short_texts():
@@ -183,7 +228,7 @@ def texts():
 
 @pytest.mark.parametrize("chunk", [512, 16])
 def test_near_duplicate_texts(spark, texts, chunk, monkeypatch):
-    monkeypatch.setattr(links.tiles, "__defaults__", (chunk, links.SALTS))
+    monkeypatch.setattr(links.tiles, "__defaults__", (chunk, links.SALTS, None, 0))
     docs = spark.createDataFrame([(k, t, "extra") for k, t in enumerate(texts)], "doc_id long, text string, n_links string")
     got = sorted(jaccard.near_duplicates(docs).collect(), key=lambda r: r.doc_id)
     pairs = brute_pairs(texts)
