@@ -319,20 +319,20 @@ def _joined(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS,
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     prepared = docs.mapInArrow(_prepare(docs.columns.index("text"), n_words, forest), f"{kinds}, {OWN}")
     # written once, so that the numbers stay
-    prepared = scratch.save(prepared.withColumn("_uid", F.monotonically_increasing_id()), "prepared")
+    prepared = scratch.save(prepared.withColumn("_uid", F.monotonically_increasing_id()), "prepared", few=True)
     # one row a set: the least row of it, and its least document and that one's first row, null ids last
     of_row = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").cast("long").alias("id"), F.col("_uid").alias("row"))
     reps = prepared.where("_n > 0").groupBy("_d1", "_d2").agg(
         F.min("_uid").alias("uid"), F.count(F.lit(1)).alias("many"), F.min(of_row).alias("best"), F.min("_n").alias("n"), F.min("_sequences").alias("sequences"), F.max("_bytes").alias("bytes"),
     )
-    reps = scratch.save(reps, "reps")
+    reps = scratch.save(reps, "reps", few=True)
     # sets so small that only equal ones can be linked need no forest
     smallest = int(np.argmax(forest.similarity < 1))
     wooded = reps.where(F.col("n") >= smallest)
     lengths = prefix_lengths(wooded.select("uid", "n", "sequences"), forest)
     short = F.lit(bytearray([forest.least] * trees))
     wooded = wooded.join(lengths, "uid", "left").select("uid", "n", "many", "bytes", F.concat("sequences", F.coalesce("lengths", short)).alias("sequences"))
-    wooded = scratch.save(wooded, "wooded")
+    wooded = scratch.save(wooded, "wooded", few=True)
     node = ["tree", "prefix"]
     nodes = wooded.select("uid", "bytes", "sequences", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     nodes = nodes.select("tree", F.conv(F.hex(F.expr("substring(sequences, tree * 4 + 1, 4)")), 16, 10).cast("long").alias("prefix"), "uid", "bytes")
@@ -342,7 +342,7 @@ def _joined(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS,
     # merged at every size: what matches grows with the input, so no plan may hang on its being little
     texts = prepared.select(F.col("_uid").alias("uid"), "text").hint("merge").join(matching, "uid").join(wooded.select("uid", "n", "sequences", "many"), "uid")
     texts = by_tile(texts.select(*key, "n", "sequences", "many", "text"), node)
-    linked = scratch.save(map_runs(texts, 4, _verify(forest, n_words), "uid long, linked long, root long"), "linked")
+    linked = scratch.save(map_runs(texts, 4, _verify(forest, n_words), "uid long, linked long, root long"), "linked", few=True)
     group = components(linked.select(F.col("uid").alias("a"), F.col("root").alias("b")), "jaccard-components")
     # a component's best is that of its sets; a set without links is its own
     least = group.join(reps.select(F.col("uid").alias("node"), "best"), "node").groupBy("component").agg(F.min("best").alias("of_component"))

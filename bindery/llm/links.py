@@ -125,7 +125,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         linked = large.join(least, "a")
         small = linked.where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).union(least.select("a", F.col("_m").alias("b")))
         step += 1
-        held = scratch.save(small.select(a, b).where("a <> b").distinct(), f"edges{step}")
+        held = scratch.save(small.select(a, b).where("a <> b").distinct(), f"edges{step}", few=True)
         if step > 1:
             scratch.drop(f"edges{step - 1}")
         # a node with two edges, or one that is led to and leads on, is not settled

@@ -6,6 +6,10 @@ targets: projected gradient steps on the squared error from rates of 1, in the m
 domains' Gram matrix. A step needs one vector the size of the domains, so each is one pass over a narrow table that
 returns sums, and a document's rate follows from its posterior and the list of steps wherever it is.
 
+Words of a text are not independent, so the evidence of n words counts as that of n ** power, by one rule for texts of every length: summed as it
+stands it would make every posterior 0 or 1, and membership would not be soft. The power is fitted, to the likelihood of a held-out fifth of the labelled
+sample under a model of the rest.
+
 Which domains there are, and the prior of each, comes from a count of all labelled rows. The sample that the words are
 learned from is bounded: at most ``LABELLED`` rows, the same number for each domain, those of the smallest seeded hashes of
 their ids; so a domain with few rows is learned from all of them at every size. Everything else covers all rows. Without given weights, a domain's target share is its expected share to the power
@@ -34,9 +38,9 @@ from bindery.llm.words import hashed, mixed, slices
 BUCKETS = 1 << 15
 LABELLED = 20_000
 SMOOTHING = 0.1
-#: A document's log likelihood counts as that of so many words, if it has more: summed over a long text, as if its words were
-#: independent, it would make every posterior 0 or 1, and membership would not be soft.
-EVIDENCE = 40.0
+#: Powers that are tried, the one taken where no labelled row is held out, and one row in so many that is.
+POWERS = tuple(k / 20 for k in range(1, 21))
+POWER, HELD = 0.5, 5
 TEMPER = 0.5
 STEPS = 40
 TOLERANCE = 1e-6
@@ -50,25 +54,51 @@ def _buckets(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndar
 
 
 class Classifier:
-    """Log probabilities of the buckets in each domain, and log priors."""
+    """Log probabilities of the buckets in each domain, log priors, and the power of the number of words that evidence counts as."""
 
-    def __init__(self, counts: dict[str, np.ndarray], documents: dict[str, int], buckets: int = BUCKETS):
-        self.domains = sorted(counts)
+    def __init__(self, counts: dict[str, np.ndarray], documents: dict[str, int], buckets: int = BUCKETS, power: float = POWER):
+        self.domains, self.power = sorted(counts), power
         table = np.array([counts[d] for d in self.domains]).T + SMOOTHING if counts else np.zeros((buckets, 0))
         self.log = np.log(table / table.sum(axis=0)) if counts else table
         prior = np.array([documents[d] for d in self.domains], float)
         self.prior = np.log(prior / prior.sum()) if counts else prior
 
-    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The mean log probability of each text's words in each domain, and how many there are."""
         bucket, n = _buckets(texts, len(self.log))
         total = np.zeros((len(n), len(self.domains)))
         if len(bucket):  # one domain after another: a number for each word and domain would not be bounded
             first, some = (np.cumsum(n) - n)[n > 0], n > 0
             for k in range(len(self.domains)):
-                total[some, k] = np.add.reduceat(self.log[bucket, k], first)
-        score = total * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None] + self.prior
-        score = np.exp(score - score.max(axis=1, keepdims=True)) if len(self.domains) else score
-        return score / score.sum(axis=1, keepdims=True) if len(self.domains) else score, n
+                total[some, k] = np.add.reduceat(self.log[bucket, k], first) / n[some]
+        return total, n
+
+    def log_posteriors(self, mean: np.ndarray, n: np.ndarray, power: float) -> np.ndarray:
+        score = mean * (n.astype(float) ** power)[:, None] + self.prior
+        score -= score.max(axis=1, keepdims=True)
+        return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
+
+    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        mean, n = self.evidence(texts)
+        return np.exp(self.log_posteriors(mean, n, self.power)) if self.domains else mean, n
+
+
+def fitted_power(sample: DataFrame, model: Classifier) -> float:
+    """The power of the highest likelihood of the labels of (text, label), the smallest of equals; one sum for each power and task is added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(len(POWERS)), 0
+        for some in (s for batch in batches for s in slices(batch, 0)):
+            mean, n = model.evidence(some.column(0).to_pylist())
+            own = np.array([model.domains.index(x) for x in some.column(1).to_pylist()], np.int64)
+            for k, power in enumerate(POWERS):
+                total[k] += model.log_posteriors(mean, n, power)[np.arange(len(own)), own].sum()
+            seen += len(own)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(POWERS), dtype=np.int32)), pa.array(total)], names=["k", "v"])
+
+    found = {r["k"]: r["v"] for r in sample.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    return max(((round(v, 6), -POWERS[k]) for k, v in found.items()), default=(0.0, -POWER))[1] * -1
 
 
 def fit(docs: DataFrame, labelled: DataFrame, bound: int = LABELLED, buckets: int = BUCKETS) -> Classifier:
@@ -85,27 +115,31 @@ def fit(docs: DataFrame, labelled: DataFrame, bound: int = LABELLED, buckets: in
     luck_of = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40))
     few = rows.where(luck_of < draw[F.col("label")] * float(1 << 40)).withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(luck_of, "doc_id")))
     sample = docs.select("doc_id", "text").join(F.broadcast(few.where(F.col("_n") <= each).drop("_n")), "doc_id")
-    # one text for an id, however many rows hold it, so that the sample is bounded
-    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+    # one text for an id, however many rows hold it, so that the sample is bounded; a text that repeats is held out or not as one
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label", (F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0).alias("held"))
+    scratch = Scratch(docs.sparkSession, "mixing-sample")
+    sample = scratch.save(sample.coalesce(16), "labelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, np.ndarray] = {}
+        found: dict[tuple[str, bool], np.ndarray] = {}
         for some in (s for batch in batches for s in slices(batch, 0)):
-            texts, labels = (some.column(k).to_pylist() for k in (0, 1))
+            texts, labels, held = (some.column(k).to_pylist() for k in range(3))
             bucket, n = _buckets(texts, buckets)
-            names = sorted(set(labels))
-            row = np.repeat(np.array([names.index(x) for x in labels]), n)
+            kinds = list(zip(labels, held, strict=True))
+            names = sorted(set(kinds))
+            row = np.repeat(np.array([names.index(x) for x in kinds]), n)
             for k, name in enumerate(names):
                 found[name] = found.get(name, 0) + np.bincount(bucket[row == k], minlength=buckets)
-        for name, count in found.items():
+        for (label, out), count in found.items():
             used = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(count[used])], names=["label", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(used), pa.string()), pa.array([out] * len(used), pa.bool_()), pa.array(used.astype(np.int32)), pa.array(count[used])], names=["label", "held", "bucket", "n"])
 
-    table = sample.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = {label: np.zeros(buckets) for label in documents}
-    for label, bucket, n in zip(*(table.column(c).to_pylist() for c in ("label", "bucket", "n")), strict=True):
-        counts[label][bucket] = n
-    return Classifier(counts, documents, buckets)
+    table = sample.mapInArrow(run, "label string, held boolean, bucket int, n long").groupBy("label", "held", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = {held: {label: np.zeros(buckets) for label in documents} for held in (False, True)}
+    for label, held, bucket, n in zip(*(table.column(c).to_pylist() for c in ("label", "held", "bucket", "n")), strict=True):
+        counts[held][label][bucket] = n
+    power = fitted_power(sample.where("held").select("text", "label"), Classifier(counts[False], documents, buckets))
+    return Classifier({label: counts[False][label] + counts[True][label] for label in documents}, documents, buckets, power)
 
 
 def luck(ids: list, texts: list, seed: int = SEED) -> np.ndarray:
@@ -196,7 +230,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     """doc_id, tokens, domain, p_domain, rate and copies of every row; copies is the rate rounded by the row's luck."""
     scratch = Scratch(docs.sparkSession, "mixing")
     model = fit(docs, labelled)
-    found = scratch.save(members(docs, model), "members")
+    found = scratch.save(members(docs, model), "members", few=True)
     rates, domains = fit_rates(found, model.domains, weights), model.domains
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +250,7 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | N
     """The rows with all their columns, each as often as its copies say; rates are worked out where the rows are."""
     scratch = Scratch(docs.sparkSession, "mixing")
     model = fit(docs, labelled)
-    rates = fit_rates(scratch.save(members(docs, model).select("tokens", "posterior"), "members"), model.domains, weights)
+    rates = fit_rates(scratch.save(members(docs, model).select("tokens", "posterior"), "members", few=True), model.domains, weights)
     scratch.drop("members")
     at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
 

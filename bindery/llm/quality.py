@@ -212,7 +212,7 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 def resample(docs: DataFrame, model: Model, k: int | None = None) -> tuple[DataFrame, float]:
     """Every row's score, log_weight, gumbel and key, and the least key that is kept."""
     scratch = Scratch(docs.sparkSession, "resample")
-    scored = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), SCORED), "scored")
+    scored = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), SCORED), "scored", few=True)
     if not model.ratio.any():
         return scored, float("-inf")
     fine = scored.where(F.col("key") > float("-inf"))

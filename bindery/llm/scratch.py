@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tasks for each core that write a table in few files.
+WAVES = 4
 _own: dict[str, str] = {}
 _written: dict[str, set[str]] = {}
 
@@ -37,8 +39,13 @@ class Scratch:
     def at(self, table: str) -> str:
         return f"{self.path}/{table}"
 
-    def save(self, df: DataFrame, table: str) -> DataFrame:
-        """Write a table and read it back."""
+    def save(self, df: DataFrame, table: str, few: bool = False) -> DataFrame:
+        """Write a table and read it back; with ``few``, in as many files as keep all cores busy a few times over, however many partitions there are.
+
+        That is for tables whose rows don't hang on the task that writes them.
+        """
+        if few:
+            df = df.coalesce(WAVES * self.spark.sparkContext.defaultParallelism)
         df.write.parquet(self.at(table))
         return self.spark.read.schema(df.schema).parquet(self.at(table))
 

@@ -428,7 +428,8 @@ def brute_posteriors(model, text):
     w = words(text)
     bucket, _ = mixing._buckets([text], len(model.log))
     assert len(bucket) >= len(w)
-    score = [prior + sum(model.log[b, k] for b in bucket) * min(1, mixing.EVIDENCE / max(1, len(bucket))) for k, prior in enumerate(model.prior)]
+    n = max(1, len(bucket))
+    score = [prior + sum(model.log[b, k] for b in bucket) / n * n**model.power for k, prior in enumerate(model.prior)]
     p = np.exp(np.array(score) - max(score))
     return p / p.sum()
 
@@ -454,6 +455,22 @@ def test_mix_against_brute_force(spark):
     assert all(r.copies == int(c) for r, c, fine in zip(got, np.floor(rate + luck), near, strict=True) if fine)
 
 
+def test_the_power_of_evidence_is_the_likeliest_of_held_out_labels(spark, docs):
+    sample = docs.where("lang is not null and text is not null").select("text", F.col("lang").alias("label"))
+    model = mixing.fit(docs, docs.select("doc_id", F.col("lang").alias("label")))
+    assert model.power in mixing.POWERS
+    got = mixing.fitted_power(sample, model)
+    rows = sample.collect()
+    likelihood = {}
+    for power in mixing.POWERS:
+        model.power = power
+        p = [brute_posteriors(model, r.text) for r in rows[::7]]
+        likelihood[power] = sum(np.log(max(1e-300, x[model.domains.index(r.label)])) for x, r in zip(p, rows[::7], strict=True))
+    # near the best on a seventh of the rows as well
+    assert likelihood[got] >= max(likelihood.values()) - 0.02 * abs(max(likelihood.values())) - 2
+    assert mixing.fitted_power(sample.limit(0), model) == mixing.POWER
+
+
 def test_mixing_of_odd_rows(spark, odd):
     got = mixing.mix(odd, odd.select("doc_id", F.col("lang").alias("label"))).collect()
     assert len(got) == len(ODD)
