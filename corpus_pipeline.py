@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from bindery.llm import jaccard, language, mixing, packing, quality
 from bindery.llm.scratch import Scratch
 
-#: Least share of a document's words in its language's spans.
-LEAST_SHARE = 0.25
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; learned from the labelled documents that are not held out.
@@ -25,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     learned = language.learned_from(docs)
     model = language.train(learned)
-    return language.keep(docs, model, LEAST_SHARE, language.floors(learned, model))
+    return language.keep(docs, model, 0.0, language.floors(learned, model))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        docs = scratch.save(stage(spark, docs, sf_dir), name, few=True)
         if k:
             scratch.drop(STAGES[k - 1][0])
     return docs
