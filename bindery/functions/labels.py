@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bindery.functions.text import series_key
+from bindery.functions.text import applied, series_key_sql
 
 #: A numbered label with a marker, one without, and a volume between the parts of a file name.
 NUMBERED = r"(?iu)^(.+?)[\t\n\f\r ]+(?:[-:][\t\n\f\r ]*)?(?:t(?:ome)?|vol(?:ume)?\.?|book|livre|#)[\t\n\f\r ]*([0-9]+(?:[.,][0-9]+)?)[\t\n\f\r ]*(?:[-:–—][\t\n\f\r ]*)?(.*)$"
@@ -19,25 +21,36 @@ def _label(title: Column, series: Column, volume: Column) -> Column:
     return F.struct(F.trim(title).alias("title"), series.alias("series"), F.translate(volume, ",", ".").alias("volume"))
 
 
-def classify(value: Column, known_series: Column, norm_of) -> Column:
-    """struct<title, series, volume> of a label; ``norm_of(column)`` gives a column's normalised form.
+def _label_sql(title: str, series: str, volume: str) -> str:
+    return f"named_struct('title', trim({title}), 'series', {series}, 'volume', translate({volume}, ',', '.'))"
+
+
+def classify_sql(value: str, known_series: str, norm_of: Callable[[str], str]) -> str:
+    """SQL of ``classify``: one expression, however often its parts are used."""
+
+    def key(text: str) -> str:
+        return series_key_sql(norm_of(text))
+
+    series = f"regexp_replace(regexp_extract(_c.text, r'{NUMBERED}', 1), r'^[ :-]+|[ :-]+$', '')"
+    numbered = _label_sql(f"regexp_extract(_c.text, r'{NUMBERED}', 3)", series, f"regexp_extract(_c.text, r'{NUMBERED}', 2)")
+    bare = _label_sql(f"regexp_extract(_c.bare, r'{BARE}', 3)", "_c.known", f"regexp_extract(_c.bare, r'{BARE}', 2)")
+    before = f"regexp_extract(_c.bare, r'{BARE}', 1)"
+    parts = rf"named_struct('text', trim(coalesce({value}, '')), 'bare', regexp_replace(trim(coalesce({value}, '')), r'\.+$', ''), 'known', coalesce({known_series}, ''))"
+    return (
+        f"transform(array({parts}), _c -> case when _c.text rlike r'{NUMBERED}' then {numbered} "
+        f"when _c.known <> '' and _c.bare rlike r'{BARE}' and {key(before)} = {key('_c.known')} then {bare} "
+        f"when _c.known <> '' and {key('_c.text')} = {key('_c.known')} then {_label_sql("''", '_c.known', "''")} "
+        f"else {_label_sql('_c.text', "''", "''")} end)[0]"
+    )
+
+
+def classify(value: Column, known_series: Column, norm_of: Callable[[str], str]) -> Column:
+    """struct<title, series, volume> of a label; ``norm_of`` gives the SQL of a text's normalised form.
 
     A marked number splits title and series; a bare one does if what is before it is the known series; a value that is the
     known series is no title; all else is one.
     """
-    text = F.trim(F.coalesce(value, F.lit("")))
-    bare = F.regexp_replace(text, r"\.+$", "")
-    empty = F.lit("")
-    known = F.coalesce(known_series, empty)
-    key = series_key(norm_of(known))
-    before = F.regexp_extract(bare, BARE, 1)
-    is_bare = bare.rlike(BARE) & (known != "") & (series_key(norm_of(before)) == key)
-    return (
-        F.when(text.rlike(NUMBERED), _label(F.regexp_extract(text, NUMBERED, 3), F.regexp_replace(F.regexp_extract(text, NUMBERED, 1), r"^[ :-]+|[ :-]+$", ""), F.regexp_extract(text, NUMBERED, 2)))
-        .when(is_bare, _label(F.regexp_extract(bare, BARE, 3), known, F.regexp_extract(bare, BARE, 2)))
-        .when((known != "") & (series_key(norm_of(text)) == key), _label(empty, known, empty))
-        .otherwise(_label(text, empty, empty))
-    )
+    return applied(F.struct(value.alias("v"), known_series.alias("k")), "_l", classify_sql("_l.v", "_l.k", norm_of))
 
 
 def file_parts(filename: Column, author_norms: Column, norm_of_part) -> Column:

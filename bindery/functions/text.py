@@ -108,9 +108,23 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def looked_up(value: Column, lookup: Column) -> Column:
+def applied(value: Column, parameter: str, body: str) -> Column:
+    """A SQL expression over a parameter, applied to a value that is worked out once; the text is parsed by Spark, at once."""
+    return F.call_function("transform", F.array(value), F.expr(f"{parameter} -> {body}"))[0]
+
+
+def ascii_norm_sql(value: str) -> str:
+    return f"rtrim(regexp_extract(trim(regexp_replace(lower(coalesce({value}, '')), '[^a-z0-9]+', ' ')), '^(?: ?[^ ]){{0,{NORM_CAP}}}', 0))"
+
+
+def looked_up_sql(value: str, lookup: str) -> str:
+    """SQL of the normalised form of a string that is ASCII or in the lookup (its column's name)."""
+    return f"transform(array({value}), _v -> if(_v = '', _v, coalesce(try_element_at({lookup}, _v), {ascii_norm_sql('_v')})))[0]"
+
+
+def looked_up(value: Column, lookup: str) -> Column:
     """The normalised form of a string that is ASCII or in the lookup; usable within lambdas."""
-    return bound(value, lambda v: F.when(v == "", v).otherwise(F.coalesce(F.try_element_at(lookup, v), ascii_norm(v))))
+    return applied(value, "_w", looked_up_sql("_w", lookup))
 
 
 def norm_dimension(strings: DataFrame, column: str) -> DataFrame:
@@ -193,9 +207,9 @@ def placeholder(normalised: Column) -> Column:
     return normalised.isin(PLACEHOLDER_TITLES)
 
 
-def series_key(normalised: Column) -> Column:
-    """A normalised series name without one leading article, if more than that is left."""
-    return F.regexp_replace(normalised, "^(?:the|a|an|les|le|la|l|un|une) (?=[^ ])", "")
+def series_key_sql(normalised: str) -> str:
+    """SQL of a normalised series name without one leading article, if more than that is left."""
+    return f"regexp_replace({normalised}, '^(?:the|a|an|les|le|la|l|un|une) (?=[^ ])', '')"
 
 
 def truncated(value: Column, n: int) -> Column:

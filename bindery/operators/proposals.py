@@ -56,7 +56,7 @@ def _empty() -> Column:
 
 
 def _nothing() -> Column:
-    return F.array().cast("array<string>")
+    return F.expr("cast(array() as array<string>)")
 
 
 def _text(c: Column) -> Column:
@@ -89,11 +89,10 @@ def _clean_parts(name: Column) -> Column:
 
 def _label_strings(value: Column) -> Column:
     """Every string whose normalised form classifying a label, or comparing what comes out, may ask for; none of ASCII text."""
-    plain = F.trim(_text(value))
-    bare = F.regexp_replace(plain, r"\.+$", "")
-    series = F.regexp_replace(F.regexp_extract(plain, labels.NUMBERED, 1), "^[ :-]+|[ :-]+$", "")
-    every = F.array(_text(value), plain, series, F.trim(F.regexp_extract(plain, labels.NUMBERED, 3)), F.regexp_extract(bare, labels.BARE, 1), F.trim(F.regexp_extract(bare, labels.BARE, 3)))
-    return F.when(tx.beyond_ascii(value), every).otherwise(_nothing())
+    text, bare = "trim(coalesce(_t, ''))", r"regexp_replace(trim(coalesce(_t, '')), r'\.+$', '')"
+    series = f"regexp_replace(regexp_extract({text}, r'{labels.NUMBERED}', 1), r'^[ :-]+|[ :-]+$', '')"
+    every = f"coalesce(_t, ''), {text}, {series}, trim(regexp_extract({text}, r'{labels.NUMBERED}', 3)), regexp_extract({bare}, r'{labels.BARE}', 1), trim(regexp_extract({bare}, r'{labels.BARE}', 3))"
+    return tx.applied(value, "_t", f"if(coalesce(octet_length(_t) > length(_t), false), array({every}), cast(array() as array<string>))")
 
 
 def _first(*options: tuple[Column, Column], default: Column) -> Column:
@@ -133,13 +132,14 @@ class Names:
         self.rows = self.rows.withColumn("_once", F.explode(F.array(F.lit(0)))).drop("_once")
 
     def norm(self, value: Column) -> Column:
-        return tx.looked_up(value, F.col(f"_norms{self.times}"))
+        return tx.looked_up(value, f"_norms{self.times}")
 
     def all(self, values: Column) -> Column:
         return F.transform(values, self.norm)
 
     def classify(self, value: Column, known: Column) -> Column:
-        return tx.bound(value, lambda v: tx.bound(known, lambda k: labels.classify(v, k, self.norm)))
+        lookup = f"_norms{self.times}"
+        return labels.classify(value, known, lambda v: tx.looked_up_sql(v, lookup))
 
     def distinct(self, names: Column) -> Column:
         """The first of names that are alike when normalised, trimmed, without blank ones."""
@@ -169,8 +169,8 @@ class Names:
 def _field(rows: DataFrame, struct: str, name: str, many: bool = False) -> Column:
     """A field of a struct column, whether or not the struct has it: never null."""
     has = name in rows.schema[struct].dataType.fieldNames()
-    value = F.col(f"{struct}.{name}") if has else F.lit(None)
-    return F.coalesce(value.cast("array<string>"), _nothing()) if many else F.coalesce(value.cast("string"), _empty())
+    value, kind, none = f"{struct}.`{name}`" if has else "null", "array<string>" if many else "string", "array()" if many else "''"
+    return F.expr(f"coalesce(cast({value} as {kind}), cast({none} as {kind}))")
 
 
 def _identified(rows: DataFrame, strings: list[Column] | None = None) -> Names:
@@ -235,7 +235,7 @@ def _said(value: Column, evidence: Column | str, review: Column | bool) -> Colum
 
 
 def _single(c: Column) -> Column:
-    return F.when(c == "", _nothing()).otherwise(F.array(c))
+    return F.call_function("filter", F.array(c), F.expr("x -> x <> ''"))
 
 
 def _ruled(rules: list[Rule], held: Column) -> Column:

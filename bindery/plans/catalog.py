@@ -44,6 +44,10 @@ def plain_norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+def plain_norm_sql(value: str) -> str:
+    return f"trim(regexp_replace(lower({value}), '[^a-z0-9]+', ' '))"
+
+
 SQL_PLAIN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 SQL_NORM = r"rtrim(regexp_extract(trim(regexp_replace(lower(strip_accents(nfc_normalize({0}))), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), '^(?:[ ]?[^ ]){{0,512}}'))"
 SQL_WORDS = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
@@ -247,7 +251,7 @@ def label_classify(spark, sf_dir):
     label = F.when(k < 4, F.concat(label, F.lit(" - "), F.col("p_name"))).otherwise(label)
     known = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.lit(""))
     rows = table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), known.alias("known"))
-    return rows.select("p_partkey", "label", labels.classify(F.col("label"), F.col("known"), plain_norm).alias("l")).select("p_partkey", "label", "l.title", "l.series", "l.volume")
+    return rows.select("p_partkey", "label", labels.classify(F.col("label"), F.col("known"), plain_norm_sql).alias("l")).select("p_partkey", "label", "l.title", "l.series", "l.volume")
 
 
 @query("SELECT p_partkey, p_name AS title, p_brand AS series, p_size::VARCHAR AS volume FROM part")
@@ -258,7 +262,7 @@ def filename_label(spark, sf_dir):
     two = F.concat_ws(" – ", F.concat("p_brand"), F.lpad(size, 3, "0"), "p_name", F.concat(author, F.lit(".epub")))
     name = F.when(F.col("p_partkey") % 2 == 0, one).otherwise(F.when(F.col("p_size") < 1000, two).otherwise(one))
     rows = table(spark, sf_dir, "part").select("p_partkey", labels.file_parts(name, F.array(F.lit("jane doe")), plain_norm).alias("parts"))
-    other = labels.classify(F.array_join("parts", " - "), F.lit(""), plain_norm)
+    other = labels.classify(F.array_join("parts", " - "), F.lit(""), plain_norm_sql)
     return rows.select("p_partkey", labels.file_label(F.col("parts"), other).alias("l")).select("p_partkey", "l.title", "l.series", "l.volume")
 
 

@@ -45,7 +45,7 @@ def test_normalise(raw, want):
     ],
 )
 def test_labels(spark, value, series, want):
-    got = spark.createDataFrame([(value, series)], ["v", "s"]).select(labels.classify(F.col("v"), F.col("s"), text.ascii_norm).alias("l")).first()["l"]
+    got = spark.createDataFrame([(value, series)], ["v", "s"]).select(labels.classify(F.col("v"), F.col("s"), text.ascii_norm_sql).alias("l")).first()["l"]
     assert tuple(got) == want
 
 
@@ -60,7 +60,7 @@ def test_labels(spark, value, series, want):
 )
 def test_file_labels(spark, name, authors, want):
     rows = spark.createDataFrame([(name, authors)], ["name", "authors"]).select(labels.file_parts(F.col("name"), F.col("authors"), text.ascii_norm).alias("parts"))
-    other = labels.classify(F.array_join("parts", " - "), F.lit(""), text.ascii_norm)
+    other = labels.classify(F.array_join("parts", " - "), F.lit(""), text.ascii_norm_sql)
     assert tuple(rows.select(labels.file_label(F.col("parts"), other).alias("l")).first()["l"]) == want
 
 
@@ -79,7 +79,7 @@ def test_identity(spark):
 def test_normalised_columns(spark, value):
     df = spark.createDataFrame([(value,)], "v string")
     df = df.withColumn("known", text.norm_lookup(F.array("v")))
-    got = df.select(text.normalised(F.col("v")).alias("n"), text.looked_up(F.col("v"), F.col("known")).alias("m")).first()
+    got = df.select(text.normalised(F.col("v")).alias("n"), text.looked_up(F.col("v"), "known").alias("m")).first()
     assert got.n == got.m == text.normalise(value)
 
 
