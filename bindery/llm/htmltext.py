@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import slices
+from bindery.llm.words import released, slices
 
 FADE, TITLE, NAMED, LEAD = 0.85, 0.2, 0.25, 0.95
 #: Least share of a host's votes that a winning path has; rows of winning paths that are sent to all tasks; a large host has more than one in so many pages.
@@ -391,7 +391,7 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 def host_paths(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """host, path_id, path, votes, pages of the winning paths of every host; pages counts the host's votes for any path."""
-    votes = _pages(pages).where("host is not null").select("host", "html").mapInArrow(_votes, VOTES)
+    votes = _pages(pages).where("host is not null").select("host", "html").mapInArrow(released(_votes), VOTES)
     votes = votes.groupBy("host", "path_id").agg(F.count(F.lit(1)).alias("votes"), F.min("path").alias("path"))
     total = votes.groupBy("host").agg(F.sum("votes").alias("pages"))
     return votes.join(total, "host").where(F.col("votes") >= F.col("pages") * share).select("host", "path_id", "path", "votes", "pages")
@@ -417,4 +417,4 @@ def extract(pages: DataFrame, share: float = SHARE, few: int = FEW, large: int =
     known: dict[str, list[int]] = {}
     for r in sent.select("host", "path_id").collect():
         known.setdefault(r.host, []).append(r.path_id)
-    return rows.select("page_id", "url", "html", "host", "paths").mapInArrow(_texts(known), PAGE)
+    return rows.select("page_id", "url", "html", "host", "paths").mapInArrow(released(_texts(known)), PAGE)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.links import TILE, by_tile, components, map_runs, roots, tiles
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import hashed, mixed, runs, slices
+from bindery.llm.words import hashed, mixed, released, runs, slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -307,9 +307,9 @@ def prefix_lengths(reps: DataFrame, forest: Forest, crowd: int = CROWD) -> DataF
     rows = rows.select("tree", number("tree * 4 + 1", 4).alias("prefix"), rest.alias("rest"), "uid")
     key = ["tree", "prefix", "rest", "uid"]
     tasks = max(1, -(-reps.count() * trees // SORTED_ROWS))
-    begun = rows.repartitionByRange(tasks, *key).sortWithinPartitions(*key).mapInArrow(_lengths(forest, crowd), "uid long, tree int, length int")
+    begun = rows.repartitionByRange(tasks, *key).sortWithinPartitions(*key).mapInArrow(released(_lengths(forest, crowd)), "uid long, tree int, length int")
     begun = begun.groupBy("uid").agg(F.collect_list(F.struct("tree", "length")).alias("begun"))  # one for each tree at most
-    return begun.join(reps.select("uid", "n"), "uid").select("uid", "n", "begun").mapInArrow(_adapted(forest), "uid long, lengths binary")
+    return begun.join(reps.select("uid", "n"), "uid").select("uid", "n", "begun").mapInArrow(released(_adapted(forest)), "uid long, lengths binary")
 
 
 def _joined(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -317,7 +317,7 @@ def _joined(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS,
     scratch = Scratch(docs.sparkSession, "jaccard")
     forest = Forest(threshold, trees, depth, recall)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    prepared = docs.mapInArrow(_prepare(docs.columns.index("text"), n_words, forest), f"{kinds}, {OWN}")
+    prepared = docs.mapInArrow(released(_prepare(docs.columns.index("text"), n_words, forest)), f"{kinds}, {OWN}")
     # written once, so that the numbers stay
     prepared = scratch.save(prepared.withColumn("_uid", F.monotonically_increasing_id()), "prepared", few=True)
     # one row a set: the least row of it, and its least document and that one's first row, null ids last

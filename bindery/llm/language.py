@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.words import mixed, slices
+from bindery.llm.words import mixed, released, slices
 
 BUCKETS = 1 << 17
 SWITCH = 6.0
@@ -43,7 +43,7 @@ REACH, SPREAD, ENOUGH = 3.0, 0.5, 20
 #: How far one word alone may be below its floor; the mean of more words may be by this over the root of their number.
 SLACK = 3.0
 #: Rows labelled at once, and bytes that Viterbi may take for them: about 20 a word and language, and one a word and pair of languages.
-SOME, WORK = 400, 64_000_000
+SOME, WORK = 400, 32_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: First code point of each range, and its script; ranges end where the next begins.
 SCRIPTS = [
@@ -259,7 +259,7 @@ def viterbi(score: np.ndarray, counts: np.ndarray, switch: float, stretch: int =
 def train(rows: DataFrame, buckets: int = BUCKETS, switch: float = SWITCH) -> Model:
     """Learn from text and lang of the rows; at most ``buckets`` rows a language come to the driver."""
     used = rows.where("lang is not null and text is not null").select("text", "lang")
-    found = used.mapInArrow(_count(buckets), "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    found = used.mapInArrow(released(_count(buckets)), "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[int, int]] = {}
     for lang, key, n in zip(*(found.column(c).to_pylist() for c in ("lang", "key", "n")), strict=True):
         counts.setdefault(lang, {})[key] = n
@@ -277,7 +277,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 names, share, spans = labeller.label(some.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(names, pa.string()), pa.array(share), pa.array(spans)], names=["doc_id", "held_out", "lang_pred", "score", "n_spans"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_spans long")
+    return rows.mapInArrow(released(run), "doc_id long, held_out boolean, lang_pred string, score double, n_spans long")
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -297,7 +297,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
             begin = starts - (np.cumsum(counts) - counts)[of]
             yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(of)), pa.array(number.astype(np.int32)), names, pa.array(begin), pa.array(np.diff(np.append(starts, len(path))))], names=["doc_id", "span", "lang", "first_word", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, span int, lang string, first_word long, n_words long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, span int, lang string, first_word long, n_words long")
 
 
 def learned_from(docs: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def floors(rows: DataFrame, model: Model) -> np.ndarray:
     out = np.full(len(model.languages), -np.inf)
     if not model.languages:
         return out
-    found = rows.where("lang is not null and text is not null").select("text").mapInArrow(run, "lang string, evidence double").where(F.col("lang") != UNKNOWN)
+    found = rows.where("lang is not null and text is not null").select("text").mapInArrow(released(run), "lang string, evidence double").where(F.col("lang") != UNKNOWN)
     for r in found.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("evidence", [0.01, 0.5], 10_000).alias("q")).collect():
         if r["n"] >= ENOUGH:
             low, middle = r["q"]
@@ -341,4 +341,4 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, floors: np.ndarray |
                 kept = (np.array(names, object) != UNKNOWN) & (share >= least)
                 yield some.filter(pa.array(kept if floors is None else kept & (evidence >= 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

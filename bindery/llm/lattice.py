@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.links import by_tile, components, map_runs, roots, tiles
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import mixed
+from bindery.llm.words import mixed, released
 
 THRESHOLD = 0.93
 TABLES, BLOCKS = 12, 2
@@ -262,12 +262,12 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, n_tables: in
     kind, element = ("f4", "float") if table.schema["embedding"].dataType.simpleString() == "array<float>" else ("f8", "double")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
     label = rows.schema["label"].dataType.simpleString()
-    packed = scratch.save(rows.mapInArrow(_packed(kind), f"vec_id long, label {label}, raw binary, h1 long, h2 long"), "packed")
+    packed = scratch.save(rows.mapInArrow(released(_packed(kind)), f"vec_id long, label {label}, raw binary, h1 long, h2 long"), "packed")
     same = ["label", "h1", "h2"]
     classes = packed.where("raw is not null").groupBy(*same).agg(F.count(F.lit(1)).alias("many"), F.min("vec_id").alias("least"), F.min("raw").alias("raw"))
     # written once, so that the numbers stay
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    entries = scratch.save(classes.select("cid", "label", "raw").mapInArrow(_entries(n_tables, blocks, kind), f"label {label}, cell long, cid long"), "entries")
+    entries = scratch.save(classes.select("cid", "label", "raw").mapInArrow(released(_entries(n_tables, blocks, kind)), f"label {label}, cell long, cid long"), "entries")
     members = tiles(entries, ["label", "cell"], "cid").join(classes.select("cid", "many", "raw"), "cid")
     members = by_tile(members.select("label", "cell", "tile_i", "tile_j", "side", "cid", "many", "raw"), ["label", "cell"])
     linked = scratch.save(map_runs(members, 4, _links(threshold, n_tables, blocks, kind), "cid long, linked long, root long"), "linked")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.words import WORD, slices
+from bindery.llm.words import WORD, released, slices
 
 THRESHOLD = 0.9
 #: Phrases of the base scan and their labels.
@@ -187,7 +187,7 @@ def corpus_order(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES)
                     count[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in count]), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
-    found = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(released(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     count = dict.fromkeys(vocabulary, 0) | {r["word"].encode(): r["n"] for r in found}
     return {w: k for k, w in enumerate(sorted(count, key=lambda w: (count[w], w)))}
 
@@ -286,7 +286,7 @@ def scan(docs: DataFrame, **options) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCANNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), SCANNED)
 
 
 def license_blocks(docs: DataFrame, **options) -> DataFrame:
@@ -301,7 +301,7 @@ def license_blocks(docs: DataFrame, **options) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), BLOCKS)
 
 
 def oracle() -> str:

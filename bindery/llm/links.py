@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
+from bindery.llm.words import released
 
 #: Members of a bucket that one side of a tile may hold, and the salts that a hot bucket's members are dealt to.
 CHUNK = 512
@@ -142,4 +143,4 @@ def map_runs(rows: DataFrame, n_keys: int, work: Callable, schema: str) -> DataF
         for batch, edges in whole_runs(batches, n_keys):
             yield from work(batch, edges)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)

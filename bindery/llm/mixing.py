@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import hashed, mixed, slices
+from bindery.llm.words import hashed, mixed, released, slices
 
 BUCKETS = 1 << 15
 LABELLED = 20_000
@@ -97,7 +97,7 @@ def fitted_power(sample: DataFrame, model: Classifier) -> float:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(POWERS), dtype=np.int32)), pa.array(total)], names=["k", "v"])
 
-    found = {r["k"]: r["v"] for r in sample.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    found = {r["k"]: r["v"] for r in sample.mapInArrow(released(run), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
     return max(((round(v, 6), -POWERS[k]) for k, v in found.items()), default=(0.0, -POWER))[1] * -1
 
 
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labelled: DataFrame, bound: int = LABELLED, buckets: in
             used = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(used), pa.string()), pa.array([out] * len(used), pa.bool_()), pa.array(used.astype(np.int32)), pa.array(count[used])], names=["label", "held", "bucket", "n"])
 
-    table = sample.mapInArrow(run, "label string, held boolean, bucket int, n long").groupBy("label", "held", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = sample.mapInArrow(released(run), "label string, held boolean, bucket int, n long").groupBy("label", "held", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = {held: {label: np.zeros(buckets) for label in documents} for held in (False, True)}
     for label, held, bucket, n in zip(*(table.column(c).to_pylist() for c in ("label", "held", "bucket", "n")), strict=True):
         counts[held][label][bucket] = n
@@ -157,7 +157,7 @@ def members(docs: DataFrame, model: Classifier) -> DataFrame:
                 posterior, n = model.posteriors(texts)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n), pa.array(list(posterior), pa.list_(pa.float64())), pa.array(luck(ids, texts))], names=["doc_id", "tokens", "posterior", "luck"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEMBERS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), MEMBERS)
 
 
 class Rates:
@@ -199,7 +199,7 @@ def fit_rates(found: DataFrame, domains: list[str], weights: dict[str, float] |
     rates = Rates(n)
 
     def sums(gram: bool = False) -> np.ndarray:
-        rows = found.select("tokens", "posterior").mapInArrow(_sums(rates, n, gram), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        rows = found.select("tokens", "posterior").mapInArrow(released(_sums(rates, n, gram)), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
         out = np.zeros(n + n * n * gram)
         for r in rows:
             out[r["k"]] = r["v"]
@@ -243,7 +243,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
             names = pa.array([domains[k] for k in best] if domains else [None] * n, pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, pa.array(p.max(axis=1) if domains else np.zeros(n)), pa.array(rate), pa.array(copies)], names=["doc_id", "tokens", "domain", "p_domain", "rate", "copies"])
 
-    return found.mapInArrow(run, "doc_id long, tokens long, domain string, p_domain double, rate double, copies long")
+    return found.mapInArrow(released(run), "doc_id long, tokens long, domain string, p_domain double, rate double, copies long")
 
 
 def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -261,4 +261,4 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | N
                 rate = rates.of(model.posteriors(texts)[0])
                 yield some.take(pa.array(np.repeat(np.arange(some.num_rows), np.floor(rate + luck(ids, texts)).astype(np.int64))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
 from bindery.llm.tokens import encoder, vocabulary_path
-from bindery.llm.words import slices
+from bindery.llm.words import released, slices
 
 SEQUENCE = 1024
 #: Rounds: lengths over a half, over a quarter, ... of a sequence, and the rest.
@@ -70,7 +70,7 @@ def _pieces(vocabulary: str, most: int, with_ids: bool = False):
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, most: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(_pieces(vocabulary or vocabulary_path(), most, with_ids), PIECE + (", ids array<int>" if with_ids else ""))
+    return narrow.mapInArrow(released(_pieces(vocabulary or vocabulary_path(), most, with_ids)), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = SEQUENCE, r
     scratch = Scratch(spark, "packing")
     cut_up = scratch.save(pieces(docs, vocabulary, most), "pieces")
     key = [F.col("length").desc(), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    ranked = scratch.save(cut_up.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_numbered, RANKED), "ranked")
+    ranked = scratch.save(cut_up.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(released(_numbered), RANKED), "ranked")
     scratch.drop("pieces")
     base, lengths = _counted(ranked, "length")
     rank, n_sequences, left = 0, 0, sum(lengths.values())
@@ -211,7 +211,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = SEQUENCE, r
         for n in sorted(own, reverse=True):
             sweeps.place(n, own[n])
         rank, left = sweeps.rank, left - sum(own.values())
-        placed = ranked.where(F.col("length").between(low, high)).mapInArrow(_assign(base, sweeps), PLACED.replace("sequence_id", "number"))
+        placed = ranked.where(F.col("length").between(low, high)).mapInArrow(released(_assign(base, sweeps)), PLACED.replace("sequence_id", "number"))
         new = F.col("number") - (sweeps.n_gaps - n_sequences)
         found = placed.withColumn("sequence_id", new) if gaps is None else placed.join(gaps.select("number", F.col("sequence_id").alias("_held")), "number", "left").withColumn("sequence_id", F.coalesce("_held", new))
         found = found.select(*(c.split()[0] for c in PLACED.split(", ")))
@@ -224,9 +224,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = SEQUENCE, r
                 open_now = open_now.union(gaps.join(filled, "sequence_id", "left_anti").select("sequence_id", "gap"))
             order = ["gap", "sequence_id"]
             open_now = open_now.where("gap > 0").repartitionByRange(*order).sortWithinPartitions(*order)
-            table = scratch.save(open_now.mapInArrow(_numbered, "sequence_id long, gap int, part int, place long"), f"gaps{low}")
+            table = scratch.save(open_now.mapInArrow(released(_numbered), "sequence_id long, gap int, part int, place long"), f"gaps{low}")
             before, sizes = _counted(table, "gap")
-            gaps = table.mapInArrow(_gap_numbers(before), "number long, sequence_id long, gap int")
+            gaps = table.mapInArrow(released(_gap_numbers(before)), "number long, sequence_id long, gap int")
         n_sequences += sweeps.opened
     return spark.createDataFrame([], PLACED) if out is None else out
 

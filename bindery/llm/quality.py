@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.scratch import Scratch
-from bindery.llm.words import hashed, mixed, segment_sums, slices
+from bindery.llm.words import hashed, mixed, released, segment_sums, slices
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -73,7 +73,7 @@ def _count(buckets: int):
 
 def counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Hashed n-gram counts of all the texts; each task adds its own up first, one row a bucket comes to the driver."""
-    found = docs.select("text").mapInArrow(_count(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(released(_count(buckets)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets, np.float64)
     for r in found:
         out[r["bucket"]] = r["n"]
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int =
     model = Model(log_ratio(target, raw))
     others = {h: Model(log_ratio(half[not h], raw)) for h in half}
     # the sample is bounded, and so are its scores
-    table = sample.select("text", "half", "good").mapInArrow(_labelled_scores(others), "score double, good boolean").toArrow()
+    table = sample.select("text", "half", "good").mapInArrow(released(_labelled_scores(others)), "score double, good boolean").toArrow()
     model.level = best_level(table.column("score").to_numpy(), table.column("good").to_numpy().astype(bool))
     scratch.drop("labelled")
     return model
@@ -212,7 +212,7 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 def resample(docs: DataFrame, model: Model, k: int | None = None) -> tuple[DataFrame, float]:
     """Every row's score, log_weight, gumbel and key, and the least key that is kept."""
     scratch = Scratch(docs.sparkSession, "resample")
-    scored = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), SCORED), "scored", few=True)
+    scored = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(_scored(model)), SCORED), "scored", few=True)
     if not model.ratio.any():
         return scored, float("-inf")
     fine = scored.where(F.col("key") > float("-inf"))
@@ -238,4 +238,4 @@ def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, **options) ->
                 key = model.keys(some.column(at_id).cast(pa.int64()).to_pylist(), some.column(at_text).to_pylist())[-1]
                 yield some.filter(pa.array(key >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from bindery.llm.scratch import Scratch
 from bindery.llm.simple8b import Reader, pack_file
 from bindery.llm.tokens import encoder, vocabulary_path
-from bindery.llm.words import SOME_ROWS, slices
+from bindery.llm.words import SOME_ROWS, released, slices
 
 SEGMENT_IDS = 1_000_000
 SEGMENT = "part int, segment int, n_docs long, n_ids long, first_id long, data binary"
@@ -68,7 +68,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"), F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
     ordered = ordered.repartitionByRange("doc_id", "_crc", "_n").sortWithinPartitions("doc_id", "_crc", "_n").select("doc_id", "text")
     # packed words don't compress further
-    ordered.mapInArrow(_segments(vocabulary or vocabulary_path(), segment_ids, some), SEGMENT).write.option("compression", "none").parquet(folder)
+    ordered.mapInArrow(released(_segments(vocabulary or vocabulary_path(), segment_ids, some)), SEGMENT).write.option("compression", "none").parquet(folder)
     return token_segments(docs.sparkSession, folder)
 
 
@@ -94,7 +94,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(spark, folder: str) -> DataFrame:
     """One row per document of the segments of a folder: its place there, its number of ids and their checksum."""
-    return token_segments(spark, folder).select("part", "segment", "data").mapInArrow(_documents, DOCUMENT)
+    return token_segments(spark, folder).select("part", "segment", "data").mapInArrow(released(_documents), DOCUMENT)
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, segment_ids: int = SEGMENT_IDS, some: int = SOME_ROWS) -> DataFrame:

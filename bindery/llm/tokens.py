@@ -16,7 +16,7 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Pieces that the table may hold between batches (its slots: four times as many), and the longest piece, in bytes.
-TABLE_SIZE, PIECE_BYTES = 400_000, 64
+TABLE_SIZE, PIECE_BYTES = 200_000, 64
 #: Bytes of text that are split into pieces at once.
 AT_ONCE = 1_000_000
 _LETTER, _NUMBER, _SIGN, _SPACE, _WHITE, _BREAK, _ODD = range(7)
