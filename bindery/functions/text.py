@@ -197,9 +197,23 @@ def author_score(local: Column, remote: Column) -> Column:
     return F.when(F.size(local) > 0, greedy_total(local, remote, author_similarity) / F.size(local)).otherwise(F.lit(0.0))
 
 
+def _numbers(normalised: Column) -> Column:
+    return F.array_sort(F.filter(words(normalised), lambda w: w.rlike("^[0-9]+$")))
+
+
+def number_words(normalised: Column) -> Column:
+    """The words of digits of a normalised text in order, one blank between them; the empty text if it has none."""
+    return F.array_join(_numbers(normalised), " ")
+
+
+def numbers_differ(a: Column, b: Column) -> Column:
+    """``different_numbers`` of two texts by their number words, for rows that meet many others."""
+    return (a != "") & (b != "") & (a != b)
+
+
 def different_numbers(a: Column, b: Column) -> Column:
     """Both normalised texts hold words of digits, and not the same ones."""
-    numbers = [F.array_sort(F.filter(words(x), lambda w: w.rlike("^[0-9]+$"))) for x in (a, b)]
+    numbers = [_numbers(x) for x in (a, b)]
     return (F.size(numbers[0]) > 0) & (F.size(numbers[1]) > 0) & (numbers[0] != numbers[1])
 
 

@@ -2,10 +2,13 @@
 
 Candidates meet books by equi-joins on blocking keys only (canonical ISBN, block column); similar texts of a block meet by an inverted
 index of their words and letters, and similarities are worked out once per distinct pair of strings and joined back where strings repeat.
+Where all pairs of a block are wanted, they are dealt to tasks in cells of bounded size.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +138,36 @@ def corroborate(candidates: DataFrame, book: list[str], rank: Column) -> DataFra
     return best.select(*book, "url", "_d.title", "_d.donor", "_d.donor_url")
 
 
+# ---- all pairs of a block
+
+#: Rows of a block that meet as many others in one cell; pairs that a task is given.
+TILE, PAIRS_A_TASK = 1024, 4_000_000
+#: Tasks that the pairs are dealt to at most; beyond that a task is given more of them.
+MOST_TASKS = 10_000
+
+
+def block_pairs(rows: DataFrame, blocks: list[str], key: str, value: str) -> DataFrame:
+    """_a, _b (keys), _value_a, _value_b: all pairs of rows of a block, the smaller key first; equal keys and nulls make no pair.
+
+    A block of more than ``TILE`` rows is dealt into parts of about that size, and each two parts meet in a cell of their own, so one block may hold
+    all rows. Pairs grow with the square of a block while its bytes don't, so the number of tasks comes from the pairs.
+    """
+    rows, n = rows.select(*blocks, key, value), F.col("_n")
+    for column in [*blocks, key]:
+        rows = rows.where(F.col(column).isNotNull())
+    sizes = rows.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n"))
+    work = sizes.agg(F.sum(n * (n + 1) / 2)).first()[0] or 0
+    tasks = min(MOST_TASKS, math.ceil(work / PAIRS_A_TASK) or 1)
+    parts = sizes.where(n > TILE).select(*blocks, F.ceil(n / TILE).cast("int").alias("_parts"))
+    count = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(parts, blocks, "left").select(*blocks, key, value, F.pmod(F.xxhash64(key), count).cast("int").alias("_part"), F.sequence(F.lit(0), count - 1).alias("_others"))
+    cell = [*blocks, "_left", "_right"]
+    left = dealt.select(*blocks, F.col("_part").alias("_left"), F.explode("_others").alias("_right"), F.col(key).alias("_a"), F.col(value).alias("_value_a"))
+    right = dealt.select(*blocks, F.explode("_others").alias("_left"), F.col("_part").alias("_right"), F.col(key).alias("_b"), F.col(value).alias("_value_b"))
+    met = left.repartition(tasks, *cell).join(right.repartition(tasks, *cell).hint("merge"), cell)
+    return met.where("_a < _b").select("_a", "_b", "_value_a", "_value_b")
+
+
 # ---- similar texts within a block, by an inverted index
 
 #: Shares of the text similarity; a pair without a common word scores at most the first.

@@ -273,9 +273,9 @@ FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_name = y.p_name AND x.p
 def different_numbers(spark, sf_dir):
     """All pairs of parts of one brand and name."""
     value = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.concat_ws(" #", "p_name", F.floor("p_retailprice").cast("string")))
-    n = table(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey", plain_norm(value).alias("t"))
-    a, b = (n.select("p_brand", "p_name", F.col("p_partkey").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
-    return a.join(b, ["p_brand", "p_name"]).where("a < b").select("a", "b", tx.different_numbers(F.col("ta"), F.col("tb")).alias("differ"))
+    n = table(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey", tx.number_words(plain_norm(value)).alias("numbers"))
+    pairs = match.block_pairs(n, ["p_brand", "p_name"], "p_partkey", "numbers")
+    return pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b"), tx.numbers_differ(F.col("_value_a"), F.col("_value_b")).alias("differ"))
 
 
 @query("""

@@ -267,3 +267,12 @@ def test_jobs_wait_for_searches_by_hand_and_between_batches(spark, tmp_path):
     job.join()
     done = jobs.progress(spark.read.schema("id long, failed boolean").parquet(at[0])).first()
     assert (done.completed, done.failures, job.status()) == (30, 15, "completed")
+
+
+def test_number_words_say_which_numbers_differ(spark):
+    texts = ["", "ring", "ring 7", "7 old ring", "ring 07", "ring 1 12", "12 ring 1", "ring 11 2", "ring 1 1 2", "v2", "1 v2 12", None]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    by_row = text.numbers_differ(text.number_words(a), text.number_words(b))
+    assert rows.where(~by_row.eqNullSafe(text.different_numbers(a, b))).count() == 0
+    assert rows.where(by_row).count() == 48

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,34 @@ def test_an_isbn_that_all_share_sends_on_two_donors(spark):
     assert found.count() == 1000 and {r.donor_url for r in found.select("donor_url").distinct().collect()} == {"u0"}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan  # limits in the tasks, before rows are shuffled
+
+
+@pytest.mark.parametrize("tile, pairs", [(1024, 4_000_000), (4, 50)])
+def test_block_pairs_are_complete(spark, monkeypatch, tile, pairs):
+    monkeypatch.setattr(match, "TILE", tile)
+    monkeypatch.setattr(match, "PAIRS_A_TASK", pairs)
+    rng = random.Random(3)
+    rows = [("x" if i < 60 else f"b{i % 5}", rng.choice("uv") if i % 9 else None, rng.randint(-40, 400) if i % 11 else None, str(rng.randint(0, 3)) if i % 7 else None) for i in range(140)]
+    found = match.block_pairs(spark.createDataFrame(rows, "one string, two string, id long, n string"), ["one", "two"], "id", "n").collect()
+    want = [(a, b, va, vb) for one, two, a, va in rows for o, t, b, vb in rows if (one, two) == (o, t) and None not in (two, a, b) and a < b]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+    assert match.block_pairs(spark.createDataFrame([], "one string, id long, n string"), ["one"], "id", "n").count() == 0
+
+
+def test_pairs_of_one_large_block_are_dealt_to_tasks(spark, tmp_path):
+    """Number words are found once a row, below the join, and no task has all pairs of a brand and name that many parts have."""
+    from bindery.plans import catalog
+
+    n = 3000
+    parts = spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("old ring").alias("p_name"), F.lit("Brand#1").alias("p_brand"), (900 + F.col("id") % 700 / 10).alias("p_retailprice"))
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["different_numbers"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "RLIKE" not in plan[: plan.index("Join ")]
+    by_task = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("differ").cast("int")).alias("differ"), F.sum(F.col("a") * 7 + F.col("b")).alias("keys")).collect()
+    assert sum(r.n for r in by_task) == n * (n - 1) // 2
+    assert max(r.n for r in by_task) < 0.8 * sum(r.n for r in by_task)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = duck.sql(f"SELECT sum(differ::int), sum(a * 7 + b) FROM ({catalog.oracle_sql()['different_numbers']})").fetchall()[0]
+    assert (sum(r.differ for r in by_task), sum(r["keys"] for r in by_task)) == want
